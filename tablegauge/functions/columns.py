@@ -118,3 +118,9 @@ def unpivot_rows(df: DataFrame, keys: list[Column], parts: list[list[Column]]) -
 def stack_rows(rows: DataFrame) -> DataFrame:
     """Turn one row of equal structs into one row per struct (for wide aggregates)."""
     return rows.select(F.inline(F.array(*[quote(c) for c in rows.columns])))
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Compute a report-sized table (rows per column or pair, never per data row) once and hand it on as literal rows,
+    so that later joins do not scan the data again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)

@@ -51,7 +51,7 @@ def signed_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     return total
 
 
-def _block_sum(key, block: pd.DataFrame) -> pd.DataFrame:
+def _block_sum(block: pd.DataFrame) -> pd.DataFrame:
     value = signed_pairs(block["x"].to_numpy(), block["y"].to_numpy(), block["n"].to_numpy())
     return pd.DataFrame({"s": [value]})
 

@@ -9,6 +9,7 @@ is one row; a value that repeats among the sketch quantiles gets a bucket of its
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -128,9 +129,12 @@ def quantiles(
     probabilities: list[float],
     keys: dict[str, Column] | None = None,
     edges: dict[str, list[float]] | None = None,
+    height: Callable[[int, float], float] = lambda total, p: (total - 1) * p,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles as rows (keys..., column, probability, quantile).
 
+    ``height`` gives the 0-based (fractional) position of a probability among ``total`` values (unkeyed use only).
+
     Rows are counted per bucket first, which tells the bucket of every wanted position; only rows of those buckets
     are shuffled afterwards, collapsed to (value, count).
     """
@@ -145,12 +149,12 @@ def quantiles(
     for name, counts in histogram.items():
         total = sum(counts.values())
         for p in probabilities if total else []:
-            height = (total - 1) * float(p)
-            for side, position in (("lo", math.floor(height)), ("hi", math.ceil(height))):
+            at = height(total, float(p))
+            for side, position in (("lo", math.floor(at)), ("hi", math.ceil(at))):
                 start = 0
                 for bucket in sorted(counts):
                     if position < start + counts[bucket]:
-                        targets.append((name, bucket, start, float(p), position, side, height - math.floor(height)))
+                        targets.append((name, bucket, start, float(p), position, side, float(at - math.floor(at))))
                         break
                     start += counts[bucket]
     wanted = df.sparkSession.createDataFrame(

@@ -396,7 +396,7 @@ def run_checks(df: DataFrame, target: str | None = None, checks: list[str] | Non
     if unknown:
         raise ValueError(f"unknown checks: {unknown}")
     numeric = C.numeric_columns(df)
-    types = P.column_types(df)
+    types = C.settle(P.column_types(df)) if {"data_types", "categorical_consistency"} & set(names) else None
     build = {
         "missing_values": lambda: [missing_findings(P.missing_counts(df))],
         "duplicate_rows": lambda: [duplicate_findings(P.duplicate_rows(df))],

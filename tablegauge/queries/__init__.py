@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["profiles", "statistics"]
+MODULES = ["profiles", "statistics", "cleaning", "charts", "features"]
 
 
 def load_all():

@@ -256,10 +256,10 @@ def cramers_v(spark, sf):
       FROM lineitem),
     qy AS (SELECT DISTINCT unnest(quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e
       FROM lineitem),
-    ex AS (SELECT list(e) AS l FROM qx WHERE e > (SELECT min(l_quantity) FROM lineitem)),
-    ey AS (SELECT list(e) AS l FROM qy WHERE e > (SELECT min(l_extendedprice) FROM lineitem)),
-    z AS (SELECT len(list_filter(ex.l, e -> e < l_quantity)) AS a, len(list_filter(ey.l, e -> e < l_extendedprice)) AS b
-      FROM lineitem, ex, ey),
+    ex AS (SELECT e FROM qx WHERE e > (SELECT min(l_quantity) FROM lineitem)),
+    ey AS (SELECT e FROM qy WHERE e > (SELECT min(l_extendedprice) FROM lineitem)),
+    z AS (SELECT (SELECT count(*) FROM ex WHERE e < l_quantity) AS a,
+      (SELECT count(*) FROM ey WHERE e < l_extendedprice) AS b FROM lineitem),
     c AS (SELECT a, b, count(*) AS n FROM z GROUP BY 1, 2),
     m AS (SELECT n, sum(n) OVER (PARTITION BY a) AS r, sum(n) OVER (PARTITION BY b) AS s, sum(n) OVER () AS t FROM c)
     SELECT 'l_quantity' AS column_a, 'l_extendedprice' AS column_b, any_value(t)::BIGINT AS n,
