@@ -232,14 +232,13 @@ def calendar_choices(spark, sf):
     "calendar",
     """SELECT event_id, year(ts)::DOUBLE AS ts__year, month(ts)::DOUBLE AS ts__month, day(ts)::DOUBLE AS ts__day,
     (isodow(ts) - 1)::DOUBLE AS ts__day_of_week, dayofyear(ts)::DOUBLE AS ts__day_of_year, quarter(ts)::DOUBLE AS ts__quarter,
-    hour(ts)::DOUBLE AS ts__hour, round(sin(2 * pi() * (month(ts) - 1) / 12), 6) AS ts__month_sin,
-    round(cos(2 * pi() * (month(ts) - 1) / 12), 6) AS ts__month_cos, round(sin(2 * pi() * hour(ts) / 24), 6) AS ts__hour_sin,
-    round(cos(2 * pi() * hour(ts) / 24), 6) AS ts__hour_cos FROM events""",
+    hour(ts)::DOUBLE AS ts__hour, round(sin(2 * pi() * (month(ts) - 1) / 12), 6) + 0.0::DOUBLE AS ts__month_sin,
+    round(cos(2 * pi() * (month(ts) - 1) / 12), 6) + 0.0::DOUBLE AS ts__month_cos, round(sin(2 * pi() * hour(ts) / 24), 6) + 0.0::DOUBLE AS ts__hour_sin,
+    round(cos(2 * pi() * hour(ts) / 24), 6) + 0.0::DOUBLE AS ts__hour_cos FROM events""",
 )
 def calendar(spark, sf):
     parts = [*G.CALENDAR_PARTS, "hour"]
     out = G.calendar_features(table(spark, sf, "events"), "ts", parts, ["month", "hour"])
-    # adding zero turns -0.0 of a rounded sine into 0.0
     return rounded(out.drop("ts", "user_id", "event_type", "value", "props"))
 
 
@@ -255,16 +254,16 @@ def hourly(spark, sf):
 @query(
     "lags",
     f"""WITH {HOURLY} SELECT event_type, hour, """
-    + ", ".join(f"round(lag(value, {k}) OVER (PARTITION BY event_type ORDER BY hour), 6) AS value__lag_{k}" for k in G.LAGS)
+    + ", ".join(f"round(lag(value, {k}) OVER (PARTITION BY event_type ORDER BY hour), 9) AS value__lag_{k}" for k in G.LAGS)
     + " FROM h",
 )
 def lags(spark, sf):
-    return rounded(G.temporal_features(hourly(spark, sf), "value", "hour", ["event_type"], windows=()).drop("value"))
+    return rounded(G.temporal_features(hourly(spark, sf), "value", "hour", ["event_type"], windows=()).drop("value"), 9)
 
 
 ROLLING_SQL = ", ".join(
-    f"""round(CASE WHEN count(value) OVER w{w} = {w} THEN avg(value) OVER w{w} END, 5) AS value__rolling_mean_{w},
-    round(CASE WHEN count(value) OVER w{w} = {w} THEN stddev_samp(value) OVER w{w} END, 5) AS value__rolling_std_{w}"""
+    f"""round(CASE WHEN count(value) OVER w{w} = {w} THEN avg(value) OVER w{w} END, 9) AS value__rolling_mean_{w},
+    round(CASE WHEN count(value) OVER w{w} = {w} THEN stddev_samp(value) OVER w{w} END, 9) AS value__rolling_std_{w}"""
     for w in G.WINDOWS
 )
 
@@ -280,7 +279,7 @@ def _windows(partition):
     f"WITH {HOURLY} SELECT event_type, hour, {ROLLING_SQL} FROM h WINDOW {_windows('PARTITION BY event_type')}",
 )
 def rolling(spark, sf):
-    return rounded(G.temporal_features(hourly(spark, sf), "value", "hour", ["event_type"], lags=()).drop("value"), 5)
+    return rounded(G.temporal_features(hourly(spark, sf), "value", "hour", ["event_type"], lags=()).drop("value"), 9)
 
 
 ONE_SERIES = """h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, avg(value) AS value FROM events GROUP BY 1)"""
@@ -288,15 +287,15 @@ ONE_SERIES = """h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, avg(valu
 
 @query(
     "rolling_single_series",
-    f"""WITH {ONE_SERIES} SELECT hour, round(lag(value, 1) OVER (ORDER BY hour), 5) AS value__lag_1,
-    round(lag(value, 14) OVER (ORDER BY hour), 5) AS value__lag_14, {ROLLING_SQL} FROM h WINDOW {_windows('')}""",
+    f"""WITH {ONE_SERIES} SELECT hour, round(lag(value, 1) OVER (ORDER BY hour), 9) AS value__lag_1,
+    round(lag(value, 14) OVER (ORDER BY hour), 9) AS value__lag_14, {ROLLING_SQL} FROM h WINDOW {_windows('')}""",
 )
 def rolling_single_series(spark, sf):
     """One global series, cut into blocks of 100 rows that borrow the tail of the block before."""
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")
     series = table(spark, sf, "events").groupBy(hour).agg(F.avg("value").alias("value"))
     out = G.temporal_features_sliced(series, "value", "hour", lags=(1, 14), block_rows=100)
-    return rounded(out.drop("value"), 5)
+    return rounded(out.drop("value"), 9)
 
 
 @query(
