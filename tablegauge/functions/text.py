@@ -13,6 +13,13 @@ def collapse(value: Column) -> Column:
     return F.regexp_replace(strip(value), r"(?U)\s+", " ")
 
 
+# fixed values: letters whose case folding is not their lower case
+FOLDED = {"ß": "ss", "ς": "σ", "ſ": "s"}
+
+
 def fold(value: Column) -> Column:
-    """Case-insensitive matching key. Upper then lower folds sharp s and final sigma as well."""
-    return F.lower(F.upper(collapse(value)))
+    """Case-insensitive matching key."""
+    out = F.lower(collapse(value))
+    for letter, folded in FOLDED.items():
+        out = F.replace(out, F.lit(letter), F.lit(folded))
+    return out

@@ -116,7 +116,7 @@ def classifier_sweep_and_vote(spark, sf):
 @query("random_search")
 def random_search(spark, sf):
     train, test = _train_test(_label_rows(spark, sf))
-    draws = [c for c in K.random_search(S.BINARY, 300, draws=4) if c.family == "ensemble"]
+    draws = K.random_search(S.BINARY, train.count(), draws=2)
     runs, _ = K.train_candidates(train, test, S.BINARY, draws)
     return M.rank_runs(runs, S.BINARY)
 

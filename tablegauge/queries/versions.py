@@ -102,8 +102,7 @@ def processed_sink(spark, sf):
 
 @query(
     "version_registry",
-    """SELECT 'v1' AS version_id, 'raw' AS kind, count(*) AS row_count, 0 AS children FROM events WHERE FALSE
-    UNION ALL SELECT 'v1', 'raw', count(*), 1 FROM events UNION ALL SELECT 'v2', 'processed', count(*), 0 FROM events WHERE event_id % 2 = 0""",
+    """SELECT 'v1' AS version_id, 'raw' AS kind, count(*) AS row_count, 1 AS children FROM events UNION ALL SELECT 'v2', 'processed', count(*), 0 FROM events WHERE event_id % 2 = 0""",
 )
 def version_registry(spark, sf):
     e = table(spark, sf, "events")
