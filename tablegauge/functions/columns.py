@@ -110,6 +110,13 @@ def as_text(df: DataFrame, name: str) -> Column:
     return value.cast("string")
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """Whether a value is there, without turning it into text."""
+    data_type = df.schema[name].dataType
+    value = quote(name)
+    return value.isNotNull() & ~F.isnan(value) if isinstance(data_type, (T.FloatType, T.DoubleType)) else value.isNotNull()
+
+
 def unpivot_rows(df: DataFrame, keys: list[Column], parts: list[list[Column]]) -> DataFrame:
     """One output row per part: every part is a list of equally named and typed columns."""
     return df.select(*keys, F.inline(F.array(*[F.struct(*p) for p in parts])))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablegauge.operators import ordered
 from tablegauge.operators.splits import UNITS, hash_unit
+from tablegauge.session import staged
 
 SEED = 42  # fixed value
 REPEATS = 10  # fixed value
@@ -36,7 +37,7 @@ def hashed_positions(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
 def with_donors(df: DataFrame, key: str, repeats: int, seed: int = SEED) -> DataFrame:
     """Every row once per repeat with the feature array of another row (``donor``), a permutation per repeat."""
     arrays = df.select(key, "label", vector_to_array("features").alias("v"))
-    placed = hashed_positions(arrays, key, seed).persist()
+    placed = staged(hashed_positions(arrays, key, seed), "positions")
     n = placed.count()
     rng = random.Random(seed)
     shifts = [rng.randrange(1, n) if n > 1 else 0 for _ in range(repeats)]

@@ -225,25 +225,26 @@ def mutual_information(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
     Bin edges of all pairs come from one quantile job (complete rows of each pair) and are used as literals.
     """
     kinds = C.eda_kinds(df)
-    views: dict[tuple[int, int], Column] = {}
-    numbers: dict[str, Column] = {}
+    flat, numbers = {}, []
     for i, (a, b) in enumerate(pairs):
-        both = C.as_text(df, a).isNotNull() & C.as_text(df, b).isNotNull()
+        both = C.present(df, a) & C.present(df, b)
         for side, name in enumerate((a, b)):
+            key = f"v{i}_{side}"
             if kinds[name] == C.NUMERIC:
-                numbers[f"{i}:{side}"] = F.when(both, C.as_double(df, name))
+                numbers.append(key)
+                flat[key] = F.when(both, C.as_double(df, name))
             else:
-                views[i, side] = F.when(both, C.as_text(df, name))
+                flat[key] = F.when(both, C.as_text(df, name))
+    views = {key: F.col(key) for key in flat}
+    df = df.select(*[value.alias(key) for key, value in flat.items()])
     if numbers:
-        cuts = ordered.quantile_values(df, numbers, [j / MI_BINS for j in range(MI_BINS + 1)])
-        for key, value in numbers.items():
-            i, side = map(int, key.split(":"))
-            edges = sorted(set(cuts[key].values()))
-            code = F.when(value.isNotNull(), F.lit(0))
-            for e in edges[1:-1]:
-                code = code + F.when(value > F.lit(e), 1).otherwise(0)
-            views[i, side] = code.cast("string")
-    cells = with_margins(pair_cells(df, [(views[i, 0], views[i, 1], a, b) for i, (a, b) in enumerate(pairs)]))
+        cuts = ordered.quantile_values(df, {key: F.col(key) for key in numbers}, [j / MI_BINS for j in range(MI_BINS + 1)])
+        for key in numbers:
+            code = F.when(F.col(key).isNotNull(), F.lit(0))
+            for e in sorted(set(cuts[key].values()))[1:-1]:
+                code = code + F.when(F.col(key) > F.lit(e), 1).otherwise(0)
+            views[key] = code.cast("string")
+    cells = with_margins(pair_cells(df, [(views[f"v{i}_0"], views[f"v{i}_1"], a, b) for i, (a, b) in enumerate(pairs)]))
     p = F.col("n") / F.col("total")
     ratio = F.col("n").cast("double") * F.col("total") / (F.col("row_total").cast("double") * F.col("col_total"))
     return (

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablegauge.functions import columns as C
 from tablegauge.operators import ordered
 from tablegauge.operators.hypothesis import _status
+from tablegauge.session import staged
 
 MAX_CENTRES = 4096
 BLOCK = 20_000
@@ -99,7 +100,9 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
     points = data.select("pid", "v", "payload").mapInPandas(
         assign, "pid long, v array<double>, payload double, cell int, away double"
     )
+    points = staged(points, "points")
     asked = queries.select("qid", "v").mapInPandas(assign, "qid long, v array<double>, cell int, away double")
+    asked = staged(asked.drop("away"), "asked")
     sizes = {r["cell"]: (r["n"], r["radius"]) for r in points.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("away").alias("radius")
     ).collect()}  # one row per centre
@@ -150,7 +153,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
         merged = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k)
         return rows.groupBy("qid").agg(F.first("v").alias("v"), merged.alias("found"))
 
-    home = best(search(asked))
+    home = staged(best(search(asked)), "home")
     bounded = asked.join(home.select("qid", "found"), "qid", "left").select(
         "qid", "v", "cell",
         F.when(F.size("found") >= k, F.try_element_at("found", F.lit(k))["distance"]).alias("bound"),
@@ -316,7 +319,7 @@ def knn_mutual_information(df: DataFrame, a: str, b: str, k: int = MI_K, standar
         ).cast(state),
     )
     eps = found.select(F.col("qid").alias("pid"), walk["eps"].alias("eps"))
-    points = keyed.join(eps, "pid").persist()
+    points = staged(keyed.join(eps, "pid"), "eps")
     counts = _range_counts(points)
     terms = counts.select("pid", digamma(F.col("inside").cast("double")).alias("psi"))  # inside counts the point itself
     mean = terms.join(points.select("pid", "n"), "pid").agg((F.sum(F.col("psi") * F.col("n")) / F.lit(float(total))).alias("mean"))

@@ -38,6 +38,11 @@ def cut_points(quantiles: list[float]) -> list[float]:
     return [-math.inf, *(sorted(edges) or [0.0]), math.inf]
 
 
+def hot_values(edges: list[float]) -> list[float]:
+    """Values that have a bucket of their own: those the sketch saw in several of its quantiles."""
+    return [a for a, b in zip(edges, edges[1:]) if b == math.nextafter(a, math.inf)]
+
+
 def sketch_edges(df: DataFrame, values: dict[str, Column], buckets: int | None = None) -> dict[str, list[float]]:
     """Bucket edges per column from one map-side-combined sketch pass."""
     buckets = buckets or bucket_count(df)
@@ -161,18 +166,20 @@ def quantiles(
         targets,
         "column string, bucket int, before long, probability double, position long, side string, fraction double",
     )
+    inner = {n: f"v{i}" for i, n in enumerate(values)}
+    flat = df.select(*[values[n].alias(inner[n]) for n in values])
     chosen = {}
     for name in values:
+        x = F.col(inner[name])
         ranges = sorted({t[1] for t in targets if t[0] == name})
         bucket = F.lit(None).cast("int")
         for b in ranges:  # few literal ranges per column, which also reach the scan as filters
             low, high = edges[name][b], edges[name][b + 1]
-            bucket = F.when((values[name] >= F.lit(low)) & (values[name] < F.lit(high)), F.lit(b)).otherwise(bucket)
-            if high == math.inf:
-                bucket = F.when(values[name] == F.lit(math.inf), F.lit(b)).otherwise(bucket)
+            inside = (x >= F.lit(low)) & ((x < F.lit(high)) if high < math.inf else ~F.isnan(x))
+            bucket = F.when(inside, F.lit(b)).otherwise(bucket)
         chosen[name] = bucket
     narrowed = unpivot_rows(
-        df, [], [[F.lit(n).alias("column"), chosen[n].alias("bucket"), values[n].alias("x")] for n in values]
+        flat, [], [[F.lit(n).alias("column"), chosen[n].alias("bucket"), F.col(inner[n]).alias("x")] for n in values]
     ).where(F.col("bucket").isNotNull())
     return _pick_positions(narrowed, F.broadcast(wanted), ["column"])
 

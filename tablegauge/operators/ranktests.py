@@ -48,40 +48,49 @@ def _pair_rows(
 def _side_ranks(rows: DataFrame, value: str, bucket: str, rank: str) -> DataFrame:
     counts = rows.groupBy("pair", F.col(bucket).alias("bucket"), F.col(value).alias("x")).agg(F.sum("n").alias("n"))
     return ordered.average_ranks(counts, ["pair"]).select(
-        "pair", F.col("x").alias(value), F.col("avg_rank").alias(rank), "n", "total"
+        "pair", F.col("x").alias(value), F.col("avg_rank").alias(rank)
     )
 
 
-def _attach_rank(rows: DataFrame, ranks: DataFrame, value: str, rank: str, buckets: int) -> DataFrame:
-    """Join ranks to rows by value. Values holding more than 1/buckets of a pair's rows are fewer than ``buckets``
-    per pair, so they are broadcast; the others are joined by shuffle without hot keys."""
-    hot = F.col("n") * F.lit(buckets) > F.col("total")
-    hot_ranks = F.broadcast(ranks.where(hot).select("pair", value, rank))
-    cold_ranks = ranks.where(~hot).select("pair", value, rank)
-    return rows.join(hot_ranks, ["pair", value]).unionByName(
-        rows.join(hot_ranks, ["pair", value], "left_anti").join(cold_ranks, ["pair", value])
-    )
+def _attach_rank(rows: DataFrame, ranks: DataFrame, value: str, rank: str, hot: Column, spread: int) -> DataFrame:
+    """Join ranks to rows by value. Rows of hot values are spread over ``spread`` keys; their rank (one row per value)
+    is repeated for each."""
+    other = "y" if value == "x" else "x"
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    salted = ranks.select("pair", value, rank, F.explode(salts).alias("__salt"))
+    salt = F.when(hot, F.pmod(F.xxhash64(other), F.lit(spread))).otherwise(F.lit(0)).cast("int")
+    return rows.withColumn("__salt", salt).join(salted, ["pair", value, "__salt"]).drop("__salt")
+
+
+def _is_hot(pairs: list[tuple[str, str]], edges: dict[str, list[float]], side: int, value: str) -> Column:
+    out = F.lit(False)
+    for i, pair in enumerate(pairs):
+        values = ordered.hot_values(edges[pair[side]])
+        if values:
+            out = out | ((F.col("pair") == i) & F.col(value).isin(values))
+    return out
 
 
 def spearman(df: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Spearman rho: Pearson correlation of the average ranks over complete pairs."""
     pairs = pairs if pairs is not None else explore.name_pairs(C.numeric_columns(df))
-    rows, _ = _pair_rows(df, pairs)
-    buckets = ordered.bucket_count(df)
-    rx, ry = _side_ranks(rows, "x", "bx", "rx"), _side_ranks(rows, "y", "by", "ry")
-    ranked = _attach_rank(rows, rx, "x", "rx", buckets)
-    ranked = _attach_rank(ranked, ry, "y", "ry", buckets)
-    middle = (F.sum("n") + 1) / F.lit(2.0)  # mean rank is known: (N + 1) / 2
-    cross = ranked.groupBy("pair").agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("rx") * F.col("ry")) / F.sum("n") - middle * middle).alias("cov")
+    rows, edges = _pair_rows(df, pairs)
+    spread = ordered.bucket_count(df)
+    ranked = rows
+    for side, (value, bucket, rank) in enumerate((("x", "bx", "rx"), ("y", "by", "ry"))):
+        ranks = _side_ranks(rows, value, bucket, rank)
+        ranked = _attach_rank(ranked, ranks, value, rank, _is_hot(pairs, edges, side, value), spread)
+    weighted = lambda v: F.sum(F.col("n") * v) / F.sum("n")
+    middle = (F.sum("n") + 1) / F.lit(2.0)  # the mean rank is (N + 1) / 2 on both sides
+    rx, ry = F.col("rx"), F.col("ry")
+    joined = ranked.groupBy("pair").agg(
+        F.sum("n").alias("n"),
+        (weighted(rx * ry) - middle * middle).alias("cov"),
+        (weighted(rx * rx) - middle * middle).alias("var_x"),
+        (weighted(ry * ry) - middle * middle).alias("var_y"),
+        ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"),
     )
-
-    def variance(side: DataFrame, rank: str, name: str) -> DataFrame:
-        gap = F.col(rank) - (F.col("total") + 1) / F.lit(2.0)
-        return side.groupBy("pair").agg((F.sum(F.col("n") * gap * gap) / F.sum("n")).alias(name))
-
-    joined = cross.join(variance(rx, "rx", "var_x"), "pair").join(variance(ry, "ry", "var_y"), "pair")
-    ok = (F.col("n") >= MIN_PAIRS) & (F.col("var_x") > 0) & (F.col("var_y") > 0)
+    ok = (F.col("n") >= MIN_PAIRS) & F.col("varies")
     rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / F.sqrt(F.col("var_x") * F.col("var_y"))))
     return _name_pairs(joined, pairs).select(
         "column_a", "column_b", "n", _status(ok).alias("status"), F.when(ok, rho).alias("statistic")
@@ -103,26 +112,28 @@ def spearman_test(df: DataFrame, pairs: list[tuple[str, str]] | None = None, alp
 
 
 def _label_ranks(df: DataFrame, category: str, numeric: str, min_group: int) -> DataFrame:
-    """Per label: n and rank sum over all kept labels, plus the tie term and the total.
+    """(label, n, rank_sum, tie_part): rank sums over all kept labels; tie parts add up to the sum of t^3 - t.
 
     Labels below ``min_group`` rows are left out before ranking.
     """
     value, label = C.as_double(df, numeric), C.as_text(df, category)
     edges = ordered.sketch_edges(df, {numeric: value})
     rows = ordered.long_values(df, {numeric: value}, {"label": label}, edges).where(F.col("label").isNotNull())
-    counts = rows.groupBy("label", "bucket", "x").agg(F.count("*").alias("n"))
-    kept = counts.groupBy("label").agg(F.sum("n").alias("size")).where(F.col("size") >= min_group)
-    counts = counts.join(kept.select("label"), "label", "left_semi").withColumn("column", F.lit(numeric))
+    counts = rows.groupBy("column", "label", "bucket", "x").agg(F.count("*").alias("n"))
+    if min_group > 1:
+        kept = rows.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= min_group)
+        counts = counts.join(kept.select("label"), "label", "left_semi")
     per_value = counts.groupBy("column", "bucket", "x").agg(F.sum("n").alias("n"))
-    ranks = ordered.average_ranks(per_value, ["column"])
-    tie = F.col("n").cast("double")
-    ties = ranks.agg(F.sum(tie * tie * tie - tie).alias("tie_term"), F.max("total").alias("total"))
-    sums = (
-        counts.join(ranks.select("bucket", "x", "avg_rank"), ["bucket", "x"])
+    ranks = ordered.average_ranks(per_value, ["column"]).select("bucket", "x", "avg_rank", F.col("n").cast("double").alias("t"))
+    return (
+        counts.join(ranks, ["bucket", "x"])  # rows are (label, value) counts: a hot value is one row per label
         .groupBy("label")
-        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("avg_rank")).alias("rank_sum"))
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.col("n") * F.col("avg_rank")).alias("rank_sum"),
+            F.sum(F.col("n") * (F.col("t") * F.col("t") - 1.0)).alias("tie_part"),
+        )
     )
-    return sums.crossJoin(F.broadcast(ties))  # one row of totals
 
 
 def mann_whitney(df: DataFrame, category: str, numeric: str) -> DataFrame:
@@ -134,8 +145,8 @@ def mann_whitney(df: DataFrame, category: str, numeric: str) -> DataFrame:
         F.min_by("n", "label").alias("n_a"),
         F.max_by("n", "label").alias("n_b"),
         F.min_by("rank_sum", "label").alias("rank_sum_a"),
-        F.max("tie_term").alias("tie_term"),
-        F.max("total").alias("n"),
+        F.sum("tie_part").alias("tie_term"),
+        F.sum("n").alias("n"),
     )
     ok = (F.col("n_groups") == 2) & (F.least("n_a", "n_b") >= MIN_GROUP)
     n_a = F.col("n_a").cast("double")
@@ -173,8 +184,8 @@ def kruskal(df: DataFrame, category: str, numeric: str) -> DataFrame:
     rows = _label_ranks(df, category, numeric, MIN_GROUP)
     parts = rows.agg(
         F.count("*").alias("n_groups"),
-        F.max("total").alias("n"),
-        F.max("tie_term").alias("tie_term"),
+        F.sum("n").alias("n"),
+        F.sum("tie_part").alias("tie_term"),
         F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("spread"),
     )
     n = F.col("n").cast("double")

@@ -157,7 +157,7 @@ def test_features(spark, frame):
     assert (chosen["num_a_dup"]["action"], chosen["num_a_dup"]["related"]) == ("drop", "num_a")
     assert chosen["near_binary"]["reason"] == "low_variety" and chosen["num_b"]["reason"] == "redundant"
     assert chosen["region"]["action"] == "retain"
-    assert ("neg", "scale") in {tuple(r) for r in G.transform_choices(df, ["neg"]).collect()}
+    assert ("neg", "reciprocal") in {tuple(r) for r in G.transform_choices(df, ["neg"]).collect()}
     needs = {tuple(r) for r in G.requirements(df).collect()}
     assert ("region", "encoding") in needs
 
