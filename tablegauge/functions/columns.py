@@ -127,6 +127,18 @@ def stack_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.inline(F.array(*[quote(c) for c in rows.columns])))
 
 
+def attach_row(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (numbers, texts, short arrays) as literals; no join, no shuffle.
+
+    Without a row there is nothing to attach and the result is empty.
+    """
+    found = one.first()
+    types = {f.name: f.dataType for f in one.schema.fields}
+    if found is None:
+        return rows.withColumns({n: F.lit(None).cast(t) for n, t in types.items()}).where(F.lit(False))
+    return rows.withColumns({n: F.lit(found[n]).cast(t) for n, t in types.items()})
+
+
 def settle(rows: DataFrame) -> DataFrame:
     """Compute a report-sized table (rows per column or pair, never per data row) once and hand it on as literal rows,
     so that later joins do not scan the data again."""

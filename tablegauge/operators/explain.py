@@ -11,6 +11,7 @@ import random
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tablegauge.functions import columns as C
 from tablegauge.operators import ordered
 from tablegauge.operators.splits import UNITS, hash_unit
 from tablegauge.session import staged
@@ -72,7 +73,7 @@ def permutation_importance(model, df: DataFrame, features: list[str], key: str,
         ).alias("features"),
     )
     base = _scores(model.transform(df), [], scoring).select(F.col("score").alias("base"))
-    drops = _scores(model.transform(swapped), ["feature", "repeat"], scoring).crossJoin(F.broadcast(base))  # one row
+    drops = C.attach_row(_scores(model.transform(swapped), ["feature", "repeat"], scoring), base)
     gap = F.col("base") - F.col("score")
     named = F.element_at(F.array(*map(F.lit, features)), F.col("feature") + 1)
     result = drops.groupBy("feature").agg(

@@ -96,13 +96,10 @@ def with_target(df: DataFrame, target: str) -> DataFrame:
 def trim_unobserved_ends(df: DataFrame, target: str, time_column: str) -> DataFrame:
     """Keep the stretch from the first to the last row with a target; gaps inside stay."""
     df = C.normalise_missing(df)
-    seen = F.when(C.quote(target).isNotNull(), C.quote(time_column))
-    ends = df.agg(F.min(seen).alias("__first"), F.max(seen).alias("__last"))  # one row
-    return (
-        df.crossJoin(F.broadcast(ends))
-        .where(C.quote(time_column).between(F.col("__first"), F.col("__last")))
-        .drop("__first", "__last")
-    )
+    moment = C.as_number(df, time_column)
+    seen = F.when(C.quote(target).isNotNull(), moment)
+    ends = df.agg(F.min(seen).alias("first"), F.max(seen).alias("last")).first()
+    return df.where(moment.between(F.lit(ends["first"]), F.lit(ends["last"])))
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:

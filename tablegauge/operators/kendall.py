@@ -78,13 +78,11 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
 
     # grid: for each cell, weight strictly left and below minus strictly left and above
     grid = rows.groupBy("bx", "by").agg(F.sum("n").cast("double").alias("n"))
-    axis_x, axis_y = (
-        df.sparkSession.range(len(edges[c]) - 1).select(F.col("id").cast("int").alias(k))
-        for c, k in ((a, "bx"), (b, "by"))
-    )
-    full = axis_x.crossJoin(F.broadcast(axis_y)).join(grid, ["bx", "by"], "left").select(  # fixed-size grid
-        "bx", "by", F.coalesce("n", F.lit(0.0)).alias("n")
+    width, height = len(edges[a]) - 1, len(edges[b]) - 1
+    cells = df.sparkSession.range(width * height).select(
+        F.floor(F.col("id") / height).cast("int").alias("bx"), F.pmod("id", F.lit(height)).cast("int").alias("by")
     )
+    full = cells.join(grid, ["bx", "by"], "left").select("bx", "by", F.coalesce("n", F.lit(0.0)).alias("n"))
     left = full.withColumn(
         "left", F.coalesce(F.sum("n").over(W.partitionBy("by").orderBy("bx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     )
@@ -113,7 +111,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
             )
         )
 
-    one = signed.crossJoin(F.broadcast(ties("x", "x"))).crossJoin(F.broadcast(ties("y", "y")))  # single rows
+    one = C.attach_row(C.attach_row(signed, ties("x", "x")), ties("y", "y"))
     n = F.col("n_x")
     pairs = n * (n - 1) / 2
     ok = (n >= MIN_PAIRS) & (F.col("t_x") < pairs) & (F.col("t_y") < pairs)

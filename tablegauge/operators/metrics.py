@@ -6,6 +6,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tablegauge.functions import columns as C
 from tablegauge.operators import ordered
 
 # fixed values: selection metric and direction per task, family order for ties
@@ -101,7 +102,7 @@ def cluster_metrics(rows: DataFrame, features: str = "features", cluster: str =
     whole = entries.groupBy("i").agg(F.avg("x").alias("m")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("grand")
     )
-    totals = spread.crossJoin(F.broadcast(whole)).agg(  # one row
+    totals = C.attach_row(spread, whole).agg(
         F.count("*").alias("k"),
         F.sum("n").alias("n"),
         F.sum("w").alias("within"),
@@ -118,7 +119,7 @@ def cluster_metrics(rows: DataFrame, features: str = "features", cluster: str =
     )
     k, n = F.col("k"), F.col("n")
     ch = F.try_divide(F.col("between") / (k - 1), F.col("within") / (n - k))
-    out = totals.where(k >= 2).crossJoin(F.broadcast(worst)).select(  # one row each
+    out = C.attach_row(totals.where(k >= 2), worst).select(
         "k", "n", F.round(ch, digits).alias("calinski_harabasz"), F.round("db", digits).alias("davies_bouldin")
     )
     if not silhouette:

@@ -149,7 +149,7 @@ def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight`` = n / (classes x class count), from one grouped count (one row per class)."""
     counts = train.groupBy(label).agg(F.count("*").alias("__n"))
     sizes = counts.agg(F.sum("__n").alias("__all"), F.count("*").alias("__k"))
-    weights = counts.crossJoin(F.broadcast(sizes)).select(  # one row
+    weights = C.attach_row(counts, sizes).select(
         label, (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("weight")
     )
     return train.join(F.broadcast(weights), label)

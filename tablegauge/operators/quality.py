@@ -200,9 +200,8 @@ def category_variants(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     counts = P.value_counts(df, columns)
     per_column = counts.groupBy("column").agg(F.count("*").alias("d"), F.sum("n").alias("present"))
-    n_rows = df.agg(F.count("*").alias("n_rows"))
     small = (
-        per_column.crossJoin(F.broadcast(n_rows))  # one row each side of the broadcast
+        C.attach_row(per_column, df.agg(F.count("*").alias("n_rows")))
         .where((F.col("d") <= CATEGORY_MAX_DISTINCT) & (F.col("d") <= F.lit(CATEGORY_MAX_SHARE) * F.col("n_rows")))
         .select("column", "n_rows")
     )
@@ -463,8 +462,7 @@ def compare_quality(
     score = lambda f, name: summarise(f).select(F.col("score").alias(name))
 
     def measure(label: str, b: DataFrame, a: DataFrame, worse: Column) -> DataFrame:
-        both = b.crossJoin(F.broadcast(a))  # one row on each side
-        return both.select(
+        return C.attach_row(b, a).select(
             F.lit(label).alias("measure"),
             "before",
             "after",

@@ -237,7 +237,7 @@ def wilcoxon(df: DataFrame, a: str, b: str, alternative: str = "two-sided") -> D
     zeros = diff.agg(F.count_if(F.col("d") == 0).alias("n_zero"))
     ok = F.col("n") >= MIN_PAIRS
     chosen = F.least("w_plus", "w_minus") if alternative == "two-sided" else F.col("w_plus")
-    return sums.crossJoin(F.broadcast(zeros)).select(
+    return C.attach_row(sums, zeros).select(
         F.lit(a).alias("column_a"),
         F.lit(b).alias("column_b"),
         F.lit(alternative).alias("alternative"),

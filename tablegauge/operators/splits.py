@@ -21,7 +21,7 @@ def split_plan(df: DataFrame, task: str, target: str | None = None) -> DataFrame
     n = F.count("*").alias("n_rows")
     if task in (S.BINARY, S.MULTICLASS) and target:
         counts = P.value_counts(df, [target]).agg(F.count("*").alias("k"), F.min("n").alias("smallest"))
-        facts = df.agg(n).crossJoin(F.broadcast(counts))  # one row each
+        facts = C.attach_row(df.agg(n), counts)
         stratify = (F.col("k") >= 2) & (F.col("smallest") >= MIN_CLASS)
     else:
         facts, stratify = df.agg(n), F.lit(False)

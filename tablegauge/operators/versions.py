@@ -97,8 +97,9 @@ def content_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Side-by-side content facts and whether the tables hold the same rows (columns matched by name)."""
     same_columns = sorted(before.columns) == sorted(after.columns)
     b, a = content_facts(before), content_facts(after.select(*map(C.quote, before.columns)) if same_columns else after)
-    one = b.select([F.col(c).alias(c + "_before") for c in b.columns]).crossJoin(
-        F.broadcast(a.select([F.col(c).alias(c + "_after") for c in a.columns]))  # one row on each side
+    one = C.attach_row(
+        b.select([F.col(c).alias(c + "_before") for c in b.columns]),
+        a.select([F.col(c).alias(c + "_after") for c in a.columns]),
     )
     identical = F.lit(same_columns) & (F.col("row_count_before") == F.col("row_count_after")) & (
         F.col("content_digest_before") == F.col("content_digest_after")
@@ -206,7 +207,7 @@ def path(versions: DataFrame, start: str, end: str) -> DataFrame:
     up = closure(versions).where(F.col("version_id") == end)
     limit = up.where(F.col("ancestor_id") == start).select(F.col("distance").alias("limit"))
     return (
-        up.crossJoin(F.broadcast(limit))  # zero or one row
+        C.attach_row(up, limit)
         .where(F.col("distance") <= F.col("limit"))
         .select((F.col("limit") - F.col("distance")).alias("step"), F.col("ancestor_id").alias("version_id"))
     )
@@ -228,7 +229,7 @@ def relationship(versions: DataFrame, a: str, b: str) -> DataFrame:
         F.max(F.when(F.col("version_id") == a, F.col("root_id"))).alias("root_a"),
         F.max(F.when(F.col("version_id") == b, F.col("root_id"))).alias("root_b"),
     )
-    one = facts.crossJoin(F.broadcast(family)).crossJoin(F.broadcast(root))  # single rows
+    one = C.attach_row(C.attach_row(facts, family), root)
     return one.select(
         F.lit(a).alias("version_a"),
         F.lit(b).alias("version_b"),
@@ -334,7 +335,7 @@ def compare_experiments(records: DataFrame) -> DataFrame:
     # one registry, ranked as a whole: one window over the (small) experiment table
     order = W.partitionBy("eligible").orderBy(oriented, "experiment_id")
     single = F.col("kinds") <= 1
-    return marked.crossJoin(F.broadcast(kinds)).select(  # one row
+    return C.attach_row(marked, kinds).select(
         "experiment_id",
         "metric",
         "direction",

@@ -199,7 +199,7 @@ TRANSFORM_SQL = " UNION ALL ".join(
 def transform_choices(spark, sf):
     e = table(spark, sf, "events")
     mean = e.agg(F.avg("value").alias("m"))
-    wide = e.crossJoin(F.broadcast(mean)).select(
+    wide = C.attach_row(e, mean).select(
         "value", (F.col("value") - F.col("m")).alias("shifted"), (F.col("value") * 1000 + 500000).alias("big")
     )
     return G.transform_choices(wide)

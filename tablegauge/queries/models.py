@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from tablegauge.functions import columns as C
 from tablegauge.operators import explain as E, features as G, metrics as M, models as K, screens as S, splits as L
 from tablegauge.queries.features import UNIT
 from tablegauge.queries.registry import query, rounded, table
@@ -154,7 +155,7 @@ def _rule_runs(spark, sf):
                                  ("by_priority", "tree_based", "o_orderpriority")):
         key = [column] if column else []
         means = o.groupBy(*key).agg(F.avg("o_totalprice").alias("prediction"))
-        joined = o.join(means, column) if column else o.crossJoin(F.broadcast(means))  # one row
+        joined = o.join(means, column) if column else C.attach_row(o, means)
         found = M.regression_metrics(joined.withColumn("label", F.col("o_totalprice")))
         parts.append(found.select(
             F.lit(name).alias("candidate"), F.lit(family).alias("family"), F.lit("completed").alias("status"),
