@@ -11,6 +11,7 @@ from tablegauge.operators import ordered
 DATE_RATIO = 0.9
 DATE_MARK = r"[-/:]"
 LETTER = r"[A-Za-z]"
+DATE_MAX_LENGTH = 64
 # fixed values: accepted date and time layouts, tried in this order
 DATE_FORMATS = (
     "yyyy-MM-dd",
@@ -84,8 +85,8 @@ def inferred_kind(df: DataFrame, name: str) -> Column:
         kind = F.lit(C.DATETIME)
     elif isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
         marked = F.greatest(_share(value.rlike(DATE_MARK)), _share(value.rlike(LETTER))) >= DATE_RATIO
-        # the cheap shape test guards the parser: a value with neither mark nor digit is never a date here
-        parsed = F.when(value.rlike(r"\d"), parse_datetime(value))
+        # cheap tests guard the parser: no accepted layout is without a digit or longer than this
+        parsed = F.when((F.length(value) <= DATE_MAX_LENGTH) & value.rlike(r"\d"), parse_datetime(value))
         dated = F.count(parsed) >= F.lit(DATE_RATIO) * F.count(value)
         kind = F.when(marked & dated, F.lit(C.DATETIME)).otherwise(F.lit(C.CATEGORICAL))
     else:

@@ -114,6 +114,15 @@ def classifier_sweep_and_vote(spark, sf):
     return ranking.unionByName(row)
 
 
+@query("modeling_run")
+def modeling_run(spark, sf):
+    """Screens, feature selection, split, preprocessing, training and ranking in one call."""
+    from tablegauge.plans.modeling_run import model_table
+
+    o = table(spark, sf, "orders").drop("o_orderdate")
+    return model_table(o, "o_totalprice", "o_orderkey", families=["linear", "tree_based"]).ranking
+
+
 @query("random_search")
 def random_search(spark, sf):
     train, test = _train_test(_label_rows(spark, sf))

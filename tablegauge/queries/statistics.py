@@ -269,20 +269,6 @@ def binned_mutual_information(spark, sf):
     return rounded(H.mutual_information(table(spark, sf, "lineitem"), [("l_quantity", "l_extendedprice")]))
 
 
-@query("test_battery")
-def test_battery(spark, sf):
-    return H.test_battery(
-        table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]
-    )
-
-
-@query("effect_battery")
-def effect_battery(spark, sf):
-    return H.effect_battery(
-        table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]
-    )
-
-
 RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
 
 
@@ -443,3 +429,87 @@ def holm(spark, sf):
 )
 def benjamini_hochberg(spark, sf):
     return rounded(pvalues.adjust(_pvalues(spark, sf), method="benjamini_hochberg", order="test").drop("significant"))
+
+
+def integral_sql(density: str, upper: str, steps: int = 2000) -> str:
+    """Simpson's rule of a density in x from 0 to an upper limit, the reference value of a tail probability."""
+    return f"""(SELECT u / {steps} / 3 * sum((CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({density}))
+      FROM (SELECT i, {upper} AS u, {upper} * i / {steps}.0::DOUBLE AS x FROM range(0, {steps + 1}) t(i)) GROUP BY u)"""
+
+
+@query(
+    "anova_p_value",
+    """WITH g AS (SELECT c_mktsegment AS label, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) * (count(*) - 1) AS ss
+      FROM customer GROUP BY 1 HAVING count(*) >= 2),
+    t AS (SELECT sum(n * m) / sum(n) AS grand FROM g),
+    f AS (SELECT (count(*) - 1)::DOUBLE AS a, (sum(n) - count(*))::DOUBLE AS b,
+      (sum(n * pow(m - grand, 2)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f FROM g, t)
+    SELECT round(f, 6) AS statistic, round(1 - """
+    + integral_sql(
+        "exp(lgamma((a + b) / 2) - lgamma(a / 2) - lgamma(b / 2) + a / 2 * ln(a / b) - (a + b) / 2 * ln(1 + a * x / b)) * pow(x, a / 2 - 1)",
+        "f",
+    ).replace("AS u,", "AS u, a, b,").replace("GROUP BY u", "GROUP BY u")
+    + """, 5) AS p_value FROM f""",
+)
+def anova_p_value(spark, sf):
+    result = H.anova_test(table(spark, sf, "customer"), ["c_mktsegment"], ["c_acctbal"])
+    return result.select(F.round("statistic", 6).alias("statistic"), F.round("p_value", 5).alias("p_value"))
+
+
+@query(
+    "chi_square_p_value",
+    """WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2),
+    r AS (SELECT a, sum(n) AS n FROM c GROUP BY 1), s AS (SELECT b, sum(n) AS n FROM c GROUP BY 1),
+    q AS (SELECT (SELECT sum(n) FROM c) * (sum(c.n * c.n / (r.n * s.n)) - 1) AS q FROM c JOIN r ON r.a = c.a JOIN s ON s.b = c.b),
+    k AS (SELECT q, (((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM s) - 1))::DOUBLE AS k FROM q)
+    SELECT round(q, 6) AS statistic, round(1 - """
+    + integral_sql("exp(-x / 2 - k / 2 * ln(2) - lgamma(k / 2)) * pow(x, k / 2 - 1)", "q").replace("AS u,", "AS u, k,")
+    + """, 5) AS p_value FROM k""",
+)
+def chi_square_p_value(spark, sf):
+    result = H.chi_square_test(table(spark, sf, "orders"), [("o_orderpriority", "o_orderstatus")])
+    return result.select(F.round("statistic", 6).alias("statistic"), F.round("p_value", 5).alias("p_value"))
+
+
+BATTERY_PAIRS = [("o_orderpriority", "o_custkey"), ("o_orderpriority", "o_totalprice"), ("o_orderstatus", "o_custkey"),
+                 ("o_orderstatus", "o_totalprice")]
+
+
+def _moments_sql(c: str, x: str) -> str:
+    return f"""SELECT '{c}' AS c, '{x}' AS x, count(*) AS k, sum(n) AS n, sum(n * pow(m - grand, 2)) AS ssb, sum(ss) AS ssw FROM
+      (SELECT count(*) AS n, avg({x}) AS m, coalesce(var_samp({x}) * (count(*) - 1), 0) AS ss FROM orders GROUP BY {c}),
+      (SELECT avg({x}) AS grand FROM orders)"""
+
+
+@query(
+    "test_battery",
+    """SELECT 'welch' AS test, 'o_custkey' AS column_a, 'o_totalprice' AS column_b, count(*)::BIGINT AS n,
+      round((avg(o_custkey) - avg(o_totalprice)) / sqrt(var_samp(o_custkey) / count(*) + var_samp(o_totalprice) / count(*)), 5) AS statistic
+    FROM orders UNION ALL SELECT 'anova', c, x, n::BIGINT, round((ssb / (k - 1)) / (ssw / (n - k)), 5) FROM ("""
+    + _union(_moments_sql(c, x) for c, x in BATTERY_PAIRS)
+    + """) UNION ALL SELECT 'chi_square', 'o_orderpriority', 'o_orderstatus', any_value(t)::BIGINT, round(any_value(t) * (sum(n * n / (r * s)) - 1), 5)
+    FROM (SELECT n, sum(n) OVER (PARTITION BY a) AS r, sum(n) OVER (PARTITION BY b) AS s, sum(n) OVER () AS t FROM
+      (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2))""",
+)
+def test_battery(spark, sf):
+    found = H.test_battery(
+        table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]
+    )
+    return found.select("test", "column_a", "column_b", "n", F.round("statistic", 5).alias("statistic"))
+
+
+@query(
+    "effect_battery",
+    """SELECT 'correlation_ratio' AS effect, c AS column_a, x AS column_b, n::BIGINT AS n, round(sqrt(ssb / (ssb + ssw)), 6) AS effect_size FROM ("""
+    + _union(_moments_sql(c, x) for c, x in BATTERY_PAIRS)
+    + """) UNION ALL SELECT 'cramers_v', 'o_orderpriority', 'o_orderstatus', any_value(t)::BIGINT,
+      round(sqrt((sum(n * n / (r * s)) - 1) / least(count(DISTINCT a) - 1, count(DISTINCT b) - 1)), 6)
+    FROM (SELECT a, b, n, sum(n) OVER (PARTITION BY a) AS r, sum(n) OVER (PARTITION BY b) AS s, sum(n) OVER () AS t FROM
+      (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2))""",
+)
+def effect_battery(spark, sf):
+    """The mutual-information part of the battery has its own query (``binned_mutual_information``)."""
+    found = H.effect_battery(
+        table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]
+    )
+    return rounded(found.where("effect <> 'mutual_information'"))

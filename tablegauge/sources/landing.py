@@ -17,17 +17,20 @@ def file_manifest(spark: SparkSession, path: str, pattern: str | None = None, li
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(path)
+    # the two readers write "scheme:/path" and "scheme:///path" for the same file
+    plain = lambda c: F.regexp_replace(c, ":/+", ":/")
     small = files.where(F.col("length") <= limit).select(
-        F.col("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
+        plain(F.col("path")).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
         F.lit("bytes").alias("digest_kind"),
     )
     large = files.where(F.col("length") > limit).select("path", F.col("length").alias("size_bytes"))
     names = [r["path"] for r in large.select("path").collect()]  # paths only
+    large = large.withColumn("path", plain(F.col("path")))
     if not names:
         return small
     lines = (
         spark.read.text(names)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .groupBy(plain(F.col("_metadata.file_path")).alias("path"))
         .agg(
             F.sha2(
                 F.concat_ws(":", F.count("*"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).cast("string")), 256

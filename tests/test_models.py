@@ -175,3 +175,16 @@ def test_csv_reader(spark, folder):
         readers.read_dataset(spark, folder + "/none.csv")
     with pytest.raises(readers.WrongFormat):
         readers.detect_format("a.xyz")
+
+
+def test_manifest_digests_small_and_large_files(spark, folder):
+    import hashlib
+
+    from tablegauge.sources import landing
+
+    for name, text in (("small.txt", "a\n"), ("large.txt", "line\n" * 100)):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(text)
+    found = {r["path"].split("/")[-1]: r for r in landing.file_manifest(spark, folder, limit=50).collect()}
+    assert found["small.txt"]["sha256"] == hashlib.sha256(b"a\n").hexdigest()
+    assert found["large.txt"]["digest_kind"] == "lines" and found["large.txt"]["size_bytes"] == 500
