@@ -58,13 +58,19 @@ def _local_nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k:
     for part in _steps(len(queries), len(points) * points.shape[1]):
         d = _distance(queries[part], points, metric)
         if k < d.shape[1]:
-            limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+            best = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
         else:
-            limit = np.full(len(d), np.inf)
-        for row, (values, bound) in enumerate(zip(d, limit)):
-            near = np.flatnonzero(values <= bound)
-            best = near[np.argsort(values[near], kind="stable")[:k]]  # points are in id order, so ties go by id
-            index[part.start + row], distance[part.start + row] = best, values[best]
+            best = np.tile(np.arange(k), (len(d), 1))
+        values = np.take_along_axis(d, best, axis=1)
+        by_distance = np.argsort(values, axis=1, kind="stable")  # points are in id order, so ties go by id
+        best = np.take_along_axis(best, by_distance, axis=1)
+        values = np.take_along_axis(values, by_distance, axis=1)
+        # rows with more candidates at the k-th distance than places: choose among them by id
+        for row in np.flatnonzero((d <= values[:, -1:]).sum(axis=1) > k):
+            near = np.flatnonzero(d[row] <= values[row, -1])
+            best[row] = near[np.argsort(d[row, near], kind="stable")[:k]]
+            values[row] = d[row, best[row]]
+        index[part], distance[part] = best, values
     return order[index], distance
 
 
@@ -136,18 +142,18 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
         def answer(group: pd.DataFrame) -> pd.DataFrame:
             mine, theirs = group[group["is_query"]], group[~group["is_query"]]
             if not len(mine) or not len(theirs):
-                return pd.DataFrame({"qid": [], "v": [], "found": []})
+                return pd.DataFrame({"qid": [], "v": [], "distance": [], "pid": [], "payload": []})
             ids, payload = theirs["id"].to_numpy(), theirs["payload"].to_numpy()
             index, distance = _local_nearest(_matrix(mine["v"]), _matrix(theirs["v"]), ids, k, metric)
-            found = [
-                [{"distance": float(d), "pid": int(ids[i]), "payload": float(payload[i])} for d, i in zip(ds, js)]
-                for ds, js in zip(distance, index)
-            ]
-            return pd.DataFrame({"qid": mine["id"].to_numpy(), "v": mine["v"].tolist(), "found": found})
-
-        return left.unionByName(right).groupBy(*whole).applyInPandas(
-            answer, "qid long, v array<double>, found array<struct<distance:double,pid:long,payload:double>>"
+            return pd.DataFrame({
+                "qid": mine["id"].to_numpy(), "v": mine["v"].to_numpy(), "distance": list(distance),
+                "pid": list(ids[index]), "payload": list(payload[index]),
+            })
+
+        answered = left.unionByName(right).groupBy(*whole).applyInPandas(
+            answer, "qid long, v array<double>, distance array<double>, pid array<long>, payload array<double>"
         )
+        return answered.select("qid", "v", F.arrays_zip("distance", "pid", "payload").alias("found"))
 
     def best(rows: DataFrame) -> DataFrame:
         merged = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k)
