@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tablegauge.llm import decontamination
+from tablegauge.llm import decontamination, secrets
 
 QUERIES = {
     "op1_wu_manber_decontamination": decontamination.op1_wu_manber_decontamination,
+    "op6_secret_automaton": secrets.op6_secret_automaton,
 }
 ORACLE = {
     "op1_wu_manber_decontamination": decontamination.OP1_SQL,
