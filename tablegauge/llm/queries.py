@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tablegauge.llm import decontamination, secrets
+from tablegauge.llm import decontamination, pieces, secrets
 
 QUERIES = {
     "op1_wu_manber_decontamination": decontamination.op1_wu_manber_decontamination,
+    "op2_sentencepiece_codec": pieces.op2_sentencepiece_codec,
     "op6_secret_automaton": secrets.op6_secret_automaton,
 }
 ORACLE = {
