@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tablegauge.llm import decontamination, pieces, secrets
+from tablegauge.llm import decontamination, pieces, secrets, toxicity
 
 QUERIES = {
     "op1_wu_manber_decontamination": decontamination.op1_wu_manber_decontamination,
     "op2_sentencepiece_codec": pieces.op2_sentencepiece_codec,
     "op6_secret_automaton": secrets.op6_secret_automaton,
+    "op7_toxic_span_field": toxicity.op7_toxic_span_field,
 }
 ORACLE = {
     "op1_wu_manber_decontamination": decontamination.OP1_SQL,
