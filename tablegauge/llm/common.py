@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablegauge.session import read_table, staged
 
@@ -126,21 +127,74 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.union(least.select("u", "m")).filter("a <> b").distinct()
 
 
-def blocks_of(n: Column, size: int) -> Column:
-    """How many blocks of about ``size`` rows a group of ``n`` rows is cut into."""
-    return F.ceil(n / F.lit(size)).cast("int")
+def key128(*columns: Column | str) -> Column:
+    """16 bytes that stand for the columns' values: two 64-bit hashes with different seeds."""
+    one, two = F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
+    return F.unhex(F.concat(F.lpad(F.hex(one), 16, "0"), F.lpad(F.hex(two), 16, "0")))
 
 
-def block_pairs(rows: DataFrame, group: list[str], n: str, row_key: str, size: int) -> DataFrame:
-    """Deal the rows of each group to pairs of blocks (``p`` <= ``q``), so that any two rows of a group meet in one task and
-    no task holds more than two blocks. Groups of up to ``size`` rows are one block. Adds columns p, q and ``own``, the
-    row's block."""
-    k = blocks_of(F.col(n), size)
-    own = F.pmod(F.xxhash64(row_key), k).cast("int")
-    others = F.sequence(F.lit(0), F.col("_k") - 1)
-    dealt = rows.withColumn("_k", k).withColumn("own", own).withColumn("_o", F.explode(others))
-    return dealt.withColumn("p", F.least("own", "_o")).withColumn("q", F.greatest("own", "_o")).drop("_k", "_o")
+def crowded(rows: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """The rows whose bucket has at least two of them, with the bucket's number of rows as ``n``."""
+    counts = rows.groupBy(bucket).agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(counts, bucket)
 
 
-def window_by(*keys: str) -> Window:
-    return Window.partitionBy(*keys)
+def block_pairs(rows: DataFrame, n: str, row_key: str, size: int) -> DataFrame:
+    """Deal the rows of groups of ``n`` rows to pairs of blocks (``p`` <= ``q``), so that any two rows of a group meet in one
+    task and no task holds more than two blocks of about ``size`` rows. Adds p, q and the row's own block ``own``."""
+    k = F.ceil(F.col(n) / F.lit(size)).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64(row_key), k).cast("int")).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), k - 1)))
+    return dealt.withColumn("p", F.least("own", "_other")).withColumn("q", F.greatest("own", "_other")).drop("_other")
+
+
+def map_groups(df: DataFrame, keys: list[str], step: Callable[[pa.Table, list[tuple[int, int]]], pa.RecordBatch], schema: str,
+               rows: int = 4096, order: list[str] | None = None) -> DataFrame:
+    """Bring the rows of a key together and call ``step`` with tables of whole groups and the groups' row ranges.
+
+    Groups must be bounded; small ones are handed over many at a time."""
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *(order or []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < rows:
+                continue
+            table_ = pa.Table.from_batches(held).combine_chunks()
+            starts = _group_starts(table_, keys)
+            held = table_.slice(starts[-1]).combine_chunks().to_batches()
+            if len(starts) > 1:
+                yield step(table_.slice(0, starts[-1]), list(zip(starts[:-1], starts[1:], strict=True)))
+        if held:
+            table_ = pa.Table.from_batches(held).combine_chunks()
+            if table_.num_rows:
+                starts = _group_starts(table_, keys)
+                yield step(table_, list(zip(starts, [*starts[1:], table_.num_rows], strict=True)))
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _group_starts(table_: pa.Table, keys: list[str]) -> list[int]:
+    changed = np.zeros(table_.num_rows, bool)
+    changed[:1] = True
+    for k in keys:
+        column = table_.column(k).combine_chunks()
+        if table_.num_rows > 1:
+            same = pc.equal(column.slice(1), column.slice(0, len(column) - 1))
+            changed[1:] |= ~np.asarray(pc.fill_null(same, False).to_numpy(zero_copy_only=False))
+    return np.flatnonzero(changed).tolist()
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n items is connected with by the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tablegauge.llm import decontamination, pieces, secrets, toxicity
+from tablegauge.llm import decontamination, language, pieces, secrets, toxicity, vectors, webarchive
 
 QUERIES = {
     "op1_wu_manber_decontamination": decontamination.op1_wu_manber_decontamination,
     "op2_sentencepiece_codec": pieces.op2_sentencepiece_codec,
+    "op3_pstable_vectors": vectors.op3_pstable_vectors,
+    "op5_capture_index": webarchive.op5_capture_index,
     "op6_secret_automaton": secrets.op6_secret_automaton,
     "op7_toxic_span_field": toxicity.op7_toxic_span_field,
+    "op10_hierarchical_language": language.op10_hierarchical_language,
 }
 ORACLE = {
     "op1_wu_manber_decontamination": decontamination.OP1_SQL,
+    "op3_pstable_vectors": vectors.OP3_SQL,
+    "op5_capture_index": webarchive.OP5_SQL,
 }
