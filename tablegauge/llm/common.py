@@ -198,3 +198,20 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (after == root).all():
             return root
         root = after
+
+
+def join_classes(rows: DataFrame, nodes: DataFrame, found: DataFrame, reach: DataFrame, key: str) -> DataFrame:
+    """``key, n_links, component_id`` of each row (_id, node): other rows linked with it, and the smallest id it reaches.
+
+    ``nodes`` (node, least, weight) stand for equal rows, ``found`` (node, links) sums the weights of linked nodes, ``reach``
+    (node, component) groups them. A row without a node has no links and is a class of its own."""
+    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
+    placed = nodes.select("node", "least", "weight").join(sums, "node", "left").join(reach, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = placed.join(least, "component").select(
+        "node", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = attach(rows.select("_id", "node"), staged(placed, "nodes"), "node", "weight")
+    return out.select(
+        F.col("_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("component_id", "_id").alias("component_id"))

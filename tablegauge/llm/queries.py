@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablegauge.llm import decontamination, language, pieces, secrets, toxicity, vectors, webarchive
+from tablegauge.llm import decontamination, language, pieces, secrets, shingles, toxicity, vectors, webarchive
 
 QUERIES = {
     "op1_wu_manber_decontamination": decontamination.op1_wu_manber_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_capture_index": webarchive.op5_capture_index,
     "op6_secret_automaton": secrets.op6_secret_automaton,
     "op7_toxic_span_field": toxicity.op7_toxic_span_field,
+    "op8_minhash_forest_join": shingles.op8_minhash_forest_join,
     "op10_hierarchical_language": language.op10_hierarchical_language,
 }
 ORACLE = {

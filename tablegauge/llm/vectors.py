@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablegauge.llm.common import attach, block_pairs, components, crowded, key128, local_roots, map_groups, table
+from tablegauge.llm.common import block_pairs, components, crowded, join_classes, key128, local_roots, map_groups, table
 from tablegauge.session import staged
 
 THRESHOLD, RECALL, CELL, BLOCK = 0.98, 0.9999, 1.0, 1024
@@ -68,8 +68,6 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     buckets are dealt to pairs of blocks, so that a hot bucket is spread over tasks. A pair is counted in the first table
     that brings it together; no pair leaves a task, only sums and spanning edges do.
     """
-    spark = vectors.sparkSession
-    kind = vectors.schema[key].dataType.simpleString()
     v = F.col("_v")
     fine = F.col("_l").isNotNull() & F.col("_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
@@ -136,16 +134,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     found = staged(map_groups(dealt, ["bucket", "p", "q"], compare, "node binary, links bigint, root binary"), "links")
     reach = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    placed = nodes.select("node", "least", "weight").join(sums, "node", "left").join(reach, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "component").select(
-        "node", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = attach(rows.select("_id", "node"), staged(placed, "nodes"), "node", "weight")
-    return out.select(
-        F.col("_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "_id").cast(kind).alias("component_id"))
+    return join_classes(rows, nodes, found, reach, key)
 
 
 def op3_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
