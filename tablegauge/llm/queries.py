@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablegauge.llm import decontamination, language, pieces, secrets, shingles, toxicity, vectors, webarchive
+from tablegauge.llm import decontamination, language, ngrams, pieces, secrets, shingles, toxicity, vectors, webarchive
 
 QUERIES = {
     "op1_wu_manber_decontamination": decontamination.op1_wu_manber_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_secret_automaton": secrets.op6_secret_automaton,
     "op7_toxic_span_field": toxicity.op7_toxic_span_field,
     "op8_minhash_forest_join": shingles.op8_minhash_forest_join,
+    "op9_elias_fano_scores": ngrams.op9_elias_fano_scores,
     "op10_hierarchical_language": language.op10_hierarchical_language,
 }
 ORACLE = {
