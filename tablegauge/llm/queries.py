@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tablegauge.llm import decontamination, language, ngrams, pieces, secrets, shingles, toxicity, vectors, webarchive
+from tablegauge.llm import decontamination, language, licenses, ngrams, pieces, secrets, shingles, toxicity, vectors, webarchive
 
 QUERIES = {
     "op1_wu_manber_decontamination": decontamination.op1_wu_manber_decontamination,
     "op2_sentencepiece_codec": pieces.op2_sentencepiece_codec,
     "op3_pstable_vectors": vectors.op3_pstable_vectors,
+    "op4_license_sentences": licenses.op4_license_sentences,
     "op5_capture_index": webarchive.op5_capture_index,
     "op6_secret_automaton": secrets.op6_secret_automaton,
     "op7_toxic_span_field": toxicity.op7_toxic_span_field,
