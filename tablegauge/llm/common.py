@@ -62,6 +62,17 @@ def map_texts(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, list] |
     return df.mapInArrow(run, kind)
 
 
+def filter_texts(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], text: str = "text", limit: int = PIECE_BYTES) -> DataFrame:
+    """The rows for which ``keep``, called with bounded pieces of rows, is true; all columns stay, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text, limit):
+                yield piece.filter(pa.array(np.asarray(keep(piece), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _column(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)

@@ -11,13 +11,11 @@ hash, which are compared directly. Many positions of a batch advance side by sid
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablegauge.llm.common import as_bytes, map_texts, table
+from tablegauge.llm.common import as_bytes, filter_texts, map_texts, table
 
 #: Windows that one pass over the documents searches for; a larger benchmark takes further passes.
 MAX_WINDOWS = 400_000
@@ -147,24 +145,45 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     Documents are never shuffled. The benchmark reaches the tasks in blocks of about ``max_windows`` windows, one pass over
     a document batch per block: its size is counted first, so what is broadcast is bounded however large it is.
     """
-    spark = docs.sparkSession
-    wanted = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("raw")).filter(
-        "item is not null and raw is not null")
-    total = wanted.agg(F.sum(F.octet_length("raw") / 4)).first()[0] or 0
-    n_blocks = max(1, int(-(-total // max_windows)))
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"_id {kind}, _text string, n_words bigint, hit_words array<bigint>, items array<string>"
     out = docs.select(
         F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<bigint>").alias("hit_words"), F.array().cast("array<string>").alias("items"),
     )
-    for b in range(n_blocks):
-        block = wanted.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).collect()
-        shared = _broadcast(spark, [(r.item, bytes(r.raw), window) for r in block])
+    for shared in _blocks(items, item_id, item_text, window, max_windows):
         out = map_texts(out, lambda batch, shared=shared: _search_piece(batch, shared), schema, "_text")
     return out.select(F.col("_id").alias(doc_id), "n_words", "hit_words", "items")
 
 
+def _blocks(items: DataFrame, item_id: str, item_text: str, window: int, max_windows: int) -> list[_Shared]:
+    """The benchmark in blocks of about ``max_windows`` windows, one at least; an item has at most a window for each two bytes."""
+    wanted = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("raw")).filter(
+        "item is not null and raw is not null")
+    total = wanted.agg(F.sum(F.octet_length("raw") / 2)).first()[0] or 0
+    n = max(1, int(-(-total // max_windows)))
+    return [
+        _broadcast(items.sparkSession, [(r.item, bytes(r.raw), window) for r in wanted.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == b).collect()])
+        for b in range(n)
+    ]
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  window: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The rows, with all their columns, whose text holds no benchmark window; null and empty texts stay."""
+    for shared in _blocks(items, item_id, item_text, window, max_windows):
+        docs = filter_texts(docs, lambda batch, shared=shared: _clean(batch, text, shared), text)
+    return docs
+
+
+def _clean(batch: pa.RecordBatch, text: str, shared) -> np.ndarray:
+    folded = [b" " + b" ".join(w) + b" \n" if (w := words(t)) else b"\n" for t in as_bytes(batch.column(text))]
+    ends = np.cumsum([len(f) for f in folded])
+    keep = np.ones(len(folded), bool)
+    keep[[int(np.searchsorted(ends, start, "right")) for start, _ in _searcher(shared)[0].search(b"".join(folded) + b"\n" * 8)]] = False
+    return keep
+
+
 class _Shared:
     """A broadcast value with an identity that workers can cache by."""
 
@@ -181,12 +200,6 @@ def _broadcast(spark: SparkSession, value) -> _Shared:
     return _Shared(held._jbroadcast.id(), held)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents (doc_id, text and whatever else they have) without those that hold a benchmark window."""
-    found = contamination(docs.withColumn("_row", F.struct(*docs.columns)), items, doc_id="_row")
-    return found.filter(F.size("hit_words") == 0).select("_row.*")
-
-
 def op1_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablegauge.llm.common import map_texts, remainder, table
+from tablegauge.llm.common import filter_texts, map_texts, remainder, table
 
 #: Documented bounds of the fitting sample: rows of each class, and UTF-8 bytes of a row. Scoring and class counts use all rows.
 FIT_ROWS, FIT_BYTES = 3000, 1 << 16
@@ -329,6 +329,13 @@ def _places(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    cache: dict[str, tuple] = {}
+    return filter_texts(docs, lambda b: score_texts([t or "" for t in b.column(text).to_pylist()], shared.value, 2.0, cache)[0] < threshold, text)
+
+
 def learned_from(spark: SparkSession, sf_dir: str) -> Model:
     """The model of the query and of the pipeline: labels whose remainder is 2 are held out."""
     labels = table(spark, sf_dir, "labels").withColumn("_part", remainder("doc_id", 4))
