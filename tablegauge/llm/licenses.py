@@ -194,7 +194,7 @@ def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op4_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_matches(table(spark, sf_dir, "documents"))
-    names = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.name, s.start, s.end)), ",")
+    names = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["name"], s["start"], s["end"])), ",")
     return found.select(
         "doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), names("sentences").alias("sentences"),
         names("licenses").alias("licenses"))
