@@ -309,6 +309,8 @@ def _level(keys: np.ndarray, n: np.ndarray, words: Words, weight: float) -> dict
 def pair_logs(context: np.ndarray, word: np.ndarray, shards: Shards, files: dict[int, str], types: int) -> np.ndarray:
     """Quantised log10 p(word | context) of stored pairs, NaN for others."""
     out = np.full(len(word), np.nan)
+    if not len(word):
+        return out
     shard = shards.of(context, word)
     order = np.argsort(shard, kind="stable")
     cut = np.flatnonzero(np.diff(shard[order], prepend=-1))

@@ -31,7 +31,7 @@ def features(word: str, known: frozenset[str] = frozenset()) -> tuple[str, ...]:
     """A word as itself and, unless it is one of the ``known`` toxic words, its beginnings."""
     if word in known:
         return ("w=" + word,)
-    return "w=" + word, *("p=" + word[:k] for k in (4, 5, 6) if len(word) > k)
+    return "w=" + word, *("p=" + word[:k] for k in range(4, 9) if len(word) > k)
 
 
 @dataclass
@@ -128,14 +128,14 @@ class Texts:
 
 
 def summary(marginal: np.ndarray, texts: Texts) -> np.ndarray:
-    """Per document: logit of the largest marginal, logarithm of the expected number of toxic tokens."""
+    """Per document: logit of the largest marginal, and logarithm of the expected number of toxic tokens among a hundred."""
     out = np.zeros((len(texts.counts), 2))
     out[:, 0] = -12
     some = np.flatnonzero(texts.counts)
     if len(some):
         p = np.clip(np.maximum.reduceat(marginal, texts.starts[some]), 6e-6, 1 - 6e-6)
         out[some, 0] = np.log(p / (1 - p))
-        out[some, 1] = np.log1p(np.add.reduceat(marginal, texts.starts[some]))
+        out[some, 1] = np.log(0.01 + 100 * np.add.reduceat(marginal, texts.starts[some]) / (100 + texts.counts[some]))
     return out
 
 
@@ -180,14 +180,16 @@ def _toxic_features(rows: list[tuple[str, int]]) -> tuple[frozenset[str], set[st
     total = Counter(y for _, y in rows)
     words = [({w.strip(_EDGE).lower() for w in text.split()}, y) for text, y in rows]
 
-    def telling(of) -> set[str]:
+    def telling(of) -> dict[str, int]:
         seen = {0: Counter(), 1: Counter()}
         for w, y in words:
             seen[y].update({f for x in w for f in of(x)})
-        return {f for f, t in seen[1].items() if t >= max(3, 0.02 * total[1]) and t / total[1] >= 20 * (seen[0][f] + 0.5) / total[0]}
+        return {f: t for f, t in seen[1].items() if t >= max(3, 0.02 * total[1]) and t / total[1] >= 12 * (seen[0][f] + 0.5) / total[0]}
 
-    known = frozenset(telling(lambda x: (x,)))
-    return known, telling(lambda x: features(x, known)[1:])
+    # a word stands for itself unless one of its beginnings is in clearly more documents
+    beginnings = telling(lambda x: features(x)[1:])
+    known = frozenset(w for w, t in telling(lambda x: (x,)).items() if all(beginnings.get(f, 0) < 1.5 * t for f in features(w)[1:]))
+    return known, set(telling(lambda x: features(x, known)[1:]))
 
 
 def _fit_field(rows: list[tuple[str, int]], known: frozenset[str], tagged: set[str], rounds: int) -> Model:
