@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablegauge.llm.common import block_pairs, components, crowded, join_classes, key128, local_roots, map_groups, table
 from tablegauge.session import staged
 
-THRESHOLD, RECALL, CELL, BLOCK = 0.98, 0.9999, 1.0, 1024
+THRESHOLD, RECALL, CELL, BLOCK = 0.98, 0.9995, 1.0, 1024
 #: Vectors at this distance are taken as unrelated when the number of projections of a key is chosen.
-FAR, FAR_PER_BUCKET = 1.0, 64
+FAR, FAR_PER_BUCKET = 1.0, 20
 
 
 def meet(distance: float, cell: float) -> float:
@@ -69,10 +69,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     that brings it together; no pair leaves a task, only sums and spanning edges do.
     """
     v = F.col("_v")
+    element = "float" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "double"
     fine = F.col("_l").isNotNull() & F.col("_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(key).alias("_id"), F.col(label).alias("_l"), F.col(vector).cast("array<double>").alias("_v"))
-    rows = rows.select("_id", "_l", F.when(fine, F.transform("_v", lambda x: x + F.lit(0.0))).alias("_v")).withColumn(
+    rows = vectors.select(F.col(key).alias("_id"), F.col(label).alias("_l"), F.col(vector).cast(f"array<{element}>").alias("_v"))
+    rows = rows.select("_id", "_l", F.when(fine, F.transform("_v", lambda x: x + F.lit(0.0).cast(element))).alias("_v")).withColumn(
         "node", F.when(F.col("_v").isNotNull(), key128("_l", "_v")))
     nodes = staged(
         rows.filter("node is not null").groupBy("node").agg(
@@ -84,7 +85,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         for b in batches:
             lists = b.column("_v")
             sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy()
+            flat = lists.flatten().to_numpy().astype(np.float64)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             keys = np.zeros((b.num_rows, tables), np.int64)
             for size in np.unique(sizes):
@@ -99,12 +100,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         F.xxhash64("_l", "size", "t", "h").alias("bucket"), "t", "node")
     full = crowded(buckets)
     dealt = block_pairs(
-        full.join(keyed.select("node", "keys"), "node").join(nodes.select("node", "weight", "_v"), "node"), "n", "node", block)
+        full.join(keyed.select("node", "keys"), "node").withColumn("keys", F.slice("keys", 1, F.col("t"))).join(nodes.select("node", "weight", "_v"), "node"), "n", "node", block)
 
     def compare(rows_: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
         names, weight = rows_.column("node").combine_chunks(), rows_.column("weight").to_numpy()
         own, p, q, t = (rows_.column(c).to_numpy() for c in ("own", "p", "q", "t"))
-        keys = rows_.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)
+        keys = rows_.column("keys").combine_chunks()
         lists = rows_.column("_v").combine_chunks()
         flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         who, links, root = [], [], []
@@ -112,14 +113,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             if e - s < 2:
                 continue
             size = ends[s + 1] - ends[s]
-            x = unit(flat[ends[s] : ends[e]].reshape(-1, size)) if (np.diff(ends[s : e + 1]) == size).all() else None
+            x = unit(flat[ends[s] : ends[e]].astype(np.float64).reshape(-1, size)) if (np.diff(ends[s : e + 1]) == size).all() else None
             if x is None:  # a chance collision of keys over lengths
                 raise ValueError("vectors of one bucket differ in length")
             i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
             if p[s] != q[s]:
                 across = own[s + i] != own[s + j]
                 i, j = i[across], j[across]
-            before = (keys[s + i, : t[s]] == keys[s + j, : t[s]]).any(axis=1) if t[s] else np.zeros(len(i), bool)
+            earlier = keys.slice(s, e - s).flatten().to_numpy().reshape(e - s, t[s])
+            before = (earlier[i] == earlier[j]).any(axis=1)
             i, j = i[~before], j[~before]
             if not len(i):
                 continue
