@@ -47,14 +47,17 @@ def scatter_data(df: DataFrame, x: str, y: str, limit: int | None = None) -> Dat
     return points.orderBy(F.xxhash64("x", "y"), "x", "y").limit(limit)
 
 
-def box_data(df: DataFrame, category: str, numeric: str, limit: int = MAX_CATEGORIES) -> DataFrame:
-    """Five-number summary and count per category."""
+def box_data(df: DataFrame, category: str, numeric: str, limit: int | None = None) -> DataFrame:
+    """Five-number summary and count per category; with ``limit`` only for the first categories by name."""
     value, label = C.finite(C.as_double(df, numeric)), C.as_text(df, category)
     rows = df.select(label.alias("category"), value.alias("value")).where(C.complete(F.col("category"), F.col("value")))
     basic = rows.groupBy("category").agg(
         F.count("*").alias("n"), F.min("value").alias("minimum"), F.max("value").alias("maximum")
     )
-    kept = basic.orderBy("category").limit(limit)
+    kept = basic
+    if limit is not None:
+        kept = basic.orderBy("category").limit(limit)
+        rows = rows.join(F.broadcast(kept.select("category")), "category", "left_semi")  # at most ``limit`` rows
     quartiles = ordered.quantile_columns(
         rows, {numeric: F.col("value")}, P.QUARTILES, {"category": F.col("category")}
     ).drop("column")
@@ -235,9 +238,8 @@ def correlation_ranking(df: DataFrame, columns: list[str] | None = None, limit:
 
 def strongest_correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     r = F.abs("correlation")
-    best = correlation_ranking(
-        df.select("*"), columns, limit=1_000
-    ).where(F.col("n") >= MIN_CORRELATION_PAIRS).orderBy(F.desc(r), "column_a", "column_b").limit(1)
+    pairs = X.correlations(df, columns).where(F.col("correlation").isNotNull() & (F.col("n") >= MIN_CORRELATION_PAIRS))
+    best = pairs.orderBy(F.desc(r), "column_a", "column_b").limit(1)
     return best.withColumn("strength", F.when(r > STRONG, "strong").when(r > MODERATE, "moderate").otherwise("weak"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablegauge.functions import columns as C, text
 from tablegauge.operators import ordered, profile as P, quality as Q
+from tablegauge.session import staged
 
 # fixed values: operation names, statuses and rule thresholds
 SAFE_IMPUTE_PCT = 5.0
@@ -252,11 +253,11 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 def text_to_number(df: DataFrame, column: str) -> DataFrame:
     """All-or-nothing conversion; integers when every value is one."""
     trimmed = F.trim(C.quote(column))
-    number = trimmed.try_cast("double")
+    number = text.parse_number(C.quote(column))
     report = df.agg(
         F.count_if(C.quote(column).isNotNull() & number.isNull()).alias("bad"),
         F.min(F.when(number.isNull(), C.quote(column))).alias("example"),
-        (F.count(trimmed.try_cast("bigint")) == F.count(C.quote(column))).alias("whole"),
+        (F.count(text.parse_whole(C.quote(column))) == F.count(C.quote(column))).alias("whole"),
     ).first()
     if report["bad"]:
         raise CleaningRefused(f"{column!r}: {report['bad']} values are not numbers, e.g. {report['example']!r}")
@@ -461,8 +462,8 @@ def run_plan(df: DataFrame, operations: list[dict], options: RunOptions) -> tupl
             continue
         log.append(entry | facts | dict(status="executed", reason=None))
         df = after
-        if op["operation_type"] == DEDUPLICATE and options.cut_lineage and df.sparkSession.sparkContext.getCheckpointDir():
-            df = df.checkpoint()
+        if op["operation_type"] == DEDUPLICATE and options.cut_lineage:
+            df = staged(df, "deduplicated")
     names = [part.split()[0] for part in LOG_SCHEMA.split(", ")]
     rows = [tuple(e.get(n) for n in names) for e in log]
     return df, df.sparkSession.createDataFrame(rows, LOG_SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,8 +13,6 @@ from tablegauge.operators import ordered, profile as P
 
 # fixed values: report limits
 MAX_PAIRS = 50
-MAX_GROUPS = 50
-MAX_CELLS = 200
 MAX_BINS = 50
 TOP_CATEGORIES = 10
 SUMMARY_QUANTILES = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
@@ -68,7 +67,7 @@ def missingness(df: DataFrame) -> DataFrame:
     return per_column.unionByName(whole)
 
 
-def name_pairs(columns: list[str], cap: int | None = MAX_PAIRS) -> list[tuple[str, str]]:
+def name_pairs(columns: list[str], cap: int | None = None) -> list[tuple[str, str]]:
     pairs = list(combinations(sorted(columns), 2))
     return pairs if cap is None else pairs[:cap]
 
@@ -85,13 +84,22 @@ def truncation_notes(df: DataFrame, numeric: list[str], categorical: list[str],
     return df.sparkSession.createDataFrame(rows, "battery string, candidates int, kept int")
 
 
-def correlations(df: DataFrame, columns: list[str] | None = None, cap: int | None = MAX_PAIRS) -> DataFrame:
+def correlations(df: DataFrame, columns: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """Pearson r over complete pairs, all pairs in one aggregate; NULL when a side is constant."""
     pairs = name_pairs(columns or C.numeric_columns(df), cap)
     return pair_correlations(df, pairs)
 
 
+PAIRS_PER_PASS = 500
+
+
 def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Wide tables take one aggregate per ``PAIRS_PER_PASS`` pairs."""
+    passes = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)] or [[]]
+    return reduce(DataFrame.unionByName, [_pair_pass(df, p) for p in passes])
+
+
+def _pair_pass(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     parts = []
     for i, (a, b) in enumerate(pairs):
         x, y = C.as_double(df, a), C.as_double(df, b)
@@ -107,20 +115,21 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return C.stack_rows(df.agg(*parts))
 
 
-def group_summary(df: DataFrame, category: str, numeric: str, cap: int | None = MAX_GROUPS) -> DataFrame:
-    """Count, mean and exact median of a number per category, first categories by name."""
+def group_summary(df: DataFrame, category: str, numeric: str, cap: int | None = None) -> DataFrame:
+    """Count, mean and exact median of a number per category; with ``cap`` only for the first categories by name."""
     value, label = C.as_double(df, numeric), C.as_text(df, category)
     rows = df.select(label.alias("category"), value.alias("value")).where(C.complete(F.col("category"), F.col("value")))
     basic = rows.groupBy("category").agg(F.count("*").alias("count"), F.avg("value").alias("mean"))
     if cap is not None:
         basic = basic.orderBy("category").limit(cap)
+        rows = rows.join(F.broadcast(basic.select("category")), "category", "left_semi")  # at most ``cap`` rows
     medians = ordered.quantiles(rows, {numeric: F.col("value")}, [0.5], {"category": F.col("category")})
     return basic.join(medians.select("category", F.col("quantile").alias("median")), "category").select(
         "category", "count", "mean", "median"
     )
 
 
-def contingency(df: DataFrame, a: str, b: str, cap: int | None = MAX_CELLS) -> DataFrame:
+def contingency(df: DataFrame, a: str, b: str, cap: int | None = None) -> DataFrame:
     """Counts of (a, b) over complete rows, sorted; partial counts before the shuffle."""
     cells = (
         df.select(C.as_text(df, a).alias("a"), C.as_text(df, b).alias("b"))

@@ -255,7 +255,7 @@ def mutual_information(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
 
 
 def test_battery(
-    df: DataFrame, numerics: list[str], categories: list[str], cap: int = explore.MAX_PAIRS, alpha: float = ALPHA
+    df: DataFrame, numerics: list[str], categories: list[str], cap: int | None = None, alpha: float = ALPHA
 ) -> DataFrame:
     """Welch, ANOVA and chi-square over all pairs as rows (test, column_a, column_b, statistic, df, p_value)."""
     numeric_pairs = explore.name_pairs(numerics, cap)
@@ -269,7 +269,7 @@ def test_battery(
         parts.append(as_row(welch_test(df, numeric_pairs, alpha), "welch", "column_a", "column_b", "degrees_of_freedom"))
     if numerics and categories:
         both = anova_test(df, sorted(categories), sorted(numerics), alpha)
-        order = both.orderBy("category_column", "numeric_column").limit(cap)
+        order = both if cap is None else both.orderBy("category_column", "numeric_column").limit(cap)
         parts.append(as_row(order, "anova", "category_column", "numeric_column", "df_between"))
     if category_pairs:
         parts.append(as_row(chi_square_test(df, category_pairs, alpha), "chi_square", "column_a", "column_b", "degrees_of_freedom"))
@@ -279,7 +279,7 @@ def test_battery(
     return out
 
 
-def effect_battery(df: DataFrame, numerics: list[str], categories: list[str], cap: int = explore.MAX_PAIRS) -> DataFrame:
+def effect_battery(df: DataFrame, numerics: list[str], categories: list[str], cap: int | None = None) -> DataFrame:
     """Cramer's V, eta and binned mutual information over all pairs."""
     category_pairs = explore.name_pairs(categories, cap)
     parts = []
@@ -288,7 +288,7 @@ def effect_battery(df: DataFrame, numerics: list[str], categories: list[str], ca
         parts.append(v.select(F.lit("cramers_v").alias("effect"), "column_a", "column_b", "n", "effect_size"))
     if numerics and categories:
         eta = correlation_ratio(df, sorted(categories), sorted(numerics))
-        eta = eta.orderBy("category_column", "numeric_column").limit(cap)
+        eta = eta if cap is None else eta.orderBy("category_column", "numeric_column").limit(cap)
         parts.append(
             eta.select(
                 F.lit("correlation_ratio").alias("effect"),

@@ -43,14 +43,27 @@ def hot_values(edges: list[float]) -> list[float]:
     return [a for a, b in zip(edges, edges[1:]) if b == math.nextafter(a, math.inf)]
 
 
+SKETCH_GROUPS = 512
+
+
 def sketch_edges(df: DataFrame, values: dict[str, Column], buckets: int | None = None) -> dict[str, list[float]]:
-    """Bucket edges per column from one map-side-combined sketch pass."""
+    """Bucket edges per column from one pass: map tasks sketch, groups of tasks are merged in parallel, and the merge of
+    those at most ``SKETCH_GROUPS`` sketches is all that one task does.
+
+    Sketches are random within their error; edges steer balance only, so that results do not depend on them."""
     buckets = buckets or bucket_count(df)
-    probabilities = [i / buckets for i in range(1, buckets)]
     names = list(values)
-    row = df.agg(
-        *[F.percentile_approx(values[n], probabilities, 10 * buckets).alias(f"e{i}") for i, n in enumerate(names)]
-    ).first()
+    accuracy = F.lit(min(8 * buckets, 32_768))
+    finite = {n: F.when(~F.isnan(values[n].cast("double")), values[n].cast("double")) for n in names}
+    grouped = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group")).agg(
+        *[F.kll_sketch_agg_double(finite[n], accuracy).alias(f"s{i}") for i, n in enumerate(names)],
+        *[F.count(finite[n]).alias(f"n{i}") for i, n in enumerate(names)])
+    merged = grouped.agg(
+        *[F.kll_merge_agg_double(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}")), accuracy).alias(f"s{i}") for i in range(len(names))],
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))])
+    ranks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    row = merged.select(*[
+        F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", ranks)).alias(f"e{i}") for i in range(len(names))]).first()
     return {n: cut_points(list(row[i] or [])) for i, n in enumerate(names)}
 
 

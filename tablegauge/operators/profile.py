@@ -234,8 +234,7 @@ def datetime_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (NULL equals NULL), with the total.
 
-    Rows are grouped by a two-part 128-bit digest so that the shuffle carries 24 bytes per distinct row instead of
-    the row; the digests cover every column with a separator for NULL.
+    Rows are grouped by a 32-byte digest of their typed values, so that the shuffle carries that instead of the row.
     """
     return duplicate_summary(row_groups(df))
 
@@ -247,9 +246,33 @@ def row_groups(df: DataFrame) -> DataFrame:
 
 
 def row_digest(df: DataFrame) -> Column:
-    """SHA-256 of the row as JSON (NULL fields kept, so NULL and empty text differ)."""
-    df_fields = [C.quote(c) for c in df.columns]
-    return F.unhex(F.sha2(F.to_json(F.struct(*df_fields), {"ignoreNullFields": "false"}), 256))
+    """SHA-256 of the row's typed values, each written with its length, so that no two different rows read alike."""
+    return F.unhex(F.sha2(F.concat(*[_sized(canonical(C.quote(f.name), f.dataType)) for f in df.schema.fields]), 256))
+
+
+def _sized(text: Column) -> Column:
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """A value as text: equal values alike, different ones apart. NaN is NULL, -0.0 is 0.0, times have microseconds."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(value), (value + F.lit(0.0).cast(kind))).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(value, lambda x: _sized(canonical(x, kind.elementType))), "")
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.concat(F.lit(""), *[_sized(canonical(value[f.name], f.dataType)) for f in kind.fields]))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.concat(
+            _sized(canonical(e["key"], kind.keyType)), _sized(canonical(e["value"], kind.valueType))))
+        return F.array_join(F.transform(F.array_sort(entries), _sized), "")
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    return value.cast("string")
 
 
 def duplicate_summary(groups: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def parse_ratios(df: DataFrame, columns: list[str]) -> DataFrame:
                 F.struct(
                     F.lit(c).alias("column"),
                     F.count(C.quote(c)).alias("n_values"),
-                    F.count(F.trim(C.quote(c)).try_cast("double")).alias("n_numeric"),
+                    F.count(text.parse_number(C.quote(c))).alias("n_numeric"),
                 ).alias(f"s{i}")
                 for i, c in enumerate(columns)
             ]
@@ -163,7 +163,7 @@ def parse_ratios(df: DataFrame, columns: list[str]) -> DataFrame:
 def non_numeric_examples(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """The k smallest distinct values per column that are not numbers (ordered, unlike first-seen)."""
     rows = C.unpivot_rows(df, [], [[F.lit(c).alias("column"), C.quote(c).alias("value")] for c in columns])
-    bad = rows.where(F.col("value").isNotNull() & F.trim(F.col("value")).try_cast("double").isNull())
+    bad = rows.where(F.col("value").isNotNull() & text.parse_number(F.col("value")).isNull())
     distinct = bad.groupBy("column", "value").agg(F.count("*").alias("n"))
     ranked = P.rank_values(distinct.withColumn("n", F.lit(1).cast("long")), k)
     return ranked.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("examples"))

@@ -328,7 +328,7 @@ def friedman_test(df: DataFrame, columns: list[str], alpha: float = ALPHA) -> Da
 
 
 def rank_battery(
-    df: DataFrame, numerics: list[str], categories: list[str], cap: int = explore.MAX_PAIRS, alpha: float = ALPHA
+    df: DataFrame, numerics: list[str], categories: list[str], cap: int | None = None, alpha: float = ALPHA
 ) -> DataFrame:
     """Spearman and Kendall over number pairs, Mann-Whitney and Kruskal-Wallis over category x number."""
     from tablegauge.operators import kendall

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablegauge.functions import columns as C
 from tablegauge.operators import profile as P
+from tablegauge.session import staged
 
 VERSION_SCHEMA = (
     "dataset_id string, version_id string, parent_version_id string, kind string, version_number int, "
@@ -164,47 +166,85 @@ def version_quality_diff(versions: DataFrame, before: str, after: str) -> DataFr
 # --- lineage ------------------------------------------------------------------------------------------------------
 
 
-def closure(versions: DataFrame, max_depth: int = 1000) -> DataFrame:
+def _edges(versions: DataFrame) -> DataFrame:
+    """(version_id, parent_id) of versions with another version as parent."""
+    return versions.select("version_id", F.col("parent_version_id").alias("parent_id")).where(
+        F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("version_id"))).distinct()
+
+
+def _rounds(versions: DataFrame) -> int:
+    """Doublings until every distance is covered."""
+    return max(1, math.ceil(math.log2(versions.count() + 1)))
+
+
+def closure(versions: DataFrame) -> DataFrame:
     """(version_id, ancestor_id, distance) for every version and all its ancestors, itself at distance 0.
 
-    Recursive SQL over the edge table; ``max_depth`` bounds the walk, so a cycle in broken data ends.
+    Known distances double with each round: an ancestor's ancestors are the version's. Rounds are staged, their number is
+    the logarithm of the longest chain. In broken data with a cycle every pair keeps its smallest distance, and the walk ends.
     """
-    spark = versions.sparkSession
-    edges = versions.select("version_id", "parent_version_id").distinct()
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(version_id, ancestor_id, distance) MAX RECURSION LEVEL {max_depth + 2} AS (
-          SELECT version_id, version_id, 0 FROM {{edges}}
-          UNION ALL
-          SELECT up.version_id, e.parent_version_id, up.distance + 1
-          FROM up JOIN {{edges}} e ON e.version_id = up.ancestor_id
-          WHERE e.parent_version_id IS NOT NULL AND e.parent_version_id <> up.version_id AND up.distance < {max_depth}
-        ) SELECT version_id, ancestor_id, distance FROM up
-        """,
-        edges=edges,
-    )
+    known = staged(_edges(versions).select("version_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance")), "closure")
+    for done in range(_rounds(versions)):
+        far = known.where(F.col("distance") == 2**done)
+        step = known.select(F.col("version_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"), F.col("distance").alias("more"))
+        found = far.join(step, "ancestor_id").select("version_id", F.col("next").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
+        if found.isEmpty():
+            break
+        known = staged(known.unionByName(found).where(F.col("version_id") != F.col("ancestor_id")).groupBy("version_id", "ancestor_id").agg(
+            F.min("distance").alias("distance")), "closure")
+    itself = versions.select("version_id", F.col("version_id").alias("ancestor_id"), F.lit(0).alias("distance")).distinct()
+    return itself.unionByName(known)
+
+
+def _reach(versions: DataFrame, version_id: str, up: bool) -> DataFrame:
+    """(version_id, distance) of all versions above or below one, itself at 0, without the closure of the others.
+
+    Jump tables say where 2^k steps lead; going from the longest jump to the shortest, the set reached doubles each time."""
+    here, there = ("version_id", "parent_id") if up else ("parent_id", "version_id")
+    jumps = [staged(_edges(versions).select(F.col(here).alias("a"), F.col(there).alias("b")), "jumps")]
+    for _ in range(_rounds(versions)):
+        last = jumps[-1]
+        further = staged(last.select("a", F.col("b").alias("m")).join(last.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct(), "jumps")
+        if further.isEmpty():
+            break
+        jumps.append(further)
+    reached = versions.where(F.col("version_id") == version_id).select("version_id", F.lit(0).alias("distance")).distinct()
+    for k in reversed(range(len(jumps))):
+        more = reached.join(jumps[k].withColumnRenamed("a", "version_id"), "version_id").select(
+            F.col("b").alias("version_id"), (F.col("distance") + 2**k).alias("distance"))
+        reached = staged(reached.unionByName(more).groupBy("version_id").agg(F.min("distance").alias("distance")), "reached")
+    return reached
 
 
 def ancestors(versions: DataFrame, version_id: str) -> DataFrame:
-    up = closure(versions)
-    return up.where((F.col("version_id") == version_id) & (F.col("distance") > 0)).select("ancestor_id", "distance")
+    return _reach(versions, version_id, up=True).where("distance > 0").select(F.col("version_id").alias("ancestor_id"), "distance")
 
 
 def descendants(versions: DataFrame, version_id: str) -> DataFrame:
-    up = closure(versions)
-    return up.where((F.col("ancestor_id") == version_id) & (F.col("distance") > 0)).select("version_id", "distance")
+    return _reach(versions, version_id, up=False).where("distance > 0").select("version_id", "distance")
 
 
 def roots(versions: DataFrame) -> DataFrame:
-    """Root of every version: the farthest ancestor."""
-    return closure(versions).groupBy("version_id").agg(
-        F.max_by("ancestor_id", "distance").alias("root_id"), F.max("distance").alias("depth")
-    )
+    """Root of every version, the ancestor that has no parent, and its distance; a version that leads into a cycle has none.
+
+    Pointer jumping over one row per version."""
+    rows = versions.select("version_id", F.when(F.col("parent_version_id") != F.col("version_id"), F.col("parent_version_id")).alias("up")).groupBy(
+        "version_id").agg(F.min("up").alias("up"))
+    known = staged(rows.select("version_id", F.coalesce("up", "version_id").alias("root_id"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"),
+                               F.col("up").isNull().alias("ended")), "roots")
+    for _ in range(_rounds(versions)):
+        if known.where("not ended").isEmpty():
+            break
+        step = known.select(F.col("version_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"), F.col("ended").alias("end"))
+        known = staged(known.where("ended").unionByName(known.where("not ended").drop("ended").join(step, "root_id", "left").select(
+            "version_id", F.coalesce("next", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.coalesce("end", F.lit(True)).alias("ended"))), "roots")
+    return known.where("ended").select("version_id", "root_id", "depth")
 
 
 def path(versions: DataFrame, start: str, end: str) -> DataFrame:
     """Versions from ancestor ``start`` down to ``end`` with their step; empty when not related that way."""
-    up = closure(versions).where(F.col("version_id") == end)
+    up = _reach(versions, end, up=True).select(F.col("version_id").alias("ancestor_id"), "distance")
     limit = up.where(F.col("ancestor_id") == start).select(F.col("distance").alias("limit"))
     return (
         C.attach_row(up, limit)
@@ -215,20 +255,16 @@ def path(versions: DataFrame, start: str, end: str) -> DataFrame:
 
 def relationship(versions: DataFrame, a: str, b: str) -> DataFrame:
     """same, ancestor, descendant, sibling, related (shared root) or unrelated: what a is to b."""
-    up = closure(versions)
+    over_a, over_b = (_reach(versions, v, up=True) for v in (a, b))
     parents = versions.select("version_id", "parent_version_id")
-    facts = up.agg(
-        F.max((F.col("version_id") == b) & (F.col("ancestor_id") == a)).alias("a_above_b"),
-        F.max((F.col("version_id") == a) & (F.col("ancestor_id") == b)).alias("b_above_a"),
-    )
+    facts = C.attach_row(
+        over_b.agg(F.max(F.col("version_id") == a).alias("a_above_b")), over_a.agg(F.max(F.col("version_id") == b).alias("b_above_a")))
     family = parents.agg(
         F.max(F.when(F.col("version_id") == a, F.col("parent_version_id"))).alias("parent_a"),
         F.max(F.when(F.col("version_id") == b, F.col("parent_version_id"))).alias("parent_b"),
     )
-    root = roots(versions).agg(
-        F.max(F.when(F.col("version_id") == a, F.col("root_id"))).alias("root_a"),
-        F.max(F.when(F.col("version_id") == b, F.col("root_id"))).alias("root_b"),
-    )
+    root = C.attach_row(
+        over_a.agg(F.max_by("version_id", "distance").alias("root_a")), over_b.agg(F.max_by("version_id", "distance").alias("root_b")))
     one = C.attach_row(C.attach_row(facts, family), root)
     return one.select(
         F.lit(a).alias("version_a"),
@@ -260,15 +296,10 @@ def lineage_problems(versions: DataFrame) -> DataFrame:
         .select("dataset_id", F.lit(None).cast("string").alias("version_id"), F.lit("root count is not one").alias("problem"))
     )
     raw_below = child.where(F.col("kind") == "raw")
-    reached = closure(versions).join(
-        top.select(F.col("version_id").alias("ancestor_id")), "ancestor_id", "left_semi"
-    )
-    below_orphan = closure(versions).join(
-        orphan.select(F.col("version_id").alias("ancestor_id")), "ancestor_id", "left_semi"
-    )
+    # a walk up ends at a root or a missing parent, or it never does: a cycle, or a version that is its own parent
+    ended = roots(versions).join(self_parent.select(F.col("version_id").alias("root_id")), "root_id", "left_anti")
     cyclic = (
-        versions.join(reached.select("version_id"), "version_id", "left_anti")
-        .join(below_orphan.select("version_id"), "version_id", "left_anti")
+        versions.join(ended.select("version_id"), "version_id", "left_anti")
         .where(F.col("parent_version_id") != F.col("version_id"))
     )
     parts = [

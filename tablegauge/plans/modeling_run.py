@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
 from tablegauge.functions import columns as C
 from tablegauge.operators import features as G, metrics as M, models as K, profile as P, screens as S, splits as L
+from tablegauge.session import staged
 
 
 @dataclass
@@ -59,27 +61,28 @@ def model_table(df: DataFrame, target: str | None, key: str, hint: str | None =
         split = L.random_holdout(rows, key, shares)
     train_rows = split.where("split = 'train'")
     stage = G.Preprocessor(numeric, categorical).fit(train_rows)
-    labels: dict[str, float] = {}
+    n_labels = 0
     if task in (S.BINARY, S.MULTICLASS):
-        found = P.value_counts(train_rows, [target]).orderBy("value").limit(Q_CLASSES).collect()
-        labels = {r["value"]: float(i) for i, r in enumerate(found)}
-        code = F.create_map(*[x for v, i in labels.items() for x in (F.lit(v), F.lit(i))])
-        label = F.try_element_at(code, C.as_text(split, target))
+        # all classes of the training rows, in order of their text; a class met only in test rows gets the code after the
+        # last one, which no model predicts, so that its rows count as errors
+        text = split.withColumn("__class", C.as_text(split, target))
+        coder = StringIndexer(inputCol="__class", outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(
+            text.where("split = 'train'"))
+        n_labels = len(coder.labels)
+        labelled = coder.transform(text).drop("__class")
     else:
-        label = C.as_double(split, target) if target else F.lit(0.0)
-    assembled = stage.transform(split.withColumn("__label", label)).select(
-        C.quote(key).cast("long").alias("row_id"), "features", F.col("__label").alias("label"), "split"
-    )
-    train = assembled.where("split = 'train'").drop("split")
-    test = assembled.where("split = 'test' AND label IS NOT NULL").drop("split")
+        labelled = split.withColumn("__label", C.as_double(split, target) if target else F.lit(0.0))
+    assembled = staged(stage.transform(labelled).select(
+        C.quote(key).alias("row_id"), "features", F.col("__label").alias("label"), "split"), "assembled")
+    train, test = (assembled.where(F.col("split") == part).drop("split") for part in ("train", "test"))
+    if n_labels:  # trees take the number of classes from here
+        train = train.withMetadata("label", {"ml_attr": {"type": "nominal", "name": "label", "num_vals": n_labels}})
     use_log = task == S.REGRESSION and G.log_target(train, "label").first()["use_log"]
     width = len(train.select("features").first()["features"])
     wanted = families or K.families(task, df.count(), len(names), not categorical)
-    candidates = [c for c in K.baselines(task, width, max(2, len(labels))) if c.family in wanted]
+    candidates = [c for c in K.baselines(task, width, max(2, n_labels)) if c.family in wanted]
     runs, models = K.train_candidates(train, test, task, candidates, use_log, parallelism)
+    status = "failed" if runs.where("status = 'completed'").isEmpty() else "completed"
     return ModelingResult(
-        "completed", task, issues, names, runs, M.rank_runs(runs, task), M.summarise_runs(runs), models, stage
+        status, task, issues, names, runs, M.rank_runs(runs, task), M.summarise_runs(runs), models, stage
     )
-
-
-Q_CLASSES = 1000  # labels of a classification target kept as codes

@@ -42,9 +42,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables: under the cluster's shared checkpoint folder when it has one."""
+    """A fresh folder for written tables, under the folder that the cluster shares; without one only local mode goes on."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # in local mode all tasks see the same disk
+    base = shared.rstrip("/") if shared else f"{tempfile.gettempdir()}/tablegauge-{spark.sparkContext.applicationId}"
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 

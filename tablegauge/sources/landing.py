@@ -2,48 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+import hashlib
+from collections.abc import Iterator
 
-WHOLE_FILE_LIMIT = 1 << 30  # larger files are digested by line, as binaryFile holds a file in one row
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+CHUNK = 4 << 20
 
-def file_manifest(spark: SparkSession, path: str, pattern: str | None = None, limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
-    """(path, size_bytes, sha256, digest_kind) of every file under a path.
 
-    Files up to ``limit`` get the SHA-256 of their bytes. The content column is read for those only (the length filter
-    is pushed into the file listing); larger text files get an order-free digest of their lines.
-    """
+def listed_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, size_bytes) of every file under a path, from the file listing alone."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(path)
-    # the two readers write "scheme:/path" and "scheme:///path" for the same file
-    plain = lambda c: F.regexp_replace(c, ":/+", ":/")
-    small = files.where(F.col("length") <= limit).select(
-        plain(F.col("path")).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
-        F.lit("bytes").alias("digest_kind"),
-    )
-    large = files.where(F.col("length") > limit).select("path", F.col("length").alias("size_bytes"))
-    names = [r["path"] for r in large.select("path").collect()]  # paths only
-    large = large.withColumn("path", plain(F.col("path")))
-    if not names:
-        return small
-    lines = (
-        spark.read.text(names)
-        .groupBy(plain(F.col("_metadata.file_path")).alias("path"))
-        .agg(
-            F.sha2(
-                F.concat_ws(":", F.count("*"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).cast("string")), 256
-            ).alias("sha256")
-        )
-    )
-    return small.unionByName(large.join(lines, "path").select("path", "size_bytes", "sha256", F.lit("lines").alias("digest_kind")))
+    return reader.load(path).select("path", F.col("length").alias("size_bytes"))
+
+
+def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    scheme, _, rest = uri.partition(":")
+    # the file reader writes "file:/path" where a URI has "file:///path"
+    return fs.FileSystem.from_uri(f"file:///{rest.lstrip('/')}" if scheme == "file" else uri if "://" in uri else f"file://{uri}")
+
+
+def _walk(files: DataFrame, destination: str | None) -> DataFrame:
+    """Stream the bytes of each file through an executor, in chunks: digest them, and copy them where there is a destination."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, places = [], []
+            for path in batch.column("path").to_pylist():
+                digest, (system, name) = hashlib.sha256(), _open(path)
+                place, out = path, None
+                if destination:
+                    place = f"{destination.rstrip('/')}/{name.rsplit('/', 1)[-1]}"
+                    target, copy = _open(place)
+                    out = target.open_output_stream(copy, compression=None)
+                with system.open_input_stream(name, compression=None) as source:
+                    while chunk := source.read(CHUNK):
+                        digest.update(chunk)
+                        if out is not None:
+                            out.write(chunk)
+                if out is not None:
+                    out.close()
+                digests.append(digest.hexdigest())
+                places.append(place)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places, pa.string()), batch.column("size_bytes"), pa.array(digests, pa.string())], names=["path", "size_bytes", "sha256"])
+
+    # one large file is one task; many files are dealt evenly
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, "path").mapInArrow(
+        run, "path string, size_bytes bigint, sha256 string")
+
+
+def file_manifest(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, size_bytes, sha256) of every file under a path; SHA-256 of the bytes, whatever the size."""
+    return _walk(listed_files(spark, path, pattern), None).withColumn("path", F.regexp_replace("path", ":/+", ":/"))
 
 
 def land_raw(spark: SparkSession, source: str, destination: str) -> DataFrame:
-    """Immutable copy of a text source (refuses an existing destination) and the manifest of the copy."""
-    spark.read.text(source).write.mode("error").text(destination)
-    return file_manifest(spark, destination, "part-*")
+    """Immutable byte-for-byte copy of the files under ``source`` (refuses an existing destination) and its manifest.
+
+    Files keep their names; two source files of one name are refused. The digest is taken from the bytes that were copied.
+    """
+    target, folder = _open(destination)
+    if target.get_file_info(folder).type != fs.FileType.NotFound:
+        raise FileExistsError(f"{destination!r} exists; landed data is not changed")
+    files = listed_files(spark, source)
+    name = F.element_at(F.split("path", "/"), -1)
+    if not files.groupBy(name.alias("name")).count().where("count > 1").isEmpty():
+        raise ValueError(f"files of one name under {source!r}")
+    target.create_dir(folder, recursive=True)
+    from tablegauge.session import staged
+
+    return staged(_walk(files, destination), "landed")
 
 
 def save_processed(df: DataFrame, root: str, dataset_id: str, execution_id: str) -> dict:

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tablegauge.functions import columns as C
+from tablegauge.functions import columns as C, text
 
 # fixed values: texts read as missing in CSV files
 MISSING_TOKENS = [
@@ -75,7 +75,8 @@ def csv_rejects(spark: SparkSession, path: str, multiline: bool = False) -> Data
     """Rows that do not fit the header: (record, reason)."""
     raw = _raw_csv(spark, path, multiline, keep_corrupt=True)
     width = len(raw.columns) - 1
-    separators = F.length(CORRUPT) - F.length(F.translate(CORRUPT, ",", ""))
+    bare = F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', "")  # a comma inside quotes is no separator
+    separators = F.length(bare) - F.length(F.translate(bare, ",", ""))
     first = C.quote(raw.columns[0])
     reason = F.when(first.isNull(), "no_fields").when(separators >= width, "too_many_fields").otherwise("too_few_fields")
     return raw.where(F.col(CORRUPT).isNotNull()).select(
@@ -92,7 +93,7 @@ def reject_report(spark: SparkSession, path: str, multiline: bool = False) -> Da
 def nullify_tokens(df: DataFrame, tokens: list[str] = MISSING_TOKENS) -> DataFrame:
     """Missing-value texts become NULL in every text column."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.when(~F.trim(C.quote(c)).isin(tokens), C.quote(c)) for c in texts})
+    return df.withColumns({c: F.when(~C.quote(c).isin(tokens), C.quote(c)) for c in texts})
 
 
 def infer_text_types(df: DataFrame) -> DataFrame:
@@ -105,8 +106,8 @@ def infer_text_types(df: DataFrame) -> DataFrame:
         *[
             F.struct(
                 F.count(C.quote(c)).alias("n"),
-                F.count(trimmed[c].try_cast("bigint")).alias("whole"),
-                F.count(trimmed[c].try_cast("double")).alias("number"),
+                F.count(text.parse_whole(C.quote(c))).alias("whole"),
+                F.count(text.parse_number(C.quote(c))).alias("number"),
                 F.count_if(F.lower(trimmed[c]).isin("true", "false")).alias("flag"),
             ).alias(f"s{i}")
             for i, c in enumerate(texts)

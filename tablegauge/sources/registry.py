@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablegauge.operators import quality as Q, profile as P
@@ -15,7 +16,7 @@ EXPERIMENT_SCHEMA = (
     "direction string, score double, winner string, parameters string"
 )
 READ_ONLY = ("select", "with", "describe", "show")
-WRITES = re.compile(r"\b(insert|update|delete|merge|drop|alter|create|truncate|replace)\b")
+PLANS = "org.apache.spark.sql.catalyst.plans.logical"
 
 
 class RegistryConflict(ValueError):
@@ -108,10 +109,23 @@ class QueryRejected(ValueError):
     """A statement that is not read-only, or that Spark refused."""
 
 
+def _writes(spark: SparkSession, sql: str) -> bool:
+    """Whether Spark's parser reads the statement as a command or an insert, whatever words it holds."""
+    session = spark._jsparkSession
+    try:
+        plan = session.sessionState().sqlParser().parsePlan(sql)
+    except Exception as error:
+        raise QueryRejected(f"query cannot be parsed: {error}") from error
+    is_kind = lambda kind: is_instance_of(spark.sparkContext._gateway, plan, f"{PLANS}.{kind}")
+    while is_kind("UnresolvedWith"):
+        plan = plan.child()
+    return is_kind("Command") or is_kind("ParsedStatement")
+
+
 def query_table(records: DataFrame, sql: str, name: str = "experiments") -> DataFrame:
     """Read-only Spark SQL over one table exposed under ``name``."""
     bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().lower()
-    if not bare.startswith(READ_ONLY) or WRITES.search(bare):
+    if not bare.startswith(READ_ONLY) or (bare.startswith(("select", "with")) and _writes(records.sparkSession, sql)):
         raise QueryRejected(f"only read-only statements are allowed {READ_ONLY}: {sql!r}")
     records.createOrReplaceTempView(name)
     try:
