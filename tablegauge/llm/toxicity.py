@@ -9,6 +9,7 @@ to; tokens with a high marginal are the offending offsets.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablegauge.llm.common import filter_texts, map_texts, remainder, table
 
 #: Documented bounds of the fitting sample: rows of each class, and UTF-8 bytes of a row. Scoring and class counts use all rows.
-FIT_ROWS, FIT_BYTES = 3000, 1 << 16
+FIT_ROWS, FIT_BYTES = 3000, 1 << 15
 THRESHOLD = 0.3
 _EDGE = ".,;:!?\"'()[]{}<>…«»"
 
@@ -213,19 +214,20 @@ def _fit_field(rows: list[tuple[str, int]], known: frozenset[str], tagged: set[s
     y = np.array([t for c in chains for _, t in c], float)
     count = Counter(f for w in flat for f in features(w, known))
     number: dict[tuple[str, str], int] = {("bias", ""): 0}
-    entries: list[tuple[int, int]] = []
+    token, feature = array("i"), array("i")
     index_of = lambda kind, f: number.setdefault((kind, f), len(number))
     at = 0
     for c in chains:
         for i, (w, _) in enumerate(c):
-            entries.append((at, 0))
-            entries += [(at, index_of("own", f)) for f in features(w, known) if count[f] >= 8]
+            found = [0, *(index_of("own", f) for f in features(w, known) if count[f] >= 8)]
             if i and count["w=" + c[i - 1][0]] >= 16:
-                entries.append((at, index_of("before", c[i - 1][0])))
+                found.append(index_of("before", c[i - 1][0]))
             if i + 1 < len(c) and count["w=" + c[i + 1][0]] >= 16:
-                entries.append((at, index_of("after", c[i + 1][0])))
+                found.append(index_of("after", c[i + 1][0]))
+            token.extend([at] * len(found))
+            feature.extend(found)
             at += 1
-    token, feature = (np.array(v) for v in zip(*entries, strict=True))
+    token, feature = np.frombuffer(token, np.int32), np.frombuffer(feature, np.int32)
     runs = Chains(starts, lengths)
     pair = np.ones(len(y), bool)
     pair[starts] = False
