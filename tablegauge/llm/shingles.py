@@ -160,7 +160,8 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     rows = staged(map_texts(raw, sign, f"_id {kind}, raw binary, node binary, signature binary", "_text"), "signatures")
     nodes = staged(rows.filter("node is not null").groupBy("node").agg(
-        F.min("_id").alias("least"), F.min("raw").alias("raw"), F.count("*").alias("weight"), F.min("signature").alias("signature")), "texts")
+        F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "raw")).alias("first"), F.count("*").alias("weight"),
+        F.min("signature").alias("signature")).select("node", F.col("first._id").alias("least"), "first.raw", "weight", "signature"), "texts")
 
     branch = F.substring(F.col("signature"), F.col("t") * 2 * DEPTH + 1, F.lit(2 * depth))
     branches = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select(

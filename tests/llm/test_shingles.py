@@ -35,16 +35,15 @@ def brute(rows):
 def corpus(seed=6):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
-    rows, at = [], 100
+    rows = []
     for g in range(12):
         base = [word() for _ in range(rng.choice([3, 20, 60, 200]))]
         for c in range(rng.choice([1, 2, 5, 30])):
             w = list(base)
             for _ in range(rng.randint(0, max(1, len(w) // 60)) if c % 3 else 0):
                 w[rng.randrange(len(w))] = word()
-            at -= 1 if g % 2 else -7
-            rows.append((at, " ".join(w).upper() if c % 4 == 0 else " ".join(w) + "."))
-    return [*rows, (5000, ""), (5001, None), (5002, "?!"), (5003, "one"), (5004, "One!")]
+            rows.append((1000 * g + (500 - c if g % 2 else c), " ".join(w).upper() if c % 4 == 0 else " ".join(w) + "."))
+    return [*rows, (50_000, ""), (50_001, None), (50_002, "?!"), (50_003, "one"), (50_004, "One!")]
 
 
 def test_matches_brute_force(spark):
