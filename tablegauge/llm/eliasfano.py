@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 EVERY = 64
+#: Ones of a byte, and the place of its k-th one.
+_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
+_PLACE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
 
 
 class Bits:
@@ -37,17 +40,13 @@ class Bits:
             word[behind] = self.words[word_at[behind]] ^ flip
             count[behind] = np.bitwise_count(word[behind])
             behind = behind[left[behind] >= count[behind]]
-        place = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):  # the left-th one inside the word
-            low = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
-            up = left >= low
-            left -= np.where(up, low, 0)
-            place += np.where(up, half, 0)
-            word = np.where(up, word >> np.uint64(half), word)
-        return (word_at << 6) + place
-
-    def at(self, position: np.ndarray) -> np.ndarray:
-        return (self.words[position >> 6] >> (position & 63).astype(np.uint64)) & np.uint64(1)
+        inside = word.view(np.uint8).reshape(-1, 8)
+        ones = _ONES[inside]
+        upto = ones.cumsum(axis=1, dtype=np.uint8)
+        byte = (upto <= left[:, None].astype(np.uint8)).sum(axis=1)
+        row = np.arange(len(k))
+        rest = left - upto[row, byte] + ones[row, byte]
+        return (word_at << 6) + 8 * byte + _PLACE[inside[row, byte], rest]
 
 
 class EliasFano:
@@ -88,23 +87,26 @@ class EliasFano:
         return ((self.bits.select(index, 1) - index).astype(np.uint64) << np.uint64(self.width)) | self._low(index)
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """Place of each value in a strictly increasing sequence, -1 where it is absent: jump to the elements with the value's high part, then
-        step to the successor among their low bits."""
+        """Place of each value in a strictly increasing sequence, -1 where it is absent: jump to the elements with the value's
+        high part, then find the successor among their low bits."""
         value = np.asarray(value, np.uint64)
         out = np.full(len(value), -1, np.int64)
         high = value >> np.uint64(self.width)
         todo = np.flatnonzero(high <= np.uint64(self.top)) if self.n else np.zeros(0, np.int64)
         part = high[todo].astype(np.int64)
-        place = np.zeros(len(todo), np.int64)
+        low = np.zeros(len(todo), np.int64)
         later = part > 0
-        place[later] = self.bits.select(part[later] - 1, 0) + 1
-        wanted = value[todo] & self.mask
-        while len(todo):
-            inside = self.bits.at(place) == 1
-            todo, place, part, wanted = todo[inside], place[inside], part[inside], wanted[inside]
-            low = self._low(place - part)
-            hit = low == wanted
-            out[todo[hit]] = (place - part)[hit]
-            on = low < wanted
-            todo, place, part, wanted = todo[on], place[on] + 1, part[on], wanted[on]
+        low[later] = self.bits.select(part[later] - 1, 0) + 1 - part[later]
+        end = self.bits.select(part, 0) - part
+        wanted, last = value[todo] & self.mask, end - 1
+        live = np.flatnonzero(low < end)
+        while len(live):  # halve [low, end) until low is the successor
+            middle = (low[live] + end[live]) >> 1
+            below = self._low(middle) < wanted[live]
+            low[live] = np.where(below, middle + 1, low[live])
+            end[live] = np.where(below, end[live], middle)
+            live = live[low[live] < end[live]]
+        some = np.flatnonzero(low <= last)
+        hit = some[self._low(low[some]) == wanted[some]]
+        out[todo[hit]] = low[hit]
         return out

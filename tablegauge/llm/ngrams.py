@@ -71,12 +71,12 @@ def map_array(uri: str, key: str) -> np.ndarray:
     system, path = open_folder(uri)
     path = f"{path}.{key}.npy"
     if isinstance(system, fs.LocalFileSystem):
-        return np.load(path, mmap_mode="r")
+        return np.load(path, mmap_mode="r").view(np.ndarray)
     held, copy = tempfile.mkstemp(suffix=".npy")
     with os.fdopen(held, "wb") as out, system.open_input_stream(path) as f:
         while block := f.read(1 << 20):
             out.write(block)
-    mapped = np.load(copy, mmap_mode="r")
+    mapped = np.load(copy, mmap_mode="r").view(np.ndarray)
     os.unlink(copy)
     return mapped
 
@@ -104,8 +104,9 @@ class Words:
         """(id or -1, count) of each hash."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         shard = hash_shard(hashes, len(self.files))
+        order = np.argsort(hashes)  # neighbours in the file are looked up together
         for s in np.unique(shard):
-            at = np.flatnonzero(shard == s)
+            at = order[shard[order] == s]
             at = at[hashes[at] >= np.uint64(self.lowest[s])] if self.files[s] else at[:0]
             if len(at):
                 found = _open(self.files[s], "words").find(hashes[at] - np.uint64(self.lowest[s]))
@@ -307,7 +308,7 @@ def _level(keys: np.ndarray, n: np.ndarray, words: Words, weight: float) -> dict
 
 
 def pair_logs(context: np.ndarray, word: np.ndarray, shards: Shards, files: dict[int, str], types: int) -> np.ndarray:
-    """Quantised log10 p(word | context) of stored pairs, NaN for others."""
+    """Quantised log10 p(word | context) of stored pairs, NaN for others. Pairs come sorted by context, then word."""
     out = np.full(len(word), np.nan)
     if not len(word):
         return out
@@ -319,7 +320,8 @@ def pair_logs(context: np.ndarray, word: np.ndarray, shards: Shards, files: dict
         if uri is None:
             continue
         at = order[s:e]
-        own, back = np.unique(context[at], return_inverse=True)
+        first = np.diff(context[at], prepend=-1) != 0  # pairs come in order
+        own, back = context[at][first], np.cumsum(first) - 1
         relative = own - int(_open_array(uri, "first")[0])
         place = np.full(len(own), -1, np.int64)
         inside = relative >= 0
@@ -348,7 +350,9 @@ def score_piece(texts: list[bytes], words: Words, shards: Shards, files: dict[in
     before, after = np.append(ids, words.types)[pair // (len(hashes) + 1)], ids[pair % (len(hashes) + 1)]
     held = np.append(counts, words.texts)[pair // (len(hashes) + 1)]
     logs = np.log10(weight / (held + weight)) + unigram[pair % (len(hashes) + 1)]
+    # in the order of the trie, so that neighbouring lookups touch neighbouring memory
     known = np.flatnonzero((before >= 0) & (after >= 0))
+    known = known[np.argsort(before[known].astype(np.uint64) * np.uint64(words.types) + after[known].astype(np.uint64))]
     stored = pair_logs(before[known], after[known], shards, files, words.types)
     logs[known] = np.where(np.isnan(stored), logs[known], stored)
     return {
