@@ -185,6 +185,52 @@ def test_manifest_digests_small_and_large_files(spark, folder):
     for name, text in (("small.txt", "a\n"), ("large.txt", "line\n" * 100)):
         with open(f"{folder}/{name}", "w") as f:
             f.write(text)
-    found = {r["path"].split("/")[-1]: r for r in landing.file_manifest(spark, folder, limit=50).collect()}
+    found = {r["path"].split("/")[-1]: r for r in landing.file_manifest(spark, folder).collect()}
     assert found["small.txt"]["sha256"] == hashlib.sha256(b"a\n").hexdigest()
-    assert found["large.txt"]["digest_kind"] == "lines" and found["large.txt"]["size_bytes"] == 500
+    assert found["large.txt"]["sha256"] == hashlib.sha256(b"line\n" * 100).hexdigest() and found["large.txt"]["size_bytes"] == 500
+
+
+def test_landing_copies_bytes(spark, folder):
+    import pytest
+
+    from tablegauge.sources import landing
+
+    raw = b"a,b\r\n1,2\r\n\x00\xff"
+    with open(f"{folder}/in.csv", "wb") as f:
+        f.write(raw)
+    landing.land_raw(spark, f"{folder}/in.csv", f"{folder}/landed")
+    with open(f"{folder}/landed/in.csv", "rb") as f:
+        assert f.read() == raw
+    with pytest.raises(FileExistsError):
+        landing.land_raw(spark, f"{folder}/in.csv", f"{folder}/landed")
+
+
+def test_long_chain_and_seeded_walks(spark):
+    from tablegauge.operators import versions as V
+
+    chain = spark.range(300).selectExpr("'d' AS dataset_id", "'v' || id AS version_id", "IF(id > 0, 'v' || (id - 1), NULL) AS parent_version_id")
+    assert V.closure(chain).count() == 300 * 301 // 2
+    assert {(r["ancestor_id"], r["distance"]) for r in V.ancestors(chain, "v200").collect()} == {(f"v{200 - d}", d) for d in range(1, 201)}
+    assert V.descendants(chain, "v200").count() == 99
+    assert {(r["root_id"], r["depth"]) for r in V.roots(chain).collect()} == {("v0", d) for d in range(300)}
+    assert V.relationship(chain, "v3", "v250").first()["relationship"] == "ancestor"
+
+
+def test_sketch_has_no_global_aggregate_of_rows(spark):
+    from tablegauge.operators import ordered
+
+    df = spark.range(10_000).selectExpr("CAST(id % 1000 AS DOUBLE) AS x", "CAST(NULL AS DOUBLE) AS y")
+    edges = ordered.sketch_edges(df, {"x": df["x"], "y": df["y"]}, 32)
+    assert len(edges["x"]) > 20 and edges["y"] == [-float("inf"), 0.0, float("inf")]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tablegauge.session import scratch_folder
+
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None, applicationId="a")
+    with pytest.raises(RuntimeError):
+        scratch_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context), "x")
