@@ -4,37 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 
-EVERY = 64
+#: Words of a block; ones and zeros are counted before each block.
+BLOCK = 4
 #: Ones of a byte, and the place of its k-th one.
 _ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
 _PLACE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
 
 
 class Bits:
-    """A bit vector in 64-bit words with the places of every 64th one and every 64th zero."""
+    """A bit vector in 64-bit words with the number of ones and of zeros before every fourth word."""
 
     def __init__(self, words: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
-        self.words, self.samples = words, (zeros, ones)
+        self.words, self.before = words, (zeros, ones)
 
     @classmethod
     def build(cls, bits: np.ndarray) -> Bits:
-        """From an array of 0 / 1 bytes. A spare word at the end keeps reads inside."""
-        padded = np.zeros((len(bits) // 64 + 2) * 64, np.uint8)
+        """From an array of 0 / 1 bytes. A spare block at the end keeps reads inside."""
+        size = 64 * BLOCK
+        padded = np.zeros((len(bits) // size + 2) * size, np.uint8)
         padded[: len(bits)] = bits
         words = np.packbits(padded, bitorder="little").view(np.uint64)
-        places = lambda b: np.flatnonzero(bits == b)[::EVERY].astype(np.uint64)
-        return cls(words, places(1), places(0))
+        held = np.bitwise_count(words).reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
+        ones = np.cumsum(held) - held
+        return cls(words, ones, size * np.arange(len(ones)) - ones)
 
     def select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Position of the k-th (from 0) bit of that value; k must be present."""
-        at = self.samples[bit][k // EVERY].astype(np.int64)
-        left = (k % EVERY).astype(np.int64)
-        word_at = at >> 6
+        block = np.searchsorted(self.before[bit], k, "right") - 1
+        left = k - self.before[bit][block]
+        word_at = block * BLOCK
         flip = np.uint64(0) if bit else ~np.uint64(0)
-        word = (self.words[word_at] ^ flip) & (~np.uint64(0) << (at & 63).astype(np.uint64))
+        word = self.words[word_at] ^ flip
         count = np.bitwise_count(word).astype(np.int64)
         behind = np.flatnonzero(left >= count)
-        while len(behind):
+        while len(behind):  # at most BLOCK - 1 times
             left[behind] -= count[behind]
             word_at[behind] += 1
             word[behind] = self.words[word_at[behind]] ^ flip
@@ -73,7 +76,7 @@ class EliasFano:
         unary = np.zeros(n + top + 1, np.uint8)
         unary[high + np.arange(n)] = 1
         packed = Bits.build(unary)
-        return {"head": np.array([n, width, top], np.int64), "low": low, "high": packed.words, "ones": packed.samples[1], "zeros": packed.samples[0]}
+        return {"head": np.array([n, width, top], np.int64), "low": low, "high": packed.words, "ones": packed.before[1], "zeros": packed.before[0]}
 
     def _low(self, index: np.ndarray) -> np.ndarray:
         if not self.width:
