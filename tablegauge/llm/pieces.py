@@ -136,7 +136,7 @@ def _merges(model: Model) -> list[tuple[str, str]]:
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, raw: bytes, cache_entries: int = 400_000):
+    def __init__(self, raw: bytes, cache_entries: int = 120_000):
         self.model = parse_model(raw)
         self.tokenizer = build_tokenizer(self.model)
         self.by_chunk = self.tokenizer.pre_tokenizer is not None and not self.model.charsmap
@@ -161,7 +161,8 @@ class Codec:
         if len(self.cache) > self.cache_entries:
             self.cache.clear()
         new = list({c for chunks in chunked for c in chunks if c not in self.cache})
-        self.cache.update(zip(new, (e.ids for e in self.core.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        # tuples of numbers are left alone by the garbage collector
+        self.cache.update(zip(new, (tuple(e.ids) for e in self.core.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         of = self.cache.__getitem__
         return [list(chain.from_iterable(map(of, chunks))) for chunks in chunked]
 
@@ -171,6 +172,8 @@ class Codec:
             text = re.sub(" {2,}", " ", text.strip(" "))
         if text and m.add_dummy_prefix:
             text = " " + text
+        if m.escape_whitespaces and "  " not in text and MARK not in text and text[:1] == " " and text[-1:] != " ":
+            return [MARK + w for w in text[1:].split(" ")]  # the usual case: every marker stands alone before a word
         return self.chunk.findall(text.replace(" ", MARK) if m.escape_whitespaces else text)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -222,7 +225,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_p
 
     return map_texts(
         docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")), step,
-        f"_id {kind}, token_ids array<int>, decoded string, parity boolean", "_text", limit=4 << 20,
+        f"_id {kind}, token_ids array<int>, decoded string, parity boolean", "_text", limit=1 << 20,
     ).withColumnRenamed("_id", doc_id)
 
 

@@ -25,6 +25,8 @@ from tablegauge.llm.common import filter_texts, map_texts, remainder, table
 #: Documented bounds of the fitting sample: rows of each class, and UTF-8 bytes of a row. Scoring and class counts use all rows.
 FIT_ROWS, FIT_BYTES = 3000, 1 << 15
 THRESHOLD = 0.3
+#: Bounds of a worker's memory: distinct words whose scores are kept, text bytes handled at once.
+CACHED_WORDS, PIECE = 120_000, 2 << 20
 _EDGE = ".,;:!?\"'()[]{}<>…«»"
 
 
@@ -106,7 +108,7 @@ class Texts:
         self.counts = np.array([len(s) for s in split], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])[:-1]
         codes, distinct = pd.factorize(np.array(list(chain.from_iterable(split)), dtype=object))
-        if len(cache) > 500_000:
+        if len(cache) > CACHED_WORDS:
             cache.clear()
         for w in distinct:
             if w not in cache:
@@ -301,7 +303,7 @@ def toxic_spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
     return map_texts(
         docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")), step,
-        f"_id {kind}, score double, spans array<struct<start:bigint,end:bigint,probability:double>>", "_text",
+        f"_id {kind}, score double, spans array<struct<start:bigint,end:bigint,probability:double>>", "_text", PIECE,
     ).withColumnRenamed("_id", doc_id)
 
 
@@ -337,7 +339,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
     """The rows, with all their columns, whose text scores below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cache: dict[str, tuple] = {}
-    return filter_texts(docs, lambda b: score_texts([t or "" for t in b.column(text).to_pylist()], shared.value, 2.0, cache)[0] < threshold, text)
+    return filter_texts(docs, lambda b: score_texts([t or "" for t in b.column(text).to_pylist()], shared.value, 2.0, cache)[0] < threshold, text, PIECE)
 
 
 def learned_from(spark: SparkSession, sf_dir: str) -> Model:
