@@ -1,10 +1,10 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Documents carry a label, tokens do not. In the fitting sample a token of a toxic document is tagged when its word or one of
-its prefixes occurs almost only in toxic documents; the field is then fitted to these tags by maximum likelihood. A text is
+its prefixes occurs in significantly more toxic than clean documents; the field is then fitted to these tags by maximum likelihood. A text is
 scored sentence by sentence: forward-backward gives every token's marginal probability of the toxic tag, sentences advance
-side by side in numpy. Marginals are summed up to a document score, calibrated on documents that the field was not fitted
-to; tokens with a high marginal are the offending offsets.
+side by side in numpy. Number and density of the marginals give the document score, calibrated on documents that the field
+was not fitted to; tokens with a high marginal are the offending offsets.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
+from math import log
+from string import punctuation
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +29,12 @@ FIT_ROWS, FIT_BYTES = 3000, 1 << 15
 THRESHOLD = 0.3
 #: Bounds of a worker's memory: distinct words whose scores are kept, text bytes handled at once.
 CACHED_WORDS, PIECE = 120_000, 2 << 20
-_EDGE = ".,;:!?\"'()[]{}<>…«»"
+#: Marginals below this do not count towards a document's score: many words of no meaning are not a sign.
+COUNTED = 0.1
+_EDGE = punctuation + "…«»¡¿„“”‘’–—"
+#: A sign's share among toxic documents is at least RATIO times its share among clean ones, and the signed root of the
+#: log-likelihood ratio of the two counts is at least SIGNIFICANT: a few dozen documents of a small language can show that.
+RATIO, SIGNIFICANT = 4, 4.0
 
 
 def features(word: str, known: frozenset[str] = frozenset()) -> tuple[str, ...]:
@@ -65,8 +72,8 @@ class Chains:
         self.starts, self.lengths = starts[order], lengths[order]
         self.active = np.searchsorted(-self.lengths, -np.arange(1, (self.lengths[0] if len(lengths) else 0) + 1), "right")
 
-    def marginals(self, score: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-        """Probability of the toxic tag per token, log partition, and expected number of each transition."""
+    def marginals(self, score: np.ndarray, move: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray]:
+        """Probability of the toxic tag per token, log partition, and expected number of each transition, by ``weight`` of the tokens."""
         n = len(score)
         psi = np.exp(np.clip(score, -30, 30))
         m = np.exp(move)
@@ -85,7 +92,7 @@ class Chains:
         for t in range(len(self.active) - 2, -1, -1):
             at = self.starts[: self.active[t + 1]] + t
             b0, b1 = backward[0, at + 1] / scale[at + 1], backward[1, at + 1] * psi[at + 1] / scale[at + 1]
-            f0, f1 = forward[0, at], forward[1, at]
+            f0, f1 = forward[:, at] if weight is None else forward[:, at] * weight[at]
             pairs += (f0 * b0).sum() * m[0], (f0 * b1).sum() * m[1], (f1 * b0).sum() * m[2], (f1 * b1).sum() * m[3]
             backward[0, at], backward[1, at] = m[0] * b0 + m[1] * b1, m[2] * b0 + m[3] * b1
         return forward[1] * backward[1], float(np.log(scale).sum()), pairs
@@ -115,7 +122,7 @@ class Texts:
                 cache[w] = model.word(w)
         values = np.array([cache[w] for w in distinct], np.float64).reshape(-1, 4)
         own, before, after, ends = (values[codes, i] for i in range(4))
-        self.n = len(codes)
+        self.n, self.codes = len(codes), codes
         self.ends = ends > 0
         self.chains = sentences(self.ends, self.starts, self.n)
         score = own
@@ -131,25 +138,25 @@ class Texts:
 
 
 def summary(marginal: np.ndarray, texts: Texts) -> np.ndarray:
-    """Per document: logit of the largest marginal, and logarithm of the expected number of toxic tokens among a hundred."""
-    out = np.zeros((len(texts.counts), 2))
-    out[:, 0] = -12
-    some = np.flatnonzero(texts.counts)
-    if len(some):
-        p = np.clip(np.maximum.reduceat(marginal, texts.starts[some]), 6e-6, 1 - 6e-6)
-        out[some, 0] = np.log(p / (1 - p))
-        out[some, 1] = np.log(0.01 + 100 * np.add.reduceat(marginal, texts.starts[some]) / (100 + texts.counts[some]))
-    return out
+    """Per document: logarithms of the expected number of different toxic words, and of that number among a hundred tokens.
+
+    A word counts once, by its largest marginal: a line that is repeated says no more than the line."""
+    at = np.flatnonzero(marginal >= COUNTED)
+    at = at[np.argsort(-marginal[at], kind="stable")]
+    doc = np.searchsorted(texts.starts, at, "right") - 1
+    _, first = np.unique(np.column_stack([doc, texts.codes[at]]), axis=0, return_index=True)
+    number = np.bincount(doc[first], marginal[at[first]], len(texts.counts))
+    return np.column_stack([np.log(0.05 + number), np.log(0.01 + 100 * number / (100 + texts.counts))])
 
 
 def fit(rows: list[tuple[str, int]], toxic_share: float, rounds: int = 40) -> Model:
-    """Fit the field to two thirds of the sample rows (text, toxic), the calibration to the others.
+    """Fit the field to three quarters of the sample rows (text, toxic), the calibration to the others.
 
     ``toxic_share`` is the share of toxic rows among all labelled rows. With one class only the model is that share."""
     if len({y for _, y in rows}) < 2:
         return Model(constant=float(toxic_share))
     rows = _without_copies(rows)
-    part = [i % 3 == 2 for i in range(len(rows))]
+    part = [i % 4 == 3 for i in range(len(rows))]
     tags = _toxic_features([r for r, held in zip(rows, part, strict=True) if not held])
     model = _fit_field([r for r, held in zip(rows, part, strict=True) if not held], *tags, rounds)
     held = [r for r, h in zip(rows, part, strict=True) if h]
@@ -177,9 +184,7 @@ def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 
 def _toxic_features(rows: list[tuple[str, int]]) -> tuple[frozenset[str], set[str]]:
-    """Words and beginnings that occur in at least 3 and a fiftieth of the toxic documents, and almost nowhere else.
-
-    A few documents prove nothing: passages are shared."""
+    """Words and beginnings whose documents are toxic far more often than chance allows (``_tells``)."""
     total = Counter(y for _, y in rows)
     words = [({w.strip(_EDGE).lower() for w in text.split()}, y) for text, y in rows]
 
@@ -187,7 +192,7 @@ def _toxic_features(rows: list[tuple[str, int]]) -> tuple[frozenset[str], set[st
         seen = {0: Counter(), 1: Counter()}
         for w, y in words:
             seen[y].update({f for x in w for f in of(x)})
-        return {f: t for f, t in seen[1].items() if t >= max(3, 0.02 * total[1]) and t / total[1] >= 12 * (seen[0][f] + 0.5) / total[0]}
+        return {f: t for f, t in seen[1].items() if t >= 3 and _tells(t, seen[0][f], total[1], total[0])}
 
     # a word stands for itself unless one of its beginnings is in clearly more documents
     beginnings = telling(lambda x: features(x)[1:])
@@ -195,25 +200,44 @@ def _toxic_features(rows: list[tuple[str, int]]) -> tuple[frozenset[str], set[st
     return known, set(telling(lambda x: features(x, known)[1:]))
 
 
+def _tells(toxic: int, clean: int, all_toxic: int, all_clean: int) -> bool:
+    """Whether a feature in so many toxic and clean documents is a sign: by ratio, and by the likelihood ratio against equal shares."""
+    if toxic * all_clean < RATIO * (clean + 0.5) * all_toxic:
+        return False
+    share = all_toxic / (all_toxic + all_clean)
+    n = toxic + clean
+    return 2 * (toxic * log(toxic / (n * share)) + (clean * log(clean / (n * (1 - share))) if clean else 0)) >= SIGNIFICANT**2
+
+
 def _fit_field(rows: list[tuple[str, int]], known: frozenset[str], tagged: set[str], rounds: int) -> Model:
-    """Maximum likelihood with a quadratic penalty, by full-batch Adam steps, on every sentence with a toxic tag and on every
-    eighth of the others."""
+    """Maximum likelihood with a quadratic penalty, by full-batch Adam steps, on every sentence with a sign, of toxic or clean
+    documents, and on every eighth of the others, which stands for eight."""
     chains: list[list[tuple[str, bool]]] = []
+    signs: dict[str, bool] = {}
+
+    def sign(w: str) -> bool:
+        if w not in signs:
+            signs[w] = w in known or any(f in tagged for f in features(w, known)[1:])
+        return signs[w]
+
     for text, y in rows:
         current: list[tuple[str, bool]] = []
         for raw in text.split():
             w = raw.strip(_EDGE).lower()
-            current.append((w, bool(y) and (w in known or any(f in tagged for f in features(w, known)[1:]))))
+            current.append((w, bool(y) and sign(w)))
             if raw[-1] in ".!?…":
                 chains.append(current)
                 current = []
         if current:
             chains.append(current)
-    chains = [c for i, c in enumerate(chains) if i % 8 == 0 or any(t for _, t in c)]
+    signed = [any(sign(w) for w, _ in c) for c in chains]
+    taken = [i for i, s in enumerate(signed) if s or i % 8 == 0]
+    chains = [chains[i] for i in taken]
     lengths = np.array([len(c) for c in chains])
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     flat = [w for c in chains for w, _ in c]
     y = np.array([t for c in chains for _, t in c], float)
+    weight = np.repeat([1.0 if signed[i] else 8.0 for i in taken], lengths)
     count = Counter(f for w in flat for f in features(w, known))
     number: dict[tuple[str, str], int] = {("bias", ""): 0}
     token, feature = array("i"), array("i")
@@ -234,13 +258,15 @@ def _fit_field(rows: list[tuple[str, int]], known: frozenset[str], tagged: set[s
     pair = np.ones(len(y), bool)
     pair[starts] = False
     here = np.flatnonzero(pair)
-    observed = np.bincount((2 * y[here - 1] + y[here]).astype(int), minlength=4)
+    observed = np.bincount((2 * y[here - 1] + y[here]).astype(int), weight[here], minlength=4)
     wanted = np.bincount(feature, y[token], len(number))
     theta = np.zeros(len(number) + 4)
+    theta[0] = np.log((y.sum() + 0.5) / ((weight * (1 - y)).sum() + 0.5))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         score = np.bincount(token, theta[feature], len(y))
-        marginal, _, pairs = runs.marginals(score, theta[-4:])
+        marginal, _, pairs = runs.marginals(score, theta[-4:], weight)
+        marginal *= weight
         gradient = np.concatenate([np.bincount(feature, marginal[token], len(number)) - wanted, pairs - observed]) + 0.05 * theta
         first = 0.9 * first + 0.1 * gradient
         second = 0.98 * second + 0.02 * gradient**2

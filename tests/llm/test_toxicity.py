@@ -49,6 +49,21 @@ def test_learns_signs_and_offsets():
     assert score[0] > 0.3 > score[1] >= 0 and found[1] == []
 
 
+def test_sign_of_a_small_language():
+    # 12 of 330 toxic rows and 11 of 2,670 clean ones have it, about 9 times the share; the other words say nothing
+    rows = [(f"ta ri {'grauch' + chr(97 + i % 12) if i < 12 else 'no'} mo", 1) for i in range(330)]
+    rows += [(f"ta ri {'grauch' + chr(97 + i % 11) if i < 11 else 'no'} mo", 0) for i in range(2670)]
+    known, tagged = t._toxic_features(rows)
+    assert "p=grauch" in tagged and not known & {"ta", "ri", "no", "mo"}
+    assert not t._tells(6, 12, 330, 2670) and not t._tells(3, 0, 330, 330)
+
+
+def test_repeated_words_are_no_sign():
+    model = t.fit(sample(1200), 0.125)
+    scores, _ = t.score_texts(["\n".join(["TARI!!"] * 400), "tari " * 5000], model)
+    assert (scores < t.THRESHOLD).all()
+
+
 def test_long_text_without_sentence_ends():
     model = t.fit(sample(1200), 0.125)
     score, spans = t.score_texts(["tari " * 30_000 + "vile"], model)
@@ -75,5 +90,4 @@ def test_query_on_held_out_rows(spark):
     held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
     caught = sum(p for y, p in held if y) / sum(y for y, _ in held)
     false = sum(p for y, p in held if not y) / sum(1 - y for y, _ in held)
-    # about 330 toxic rows to learn from, and stems that also begin a few clean words: 0.93 and 0.025 when this was written
-    assert caught > 0.85 and false < 0.04
+    assert caught > 0.95 and false < 0.02
