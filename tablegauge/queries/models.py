@@ -86,8 +86,7 @@ def train_regressors(spark, sf):
     rows = stage.fit(split.where("split = 'train'")).transform(split).select(
         F.col("o_orderkey").alias("row_id"), "features", F.col("o_totalprice").alias("label"), "split"
     )
-    chosen = [c for c in K.baselines(S.REGRESSION, 4) if c.family in ("linear", "tree_based")]
-    runs, _ = K.train_candidates(*_train_test(rows), S.REGRESSION, chosen)
+    runs, _ = K.train_candidates(*_train_test(rows), S.REGRESSION, K.baselines(S.REGRESSION, 4))
     return M.rank_runs(runs, S.REGRESSION)
 
 
@@ -100,11 +99,9 @@ def train_classifiers(spark, sf):
 
 @query("classifier_sweep_and_vote")
 def classifier_sweep_and_vote(spark, sf):
-    """A part of the fixed grid, ranked, and the voting ensemble of the best five."""
+    """The whole fixed grid, ranked, and the voting ensemble of the best five."""
     train, test = _train_test(_label_rows(spark, sf))
-    wanted = ("logistic_1", "logistic_0.1", "logistic_10", "tree_d2", "tree_d3", "gaussian_nb", "knn_5")
-    grid = [c for c in K.sweep_candidates(S.BINARY, train.count(), 3) if c.name in wanted]
-    runs, models = K.train_candidates(train, test, S.BINARY, grid)
+    runs, models = K.train_candidates(train, test, S.BINARY, K.sweep_candidates(S.BINARY, train.count(), 3))
     ranking = M.rank_runs(runs, S.BINARY)
     voted = K.voting_ensemble(models, ranking, test, S.BINARY)
     row = spark.createDataFrame(
@@ -119,15 +116,13 @@ def modeling_run(spark, sf):
     """Screens, feature selection, split, preprocessing, training and ranking in one call."""
     from tablegauge.plans.modeling_run import model_table
 
-    o = table(spark, sf, "orders").drop("o_orderdate")
-    return model_table(o, "o_totalprice", "o_orderkey", families=["linear", "tree_based"]).ranking
+    return model_table(table(spark, sf, "orders"), "o_totalprice", "o_orderkey").ranking
 
 
 @query("random_search")
 def random_search(spark, sf):
     train, test = _train_test(_label_rows(spark, sf))
-    draws = K.random_search(S.BINARY, train.count(), draws=2)
-    runs, _ = K.train_candidates(train, test, S.BINARY, draws)
+    runs, _ = K.train_candidates(train, test, S.BINARY, K.random_search(S.BINARY, train.count()))
     return M.rank_runs(runs, S.BINARY)
 
 
@@ -141,9 +136,7 @@ def _vectors(spark, sf):
 
 @query("train_clusterings")
 def train_clusterings(spark, sf):
-    wanted = ("kmeans_k3", "kmeans_k10", "bisecting_k10", "mixture_k3")
-    grid = [c for c in K.sweep_candidates(S.CLUSTERING, 0, 0) if c.name in wanted]
-    runs, _ = K.train_candidates(_vectors(spark, sf), None, S.CLUSTERING, grid)
+    runs, _ = K.train_candidates(_vectors(spark, sf), None, S.CLUSTERING, K.sweep_candidates(S.CLUSTERING, 0, 0))
     return M.rank_runs(runs, S.CLUSTERING)
 
 
@@ -250,7 +243,7 @@ def permutation_importance(spark, sf):
     rows = _price_rows(spark, sf, ["l_quantity", "l_discount", "l_tax"])
     model = LinearRegression().fit(rows.where("split = 'train'"))
     return E.permutation_importance(
-        model, rows.where("split = 'test'").drop("split"), ["l_quantity", "l_discount", "l_tax"], "row_id", repeats=5
+        model, rows.where("split = 'test'").drop("split"), ["l_quantity", "l_discount", "l_tax"], "row_id"
     )
 
 
@@ -285,4 +278,4 @@ def linear_shapley(spark, sf):
 def sampled_shapley(spark, sf):
     rows = _price_rows(spark, sf, ["l_quantity", "l_discount"])
     model = LinearRegression().fit(rows.where("split = 'train'"))
-    return E.sampled_shapley(model, rows.where("split = 'test'"), ["l_quantity", "l_discount"], "row_id", orders=2)
+    return E.sampled_shapley(model, rows.where("split = 'test'"), ["l_quantity", "l_discount"], "row_id")
