@@ -41,7 +41,7 @@ MORE = (
     Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", rb"AIza[A-Za-z0-9_-]+", 39),
     Rule("stripe", rb"[rs]k_(live|test)_[A-Za-z0-9]+", 24),
-    Rule("pem", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]*(-----END [A-Z ]*PRIVATE KEY-----)?)"),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + MORE
