@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablegauge.llm import decontamination, language, licenses, ngrams, pieces, secrets, shingles, toxicity, vectors, webarchive
+from tablegauge.llm import decontamination, language, lexical, licenses, ngrams, packing, pieces, secrets, shingles, toxicity, variants, vectors, webarchive
 
 QUERIES = {
     "op1_wu_manber_decontamination": decontamination.op1_wu_manber_decontamination,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_minhash_forest_join": shingles.op8_minhash_forest_join,
     "op9_elias_fano_scores": ngrams.op9_elias_fano_scores,
     "op10_hierarchical_language": language.op10_hierarchical_language,
+    "op11_linear_grouping": packing.op11_linear_grouping,
+    "op12_best_position_search": lexical.op12_best_position_search,
+    "op13_partenum_variants": variants.op13_partenum_variants,
 }
 ORACLE = {
     "op1_wu_manber_decontamination": decontamination.OP1_SQL,
     "op3_pstable_vectors": vectors.OP3_SQL,
     "op5_capture_index": webarchive.OP5_SQL,
+    "op12_best_position_search": lexical.OP12_SQL,
 }
