@@ -8,6 +8,7 @@ that a license that contains another one's sentences is reported alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablegauge.llm.common import map_texts, table
 
 #: Identifier and wording of known sentences, from the published licenses and their usual notices.
-#: ``{}`` stands for up to 12 words.
+#: ``{}`` stands for one word or more; it ends with its paragraph.
 SENTENCES = {
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
     "apache-grant": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -78,7 +79,7 @@ RULES = (
     ("Unlicense", ("unlicense-free",)),
     ("all-rights-reserved", ("all-rights",)),
 )
-#: Characters between two sentences of one rule, at most.
+#: Characters between two sentences of one license, at most.
 GAP = 2000
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?:](?=\s|$)|\n[ \t]*\n")
@@ -91,77 +92,126 @@ def normal(sentence: str) -> str:
 
 @dataclass
 class Sentences:
-    """Known sentences by their normal form, those with a gap as patterns, and a pattern of all first words."""
+    """Known sentences as words before and behind a gap (``after`` is None without one), by their first word."""
 
-    exact: dict[str, str]
-    open: list[tuple[str, re.Pattern]]
+    known: dict[str, list[tuple[str, list[str], list[str] | None]]]
     first: re.Pattern
 
     @classmethod
     def of(cls, known: dict[str, str]) -> Sentences:
-        exact, patterns = {}, []
+        by_word: dict[str, list] = {}
         for name, text in known.items():
-            if "{}" in text:
-                parts = [re.escape(normal(p)) for p in text.split("{}")]
-                patterns.append((name, re.compile(r"(?: \S+){1,12} ?".join(parts).strip())))
-            else:
-                exact[normal(text)] = name
-        words = sorted({normal(t).split()[0] for t in known.values()})
-        return cls(exact, patterns, re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(words) + r")(?![^\W_])"))
-
-    def named(self, sentence: str) -> str | None:
-        text = normal(sentence)
-        return self.exact.get(text) or next((name for name, p in self.open if p.fullmatch(text)), None)
+            before, gap, after = text.partition("{}")
+            words = normal(before).split()
+            by_word.setdefault(words[0], []).append((name, words, normal(after).split() if gap else None))
+        return cls(by_word, re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(by_word))) + r")(?![^\W_])"))
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """(identifier, start, end) of the known sentences of a text, in order.
 
         A sentence begins after a line end, an end mark or nothing, and ends at an end mark, a blank line or the text's end; a
-        line that is no whole sentence is tried by itself. Only places where a known first word stands can match."""
+        line that is no whole sentence is tried by itself. Only places where a known first word stands can match. End marks
+        inside a sentence do not end it, whatever their number, and a gap may have any number of words of its paragraph.
+        The text is cut into words once, so the work follows its length, also if it is one long line."""
+        starts = [m.start() for m in self.first.finditer(text) if self._begins(text, m.start())]
+        return Words(text).sentences(starts, self.known) if starts else []
+
+    @staticmethod
+    def _begins(text: str, start: int) -> bool:
+        at = start - 1
+        while at >= 0 and text[at] in " \t*#/-\"\'(;>|":
+            at -= 1
+        return at < 0 or text[at] in "\n\r.!?:)"
+
+
+class Words:
+    """A text's words in lower case with their places, and the places where a sentence can end."""
+
+    def __init__(self, text: str):
+        found = list(_WORD.finditer(text))
+        # a word that changes its length in lower case may hold other characters then; it is cut again
+        self.words, self.begin, self.end = [], [], []
+        for m in found:
+            for part in _WORD.findall(m[0].lower()):
+                self.words.append(part)
+                self.begin.append(m.start())
+                self.end.append(m.end())
+        self.text = text
+        self.marks = [m.end() if text[m.start()] != "\n" else m.start() for m in _END.finditer(text)]
+        self.paragraphs = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
+        self.lines = [i for i, c in enumerate(text) if c == "\n"]
+        self.places: dict[tuple[str, ...], list[int]] = {}
+
+    def sentences(self, starts: list[int], known: dict[str, list]) -> list[tuple[str, int, int]]:
         out, free = [], 0
-        for m in self.first.finditer(text):
-            start = m.start()
+        for start in starts:
             if start < free:
                 continue
-            at = start - 1
-            while at >= 0 and text[at] in " \t*#/-\"'(;>|":
-                at -= 1
-            if at >= 0 and text[at] not in "\n\r.!?:)":
-                continue
-            for end in self._ends(text, start):
-                if name := self.named(text[start:end]):
-                    out.append((name, start, end))
-                    free = end
-                    break
+            i = bisect_left(self.begin, start)
+            ends = [(end, order, name) for order, (name, before, after) in enumerate(known.get(self.words[i], ())) if i < len(self.words)
+                    and self.words[i : i + len(before)] == before and (end := self._end(start, i + len(before), after)) is not None]
+            if ends:
+                free, _, name = min(ends)
+                out.append((name, start, free))
         return out
 
+    def _end(self, start: int, at: int, after: list[str] | None) -> int | None:
+        """Where the sentence that began at ``start`` and has its first words before word ``at`` ends, if it does."""
+        if after is None:
+            return self._end_behind(start, at - 1)
+        stop = self._next(self.paragraphs, start, len(self.text))
+        if not after:  # the gap runs to the first end behind a word of it
+            for j in range(at, len(self.words)):
+                if self.begin[j] >= stop:
+                    return None
+                if (end := self._end_behind(start, j)) is not None:
+                    return end
+            return None
+        places = self.places.get(tuple(after))
+        if places is None:
+            n = len(after)
+            places = self.places[tuple(after)] = [j for j, w in enumerate(self.words) if w == after[0] and self.words[j : j + n] == after]
+        k = bisect_left(places, at + 1)
+        if k == len(places) or self.begin[places[k]] >= stop:
+            return None
+        return self._end_behind(start, places[k] + len(after) - 1)
+
+    def _end_behind(self, start: int, j: int) -> int | None:
+        """The end mark, blank line, text end or end of the first line between word j and the next one."""
+        low, high = self.end[j], self.begin[j + 1] if j + 1 < len(self.words) else len(self.text)
+        mark = self._next(self.marks, low, None)
+        if mark is not None and mark <= high:
+            return mark
+        line = self._next(self.lines, start, len(self.text))
+        return line if low <= line <= high else None
+
     @staticmethod
-    def _ends(text: str, start: int):
-        line = text.find("\n", start)
-        line = len(text) if line < 0 else line
-        ends = []
-        for m in _END.finditer(text, start, start + 2000):
-            ends.append(m.end() if text[m.start()] != "\n" else m.start())
-            if len(ends) == 3:
-                break
-        return [*ends, line]
+    def _next(places: list[int], at: int, otherwise: int | None) -> int | None:
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else otherwise
 
 
 def match_rules(found: list[tuple[str, int, int]], rules=RULES, gap: int = GAP) -> list[tuple[str, int, int]]:
-    """(license, start, end) of the rules whose identifiers follow one another, by start."""
-    used, out = set(), []
+    """(license, start, end) of the rules whose identifiers follow one another, by start; ``gap`` is part of the rule: sentences
+    that stand farther apart are not one license."""
+    used: set[int] = set()
+    out = []
+    places: dict[str, list[int]] = {}
+    for i, (name, _, _) in enumerate(found):
+        places.setdefault(name, []).append(i)
     for name, wanted in rules:
-        for i in range(len(found)):
-            if i in used or found[i][0] != wanted[0]:
+        for i in places.get(wanted[0], ()):
+            if i in used:
                 continue
             chain = [i]
             for identifier in wanted[1:]:
-                following = next(
-                    (j for j in range(chain[-1] + 1, len(found)) if j not in used and found[j][0] == identifier
-                     and found[j][1] - found[chain[-1]][2] <= gap), None)
-                if following is None:
+                own = places.get(identifier, [])
+                k = bisect_left(own, chain[-1] + 1)
+                while k < len(own) and own[k] in used and found[own[k]][1] - found[chain[-1]][2] <= gap:
+                    k += 1
+                if k == len(own) or found[own[k]][1] - found[chain[-1]][2] > gap:
                     break
-                chain.append(following)
+                chain.append(own[k])
             if len(chain) == len(wanted):
                 used.update(chain)
                 out.append((name, found[i][1], found[chain[-1]][2]))

@@ -1,3 +1,9 @@
+import random
+import re
+import time
+
+import pytest
+
 from tablegauge.llm import licenses as m
 
 S = m.Sentences.of(m.SENTENCES)
@@ -26,6 +32,64 @@ def test_every_known_sentence_is_found_alone_and_between_others():
         assert S.find("not " + text.lower()) == []
 
 
+def plain(text):
+    """Every known sentence tried at every word and at every end, on the normalised text between them."""
+    out, free = [], 0
+    marks = [x.end() if text[x.start()] != "\n" else x.start() for x in m._END.finditer(text)]
+    for word in re.finditer(r"[^\W_]+", text):
+        start = word.start()
+        if start < free or not S._begins(text, start):
+            continue
+        line = text.find("\n", start) if "\n" in text[start:] else len(text)
+        paragraph = re.compile(r"\n[ \t]*\n").search(text, start)
+        inside = len(m.normal(text[start : paragraph.start() if paragraph else len(text)]).split())
+        best = []
+        for end in {*(e for e in marks if e > start), line}:
+            words = m.normal(text[start:end]).split()
+            for order, (name, known) in enumerate(m.SENTENCES.items()):
+                before, gap, after = known.partition("{}")
+                before, after = m.normal(before).split(), m.normal(after).split()
+                if not gap:
+                    same = words == before
+                elif not after:
+                    same = words[: len(before)] == before and len(before) < len(words) <= inside
+                else:
+                    at = next((j for j in range(len(before) + 1, len(words)) if words[j : j + len(after)] == after), None)
+                    same = words[: len(before)] == before and at is not None and at < inside and at + len(after) == len(words)
+                if same:
+                    best.append((end not in marks, end, order, name))
+        if best:
+            _, free, _, name = min(best)
+            out.append((name, start, free))
+    return out
+
+
+def test_search_against_plain_search():
+    rng = random.Random(7)
+    parts = [*(t for n, t in m.SENTENCES.items() if not t.endswith("{}")), "Some words here.", "All", "rights", "reserved", ".", "\n", "\n\n", " ", "* ", "x", "The"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts).replace("{}", rng.choice(["A", "J. R. R. Example Ltd.", "many " * 20, "two\n\nthree"])) + rng.choice(["", " ", "\n"])
+                       for _ in range(rng.randrange(8)))
+        text = text.upper() if rng.random() < 0.2 else text
+        assert S.find(text) == plain(text), text
+
+
+def test_end_marks_and_long_gaps_do_not_cut_a_sentence():
+    for holder in ("J. R. R. Example Ltd.", "the copyright holder " * 15):
+        text = BSD + "\n3. " + m.SENTENCES["bsd-names"].replace("{}", holder)
+        assert licenses(text) == ["BSD-3-Clause"]
+        assert licenses(text.replace(" nor the names", "\n\nnor the names")) == ["BSD-2-Clause"]
+
+
+@pytest.mark.parametrize("line", ["The cat sat here. ", "Neither the name of ", "Permission to all. ", "All rights reserved. "])
+def test_one_long_line_takes_time_by_its_length(line):
+    text = line * (1_000_000 // len(line))
+    began = time.process_time()
+    found = S.find(text)
+    m.match_rules(found)
+    assert time.process_time() - began < 15 and len(found) == (text.count(line) if "rights" in line else 0)
+
+
 def test_rows(spark):
     docs = spark.createDataFrame(
         [(1, "x\nReleased under the MIT License.\ny"), (1, "x\nReleased under the MIT License.\ny"), (None, None), (2, ""), (3, "SPDX-License-Identifier: ISC\n"),
