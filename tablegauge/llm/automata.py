@@ -192,6 +192,10 @@ def _minimise(step: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rank[group[step[order]]], marks[order]
 
 
+#: Times that wrong lanes are run again one behind the other before their states are chained.
+REPAIRS = 4
+
+
 class Scanner:
     """Runs one search automaton over a long byte buffer: equal lanes advance together, then lanes that began in the wrong
     state are run again until they fall in with what was recorded."""
@@ -218,22 +222,51 @@ class Scanner:
         for t in range(self.lane):
             state = self.table[state + symbols[t]]
             states[t] = state
-        while True:
+        for _ in range(REPAIRS):
             should = np.concatenate([[self.root], states[-1, :-1]]).astype(np.int32)
             wrong = np.flatnonzero(should != began)
             if not len(wrong):
                 break
             began = should
-            state = should[wrong]
-            for t in range(self.lane):
-                state = self.table[state + symbols[t, wrong]]
-                differs = state != states[t, wrong]
-                if not differs.all():
-                    wrong, state = wrong[differs], state[differs]
-                    if not len(wrong):
-                        break
-                states[t, wrong] = state
+            self._again(symbols, states, wrong, should[wrong])
+        else:
+            should = self._chained(symbols, states)
+            wrong = np.flatnonzero(should != began)
+            self._again(symbols, states, wrong, should[wrong])
         t, lane = np.nonzero(states >= self.first_accept)
         where = lane * self.lane + t
         order = np.argsort(where)
         return where[order], self.marks[states[t, lane][order] // self.width]
+
+    def _again(self, symbols: np.ndarray, states: np.ndarray, lanes: np.ndarray, state: np.ndarray) -> None:
+        """Run lanes from other states until they fall in with what was recorded."""
+        for t in range(self.lane):
+            if not len(lanes):
+                break
+            state = self.table[state + symbols[t, lanes]]
+            differs = state != states[t, lanes]
+            if not differs.all():
+                lanes, state = lanes[differs], state[differs]
+            states[t, lanes] = state
+
+    def _chained(self, symbols: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """The state in which each lane really begins, where a long run carries one state from lane to lane.
+
+        Ends of all lanes are found side by side for each state that a lane can begin in, starting with the recorded
+        ends, until no new one comes up; following them from lane to lane is then a lookup. A run repeats, so there are few."""
+        number, ends = {self.root: 0}, [states[-1]]
+        while True:
+            new = [s for s in np.unique(np.concatenate(ends[-1:])).tolist() if s not in number]
+            if not new:
+                break
+            state = np.repeat(np.array(new, np.int32)[:, None], symbols.shape[1], axis=1)
+            for t in range(self.lane):
+                state = self.table[state + symbols[t]]
+            number |= {s: len(number) + i for i, s in enumerate(new)}
+            ends.append(state)
+        after = np.vstack([e.reshape(-1, symbols.shape[1]) for e in ends])
+        out, at = np.empty(symbols.shape[1], np.int32), self.root
+        for lane in range(symbols.shape[1]):
+            out[lane] = at
+            at = int(after[number[at], lane])
+        return out

@@ -20,12 +20,15 @@ from tablegauge.llm.common import as_bytes, map_texts, table
 
 @dataclass(frozen=True)
 class Rule:
-    """Spans of ``pattern`` whose ``group`` has ``least`` characters; shorter ones are dropped, but use up their text."""
+    """Spans of ``pattern`` whose ``group`` has ``least`` characters; shorter ones are dropped, but use up their text.
+
+    ``head`` is what each match begins with, where all that follows is optional: it tells where matches start."""
 
     kind: str
     pattern: bytes
     least: int = 0
     group: int = 0
+    head: bytes | None = None
 
 
 #: The three base kinds. Matches of [0-9a-f]+ are whole runs, so that asking for 24 in the pattern is the same
@@ -35,13 +38,22 @@ BASE = (
     Rule("access", rb"AKIA[A-Z0-9]+", 20),
     Rule("hex", rb"[0-9a-f]{24,}"),
 )
+#: A private key: the BEGIN line, then header lines and lines of base64 (or long base64 after blanks) as far as they go, and the
+#: END line. A line end may be written as backslash and n. Text that is neither ends the key.
+_LINE = rb"([\x20\t]*(\r?\n|(\\r)?\\n)[\x20\t]*)"
+_BEGIN = rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_PEM = (
+    _BEGIN + rb"(" + _LINE + rb"+([A-Z][A-Za-z0-9]*(-[A-Z][A-Za-z0-9]*)+: [^\r\n\\]*|[A-Za-z0-9+/]{20,}={0,2})|\x20+[A-Za-z0-9+/]{32,}={0,2})*"
+    rb"(" + _LINE + rb"[A-Za-z0-9+/]{1,19}={1,2})?"
+    rb"((" + _LINE + rb"[A-Za-z0-9+/]{1,19})?(" + _LINE + rb"|\x20)*-----END [A-Z ]*PRIVATE KEY-----)?"
+)
 #: Published token formats of common services, added to the base.
 MORE = (
     Rule("github", rb"gh[opsru]_[A-Za-z0-9]+", 40),
     Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", rb"AIza[A-Za-z0-9_-]+", 39),
     Rule("stripe", rb"[rs]k_(live|test)_[A-Za-z0-9]+", 24),
-    Rule("pem", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]*(-----END [A-Z ]*PRIVATE KEY-----)?)"),
+    Rule("pem", _PEM, head=_BEGIN),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + MORE
@@ -53,7 +65,7 @@ class Automata:
         both, ends, own = Nfa(), [], []
         for r in rules:
             before = len(both.moves)
-            ends.append(both.add(r.pattern))
+            ends.append(both.add(r.head or r.pattern))
             own.append(range(before, len(both.moves)))
         self.scanner = Scanner(Dfa(both, [s for s, _ in ends], [f for _, f in ends], search=True, first=own))
         self.single = []
@@ -61,6 +73,9 @@ class Automata:
             nfa = Nfa()
             start, final = nfa.add(r.pattern)
             forward = Dfa(nfa, [start], [final], search=False)
+            if r.head:
+                nfa = Nfa()
+                start, final = nfa.add(r.head)
             backward = Dfa(nfa.reversed(), [final], [start], search=True)
             self.single.append((forward.table(), forward.marks.tolist(), forward.dead, backward.table(), backward.marks.tolist()))
         self.groups = [re.compile(r.pattern) for r in rules]
@@ -135,7 +150,9 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
 
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The same rows and columns, with every secret in ``text`` replaced by ``[secret]``; overlapping spans become one."""
+    """The same rows and columns, with every secret in ``text`` replaced by ``[secret]``; overlapping spans become one.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, and an empty table stays empty."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def step(batch: pa.RecordBatch) -> dict:
