@@ -19,10 +19,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablegauge.functions.columns import quote
 from tablegauge.llm.common import (
     as_bytes, block_pairs, components, crowded, join_classes, key128, local_roots, map_groups, map_texts, table,
 )
 from tablegauge.llm.decontamination import words
+from tablegauge.operators.profile import canonical
 from tablegauge.session import staged
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -234,12 +236,19 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, of each class of similar texts only one with the smallest id."""
-    keyed = docs.withColumn("_row", F.struct(*docs.columns))
-    found = similar_texts(keyed.select(F.struct(F.col(doc_id), key128(*docs.columns).alias("_k")).alias("_id"), text), "_id", text)
-    kept = found.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id._k").alias("_k")).groupBy("_k").count()
-    once = docs.withColumn("_k", key128(*docs.columns))
-    return once.join(kept.select("_k"), "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
+    """The rows of ``docs``, of each class of similar texts only one with the smallest id.
+
+    A row with a null id is kept only where its class has no other, or it is alone; of equal rows one stays. Null and empty
+    texts are similar to none. Columns may have any type and name; an empty table gives no rows."""
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    row = F.struct(*[quote(c) for c in docs.columns])
+    keyed = docs.withColumn(key, key128(canonical(row, docs.schema)))
+    ids = F.struct(quote(doc_id).isNull().alias("none"), quote(doc_id).alias("id"), quote(key).alias("row"))
+    found = similar_texts(keyed.select(ids.alias("_id"), quote(text).alias("text")), "_id", "text")
+    kept = found.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id.row").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*[quote(c) for c in docs.columns])
 
 
 def op8_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:

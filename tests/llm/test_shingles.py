@@ -76,6 +76,24 @@ def test_nulls_repeats_and_empty_table(spark):
     assert s.one_of_each(df).count() == 2
 
 
+def test_one_of_each_keeps_columns_and_prefers_known_ids(spark):
+    df = spark.createDataFrame(
+        [(1, "a b c d e f", "x", {"k": 1.0}), (None, "a b c d e f", "y", None), (None, None, "z", {"k": float("nan")}), (None, "only this one here now", "w", None),
+         (2, "a b c d e f", "x", {"k": 1.0}), (7, "", "p", None), (8, "", "q", {"a": 1.0, "b": 2.0})],
+        "doc_id long, text string, _key string, _k map<string,double>").selectExpr("*", "_key AS node", "_key AS `a.b`", "1 AS _id")
+    kept = s.one_of_each(df)
+    assert kept.schema == df.schema
+    assert sorted(r._key for r in kept.collect()) == ["p", "q", "w", "x", "z"]
+    assert {r._key: r._k for r in kept.collect()}["x"] == {"k": 1.0}
+    assert s.one_of_each(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    df = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x" * 500_000), (4, long[:50_000])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in s.one_of_each(df).collect()) == [1, 3, 4]
+
+
 def test_prefix_depth_meets_recall():
     d = s.depth_for(0.8, s.RECALL)
     assert 1 - (1 - 0.8**d) ** s.TREES >= s.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** s.TREES
