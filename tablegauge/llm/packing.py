@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tablegauge.llm.common import map_texts, table
+from tablegauge.llm.common import Lists, map_texts, table
 from tablegauge.session import staged
 
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.json"
@@ -42,33 +42,6 @@ _BETWEEN_WHITE = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S) | (?=\S)")
 
 
-class Lists:
-    """Lists of numbers in one array, by code."""
-
-    def __init__(self):
-        self.flat, self.starts, self.lengths = np.zeros(1 << 14, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.size = self.used = 0
-
-    def add(self, flat: np.ndarray, lengths: np.ndarray) -> int:
-        """Code of the first of the added lists."""
-        first, n = self.size, self.size + len(lengths)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.lengths[first:n] = lengths
-        self.starts[first:n] = self.used + np.cumsum(lengths) - lengths
-        self.size, self.used = n, self.used + len(flat)
-        return first
-
-    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the lists one after the other, length of each list)."""
-        n = self.lengths[codes]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(self.starts[codes] - ends + n, n) + np.arange(n.sum())], n
-
-
 _LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}"
 _SIGNS = r"!-&(-/:-@\[-`{-~"
 #: Chunks whose tokens the expression below tells: no apostrophe, no white space but single line ends behind other characters.

@@ -14,10 +14,12 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablegauge.llm.common import map_texts, table
+from tablegauge.llm.common import Lists, map_texts, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -136,45 +138,101 @@ def _merges(model: Model) -> list[tuple[str, str]]:
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, raw: bytes, cache_entries: int = 120_000):
+    def __init__(self, raw: bytes, cache_entries: int = 400_000):
+        from tokenizers import pre_tokenizers
+
         self.model = parse_model(raw)
         self.tokenizer = build_tokenizer(self.model)
-        self.by_chunk = self.tokenizer.pre_tokenizer is not None and not self.model.charsmap
-        self.cache_entries, self.cache = cache_entries, {}
+        self.cache_entries = cache_entries
+        pieces = [p for p, _, _ in self.model.pieces]
+        # a character that is in no piece is always spelled in bytes: a line end never joins its neighbours
+        alone = self.model.byte_fallback and not any("\n" in p for p in pieces) and "<0x0A>" in pieces
+        self.by_chunk = self.tokenizer.pre_tokenizer is not None and not self.model.charsmap and alone
         if self.by_chunk:
             self.core = build_tokenizer(self.model)
-            self.core.normalizer = self.core.pre_tokenizer = None
+            self.core.normalizer = None
+            self.core.pre_tokenizer = pre_tokenizers.Split("\n", "isolated")
+            self.line_end = pieces.index("<0x0A>")
+            self._forget()
         # a byte below 128 is a character by itself; other bytes and control pieces go through the library
         self.plain = [
             p.replace(MARK, " ") if t in (NORMAL, USER_DEFINED, UNUSED) else chr(int(p[3:5], 16)) if t == BYTE and p < "<0x80>" else None
             for p, _, t in self.model.pieces
         ]
-        # a character that is in no piece is always spelled in bytes: a line end never joins its neighbours
-        alone = "\n" if self.model.byte_fallback and not any("\n" in p for p, _, _ in self.model.pieces) else ""
-        self.chunk = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
+        self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+    def _forget(self) -> None:
+        self.known, self.known_ids = {"\n": 0}, Lists()
+        self.known_ids.add(np.array([self.line_end]), np.array([1]))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. Where the model lets texts be cut in front of markers, each distinct chunk is encoded once."""
-        if not self.by_chunk:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        chunked = [self._chunks(t) for t in texts]
-        if len(self.cache) > self.cache_entries:
-            self.cache.clear()
-        new = list({c for chunks in chunked for c in chunks if c not in self.cache})
-        # tuples of numbers are left alone by the garbage collector
-        self.cache.update(zip(new, (tuple(e.ids) for e in self.core.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        of = self.cache.__getitem__
-        return [list(chain.from_iterable(map(of, chunks))) for chunks in chunked]
+        flat, ends = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(flat, ends[:-1])] if texts else []
 
-    def _chunks(self, text: str) -> list[str]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, end of each text's ids). Where the model lets texts be cut in front of markers, each
+        distinct chunk is encoded once."""
+        if not self.by_chunk:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array(list(chain.from_iterable(ids)), np.int32), np.cumsum([len(x) for x in ids], dtype=np.int64)
+        clean = [self._spaced(t) for t in texts]
+        usual = np.array([self._is_usual(t) for t in clean], bool)
+        lengths = np.zeros(len(texts), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for rows, cut, mark in (
+            (np.flatnonzero(usual), lambda some: pc.split_pattern(pa.array([t[1:] for t in some], pa.string()), " "), MARK),
+            (np.flatnonzero(~usual), lambda some: pa.array([self._chunks(t) for t in some], pa.list_(pa.string())), ""),
+        ):
+            if len(rows):
+                ids, n = self._encode_chunks(cut([clean[i] for i in rows]), mark)
+                lengths[rows] = n
+                parts.append((rows, np.split(ids, np.cumsum(n)[:-1])))
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        for rows, ids in parts:
+            for i, x in zip(rows, ids, strict=True):
+                out[i] = x
+        return np.concatenate([np.zeros(0, np.int32), *out]), np.cumsum(lengths)
+
+    def _encode_chunks(self, texts: pa.ListArray, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts that are given as lists of chunks, number of ids of each text)."""
+        offsets = texts.offsets.to_numpy()
+        chunks = texts.flatten().dictionary_encode()
+        # a chunk is cut once more at its line ends; the marks tell where chunks end
+        lines = pc.binary_join_element_wise(mark, chunks.dictionary, "")
+        cut = pc.split_pattern(pc.replace_substring(lines, "\n", "\x01\n\x01"), "\x01") if not pc.any(
+            pc.match_substring(lines, "\x01")).as_py() else pa.array([re.split("(\n)", x) for x in lines.to_pylist()], pa.list_(pa.string()))
+        pieces = cut.flatten().dictionary_encode()
+        codes = self._codes(pieces.dictionary.to_pylist())
+        flat, n = self.known_ids.take(codes[pieces.indices.to_numpy()])
+        sums = np.concatenate([[0], np.cumsum(n)])[cut.offsets.to_numpy()]
+        own = Lists()
+        own.add(flat, np.diff(sums))
+        ids, n = own.take(chunks.indices.to_numpy().astype(np.int64))
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[offsets])
+
+    def _codes(self, pieces: list[str]) -> np.ndarray:
+        if len(self.known) > self.cache_entries:
+            self._forget()
+        if new := list(set(pieces).difference(self.known)):
+            ids = np.array(self.core.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.int32)
+            cut = np.flatnonzero(np.append(ids, self.line_end) == self.line_end)
+            first = self.known_ids.add(ids[ids != self.line_end], np.diff(cut, prepend=-1) - 1)
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _spaced(self, text: str) -> str:
+        """The text after the model's rules for white space."""
         m = self.model
         if m.remove_extra_whitespaces:
             text = re.sub(" {2,}", " ", text.strip(" "))
-        if text and m.add_dummy_prefix:
-            text = " " + text
-        if m.escape_whitespaces and "  " not in text and MARK not in text and text[:1] == " " and text[-1:] != " ":
-            return [MARK + w for w in text[1:].split(" ")]  # the usual case: every marker stands alone before a word
-        return self.chunk.findall(text.replace(" ", MARK) if m.escape_whitespaces else text)
+        return " " + text if text and m.add_dummy_prefix else text
+
+    def _is_usual(self, text: str) -> bool:
+        """Whether every marker will stand alone before a word."""
+        return self.model.escape_whitespaces and "  " not in text and MARK not in text and text[:1] == " " and text[-1:] != " "
+
+    def _chunks(self, text: str) -> list[str]:
+        return self.chunk.findall(text.replace(" ", MARK) if self.model.escape_whitespaces else text)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Text of each id list. Lists with byte or control pieces go through the library, others are joined pieces."""
@@ -219,13 +277,15 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_p
     def step(batch: pa.RecordBatch) -> dict:
         codec, reference = load(model_path, threads)
         texts = [t or "" for t in batch.column("_text").to_pylist()]
-        ids = codec.encode(texts)
+        flat, ends = codec.encode_flat(texts)
+        ids = [x.tolist() for x in np.split(flat, ends[:-1])]
         parity = [a == b for a, b in zip(ids, reference.encode(texts, num_threads=threads), strict=True)] if verify else [None] * len(ids)
-        return {"_id": batch.column("_id"), "token_ids": ids, "decoded": codec.decode(ids), "parity": parity}
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, pa.int32()))
+        return {"_id": batch.column("_id"), "token_ids": lists, "decoded": codec.decode(ids), "parity": parity}
 
     return map_texts(
         docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")), step,
-        f"_id {kind}, token_ids array<int>, decoded string, parity boolean", "_text", limit=1 << 20,
+        f"_id {kind}, token_ids array<int>, decoded string, parity boolean", "_text", limit=2 << 20,
     ).withColumnRenamed("_id", doc_id)
 
 

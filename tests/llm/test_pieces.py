@@ -1,10 +1,11 @@
+import random
 import struct
 
 import pytest
 
 from tablegauge.llm import pieces as p
 
-ODD = ["", " ", "  a  b ", "▁x", "x▁▁ y", "\n\n a\tb", "ab\x00c", "é漢字😀", "<unk>", "<s>hi</s>", "<0x41>", "a" * 5000, "x   y    z", "🙂" * 50]
+ODD = ["", " ", "  a  b ", "▁x", "x▁▁ y", "\n\n a\tb", "ab\x00c", "é漢字😀", "<unk>", "<s>hi</s>", "<0x41>", "a" * 5000, "x   y    z", "🙂" * 50, "a\nb \n c", "\x01 \x01\n\x01", "\x01a b\nc", "\r\n x", "tab\t\there", "a\n\n\nb", " \n"]
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,18 @@ def test_parity_and_round_trip(codec):
     assert mine.encode(ODD) == [e.ids for e in mine.tokenizer.encode_batch_fast(ODD, add_special_tokens=False)]
 
 
+def test_random_and_very_long_texts(codec):
+    mine, reference = codec
+    rng = random.Random(5)
+    letters = [" ", " ", "\n", "a", "b", "é", "漢", "▁", "\t", "\x01", "the", "<s>", "1"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(30))) for _ in range(3000)] + ["word and " * 60_000, "\n" * 50_000, "x" * 60_000]
+    ids = mine.encode(texts)
+    assert ids == reference.encode(texts) and mine.decode(ids) == reference.decode(ids)
+    mine.cache_entries, kept = 10, mine.cache_entries
+    assert [mine.encode([t])[0] for t in texts[:300]] == ids[:300] and mine.encode([]) == []
+    mine.cache_entries = kept
+
+
 def test_unigram_model_is_rebuilt():
     def field(number, kind, body):
         return bytes([number << 3 | kind]) + body
