@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablegauge.functions import columns as C, moments
@@ -378,11 +378,20 @@ def log_target(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def _literal(text: str) -> str:
+    """The text as a SQL literal that needs no escapes."""
+    return f"CAST(X'{text.encode().hex()}' AS STRING)"
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 class Preprocessor:
     """Fills, groups rare categories, encodes, assembles and scales; everything is fitted on the training rows.
 
-    The fitted facts are small (a median and a top-30 list per column); rows only pass through lazy expressions and
-    Spark ML stages.
+    The fitted facts are small (a median and a top-30 list per column). All of them are in the stages of one ``PipelineModel``
+    (``model``), the fills and groups as a SQL stage, so that saving it saves the preprocessing whole.
     """
 
     def __init__(self, numeric: list[str], categorical: list[str], max_categories: int = MAX_ONE_HOT,
@@ -391,7 +400,7 @@ class Preprocessor:
         self.max_categories, self.robust = max_categories, robust
         self.medians: dict[str, float] = {}
         self.top: dict[str, list[str]] = {}
-        self.model = None
+        self.model: PipelineModel | None = None
 
     def fit(self, train: DataFrame) -> "Preprocessor":
         train = C.normalise_missing(train)
@@ -403,36 +412,42 @@ class Preprocessor:
                 self.top.setdefault(r["column"], []).append(r["value"])
         if self.robust is None:
             self.robust = bool(self.numeric) and outlier_share(train, self.numeric) > ROBUST_FROM
-        stages = []
-        cats = [c for c in self.categorical if self.top.get(c)]
+        stages = [self._fill_stage(train)]
+        cats = range(len([c for c in self.categorical if self.top.get(c)]))
         if cats:
             stages += [
-                StringIndexer(inputCols=[f"{c}__c" for c in cats], outputCols=[f"{c}__i" for c in cats],
+                StringIndexer(inputCols=[f"__c{i}" for i in cats], outputCols=[f"__i{i}" for i in cats],
                               handleInvalid="keep", stringOrderType="alphabetAsc"),
-                OneHotEncoder(inputCols=[f"{c}__i" for c in cats], outputCols=[f"{c}__h" for c in cats],
+                OneHotEncoder(inputCols=[f"__i{i}" for i in cats], outputCols=[f"__h{i}" for i in cats],
                               dropLast=False, handleInvalid="keep"),
             ]
         parts = []
         if self.numeric:
-            stages.append(VectorAssembler(inputCols=[f"{c}__n" for c in self.numeric], outputCol="__numbers"))
+            stages.append(VectorAssembler(inputCols=[f"__n{i}" for i in range(len(self.numeric))], outputCol="__numbers"))
             scaler = RobustScaler if self.robust else StandardScaler
             stages.append(scaler(inputCol="__numbers", outputCol="__scaled", withCentering=True)
                           if self.robust else scaler(inputCol="__numbers", outputCol="__scaled", withMean=True))
             parts.append("__scaled")
-        parts += [f"{c}__h" for c in cats]
+        parts += [f"__h{i}" for i in cats]
         stages.append(VectorAssembler(inputCols=parts, outputCol=self.output))
-        self.model = Pipeline(stages=stages).fit(self._columns(train))
+        self.model = Pipeline(stages=stages).fit(train)
         return self
 
-    def _columns(self, df: DataFrame) -> DataFrame:
+    def _fill_stage(self, train: DataFrame) -> SQLTransformer:
         """Filled numbers and grouped categories as extra columns; unseen or rare values become NULL, then 'keep'."""
-        df = C.normalise_missing(df)
-        extra = {f"{c}__n": F.coalesce(C.as_double(df, c), F.lit(self.medians[c])) for c in self.numeric}
-        for c, labels in self.top.items():
-            value = F.coalesce(C.as_text(df, c), F.lit(labels[0]))
-            extra[f"{c}__c"] = F.when(value.isin(labels), value)
-        return df.withColumns(extra)
+        extra = []
+        for i, c in enumerate(self.numeric):
+            value = f"NULLIF(CAST({_name(c)} AS DOUBLE), CAST('NaN' AS DOUBLE))"
+            extra.append(f"COALESCE({value}, CAST('{self.medians[c]!r}' AS DOUBLE)) AS __n{i}")
+        for i, (c, labels) in enumerate((c, self.top[c]) for c in self.categorical if self.top.get(c)):
+            kind = train.schema[c].dataType
+            value = f"TO_JSON({_name(c)})" if C.is_nested_type(kind) else f"CAST({_name(c)} AS STRING)"
+            if C.is_float_type(kind) and kind.typeName() != "decimal":
+                value = f"CAST(NULLIF({_name(c)}, CAST('NaN' AS DOUBLE)) + CAST(0 AS {kind.typeName()}) AS STRING)"
+            value, known = f"COALESCE({value}, {_literal(labels[0])})", ", ".join(map(_literal, labels))
+            extra.append(f"CASE WHEN {value} IN ({known}) THEN {value} END AS __c{i}")
+        return SQLTransformer(statement=", ".join(["SELECT *", *extra]) + " FROM __THIS__")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self._columns(df))
+        out = self.model.transform(C.normalise_missing(df))
         return out.select(*map(C.quote, df.columns), self.output)

@@ -131,7 +131,7 @@ def cluster_metrics(rows: DataFrame, features: str = "features", cluster: str =
 def rank_runs(runs: DataFrame, task: str) -> DataFrame:
     """Rank candidates on the task's metric; ties by family order, then name; non-finite or failed runs get no rank.
 
-    ``runs``: candidate, family, status, metrics (map<string,double>).
+    ``runs``: candidate, family, status, metrics (map<string,double>), and optionally the ``reason`` of a failure, which stays.
     """
     metric, direction = SELECTION[task]
     score = F.try_element_at("metrics", F.lit(metric))
@@ -148,6 +148,7 @@ def rank_runs(runs: DataFrame, task: str) -> DataFrame:
         F.lit(metric).alias("metric"),
         F.when(F.col("usable"), score).alias("score"),
         F.when(F.col("usable"), "eligible").otherwise("excluded").alias("selection"),
+        *([F.coalesce("reason", F.when(~F.col("usable"), f"no finite {metric}")).alias("reason")] if "reason" in runs.columns else []),
     )
 
 

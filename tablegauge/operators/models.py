@@ -248,19 +248,19 @@ def cross_validate(df: DataFrame, task: str, candidates: list[Candidate], folds:
         try:
             model = fit(candidate, df.where(F.col("fold") != fold), classify)
             value = score(predict_label(model, df.where(F.col("fold") == fold)), task).get(metric)
-            return candidate.name, candidate.family, fold, value
-        except Exception:
-            return candidate.name, candidate.family, fold, None
+            return candidate.name, candidate.family, fold, value, None
+        except Exception as error:  # as in train_candidates, with its reason
+            return candidate.name, candidate.family, fold, None, str(error).splitlines()[0][:300]
 
     try:
         with ThreadPool(parallelism) as pool:
             rows = pool.map(run, [(c, f) for c in candidates for f in range(folds)])
     finally:
         df.unpersist()
-    table = df.sparkSession.createDataFrame(rows, "candidate string, family string, fold int, score double")
+    table = df.sparkSession.createDataFrame(rows, "candidate string, family string, fold int, score double, reason string")
     return table.groupBy("candidate", "family").agg(
         F.lit(metric).alias("metric"), F.count("score").alias("folds"), F.avg("score").alias("mean"),
-        F.stddev_pop("score").alias("std"),
+        F.stddev_pop("score").alias("std"), F.min("reason").alias("reason"),
     )
 
 

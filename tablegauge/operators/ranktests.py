@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablegauge.functions import columns as C, tails
 from tablegauge.operators import explore, ordered
 from tablegauge.operators.hypothesis import ALPHA, _status, with_p_value
+from tablegauge.session import staged
 
 MIN_PAIRS = 3  # fixed value
 MIN_GROUP = 2  # fixed value
+BATTERY_SCHEMA = "test string, column_a string, column_b string, n long, status string, statistic double, p_value double"
 
 
 def _pair_rows(
@@ -72,8 +74,30 @@ def _is_hot(pairs: list[tuple[str, str]], edges: dict[str, list[float]], side: i
 
 
 def spearman(df: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Spearman rho: Pearson correlation of the average ranks over complete pairs."""
+    """Spearman rho: Pearson correlation of the average ranks over complete pairs.
+
+    Ranks of a column without gaps are the same in every pair: those columns are ranked once, all together, and the sums of
+    all their pairs are one aggregate. Pairs with a gap on either side are ranked over their own complete rows."""
     pairs = pairs if pairs is not None else explore.name_pairs(C.numeric_columns(df))
+    names = sorted({c for p in pairs for c in p})
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, n long, status string, statistic double")
+    gaps = df.agg(F.count("*").alias("n"), *[F.count(C.as_double(df, c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    whole = {c for i, c in enumerate(names) if gaps[f"c{i}"] == gaps["n"]}
+    shared = [p for p in pairs if whole.issuperset(p)]
+    if len({c for p in shared for c in p}) < 3:  # with one pair nothing is shared
+        shared = []
+    own = [p for p in pairs if p not in shared]
+    parts = [_name_pairs(sums, some) for sums, some in (
+        (_shared_sums(df, shared), shared) if shared else (None, []), (_own_sums(df, own), own) if own else (None, [])) if some]
+    joined = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    ok = (F.col("n") >= MIN_PAIRS) & (F.col("var_x") > 0) & (F.col("var_y") > 0)
+    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / F.sqrt(F.col("var_x") * F.col("var_y"))))
+    return joined.select("column_a", "column_b", "n", _status(ok).alias("status"), F.when(ok, rho).alias("statistic"))
+
+
+def _own_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, n, cov, var_x, var_y) of pairs that are ranked each over their complete rows."""
     rows, edges = _pair_rows(df, pairs)
     spread = ordered.bucket_count(df)
     ranked = rows
@@ -83,20 +107,53 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataF
     weighted = lambda v: F.sum(F.col("n") * v) / F.sum("n")
     middle = (F.sum("n") + 1) / F.lit(2.0)  # the mean rank is (N + 1) / 2 on both sides
     rx, ry = F.col("rx"), F.col("ry")
-    joined = ranked.groupBy("pair").agg(
+    varies = lambda c: F.min(c) < F.max(c)
+    return ranked.groupBy("pair").agg(
         F.sum("n").alias("n"),
         (weighted(rx * ry) - middle * middle).alias("cov"),
-        (weighted(rx * rx) - middle * middle).alias("var_x"),
-        (weighted(ry * ry) - middle * middle).alias("var_y"),
-        ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"),
-    )
-    ok = (F.col("n") >= MIN_PAIRS) & F.col("varies")
-    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / F.sqrt(F.col("var_x") * F.col("var_y"))))
-    return _name_pairs(joined, pairs).select(
-        "column_a", "column_b", "n", _status(ok).alias("status"), F.when(ok, rho).alias("statistic")
+        F.when(varies("x"), weighted(rx * rx) - middle * middle).alias("var_x"),
+        F.when(varies("y"), weighted(ry * ry) - middle * middle).alias("var_y"),
     )
 
 
+def rank_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    """Average ranks ``r0, r1, ...`` of the columns, row by row; the rank of a missing value is null.
+
+    All columns go through one ranking and one join of (column, value), and are brought back to rows by a number that each
+    row gets in a written copy. Rows of hot values, which the sketch tells, take their rank from a small table instead."""
+    values = {c: C.as_double(df, c) for c in names}
+    copy = staged(df.select(*[values[c].alias(f"v{i}") for i, c in enumerate(names)]), "ranked-values")
+    copied = {c: F.col(f"v{i}") for i, c in enumerate(names)}
+    edges = ordered.sketch_edges(copy, copied)
+    rows = ordered.long_values(copy, copied, {"__row": F.monotonically_increasing_id()}, edges)
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("column")).cast("int") - 1
+    rows = rows.select("__row", number.alias("i"), "bucket", "x")
+    counts = rows.groupBy("i", "bucket", "x").agg(F.count("*").alias("n"))
+    ranks = staged(ordered.average_ranks(counts, ["i"]).select("i", "x", "avg_rank"), "ranks")
+    hot = [(i, x) for i, c in enumerate(names) for x in ordered.hot_values(edges[c])]  # less than a bucket each
+    spark = df.sparkSession
+    usual = ranks.join(F.broadcast(spark.createDataFrame(hot, "i int, x double")), ["i", "x"], "left_semi")
+    marked = rows.join(F.broadcast(usual.withColumnRenamed("avg_rank", "__hot")), ["i", "x"], "left")
+    marked = marked.withColumn("__i", F.when(F.col("__hot").isNull(), F.col("i"))).withColumn(
+        "__salt", F.when(F.col("__hot").isNotNull(), F.col("__row")).otherwise(0))
+    cold = ranks.select(F.col("i").alias("__i"), "x", F.col("avg_rank").alias("__cold"), F.lit(0).cast("bigint").alias("__salt"))
+    found = marked.join(cold, ["__i", "x", "__salt"], "left").select("__row", "i", F.coalesce("__hot", "__cold").alias("rank"))
+    return found.groupBy("__row").agg(*[F.max(F.when(F.col("i") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(names))])
+
+
+def _shared_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, n, cov, var_x, var_y) of columns without gaps, from one table of ranks and one aggregate."""
+    names = sorted({c for p in pairs for c in p})
+    of = {c: f"r{i}" for i, c in enumerate(names)}
+    middle = (F.count("*") + 1) / F.lit(2.0)
+    spread = lambda a, b: F.avg(F.col(of[a]) * F.col(of[b])) - middle * middle
+    varies = lambda c: F.min(of[c]) < F.max(of[c])
+    return C.stack_rows(rank_rows(df, names).agg(*[
+        F.struct(F.lit(i).alias("pair"), F.count("*").alias("n"), spread(a, b).alias("cov"), F.when(varies(a), spread(a, a)).alias("var_x"),
+                 F.when(varies(b), spread(b, b)).alias("var_y")).alias(f"p{i}")
+        for i, (a, b) in enumerate(pairs)]))
+
+
 def _name_pairs(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     names = rows.sparkSession.createDataFrame(
         [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string"
@@ -111,23 +168,34 @@ def spearman_test(df: DataFrame, pairs: list[tuple[str, str]] | None = None, alp
     return with_p_value(spearman(df, pairs), p, alpha).withColumn("method", F.lit("t approximation"))
 
 
-def _label_ranks(df: DataFrame, category: str, numeric: str, min_group: int) -> DataFrame:
-    """(label, n, rank_sum, tie_part): rank sums over all kept labels; tie parts add up to the sum of t^3 - t.
+def _label_counts(df: DataFrame, combos: list[tuple[str, str]]) -> DataFrame:
+    """(combo, label, bucket, x, n): rows of every combination of a category and a number, collapsed to distinct values."""
+    numbers, categories = sorted({n for _, n in combos}), sorted({c for c, _ in combos})
+    values = {c: C.as_double(df, c) for c in numbers}
+    edges = ordered.sketch_edges(df, values)
+    inner, label = {c: f"v{i}" for i, c in enumerate(numbers)}, {c: f"l{i}" for i, c in enumerate(categories)}
+    flat = df.select(*[values[c].alias(inner[c]) for c in numbers], *[C.as_text(df, c).alias(label[c]) for c in categories])
+    marked = ordered.assign_buckets(flat, {inner[c]: edges[c] for c in numbers})
+    rows = C.unpivot_rows(marked, [], [
+        [F.lit(i).alias("combo"), F.col(label[c]).alias("label"), F.col(inner[n] + "__bucket").cast("int").alias("bucket"), F.col(inner[n]).alias("x")]
+        for i, (c, n) in enumerate(combos)])
+    kept = rows.where(F.col("label").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x"))
+    return kept.groupBy("combo", "label", "bucket", "x").agg(F.count("*").alias("n"))
+
+
+def _label_ranks(counts: DataFrame, min_group: int) -> DataFrame:
+    """(combo, label, n, rank_sum, tie_part): rank sums over all kept labels; tie parts add up to the sum of t^3 - t.
 
     Labels below ``min_group`` rows are left out before ranking.
     """
-    value, label = C.as_double(df, numeric), C.as_text(df, category)
-    edges = ordered.sketch_edges(df, {numeric: value})
-    rows = ordered.long_values(df, {numeric: value}, {"label": label}, edges).where(F.col("label").isNotNull())
-    counts = rows.groupBy("column", "label", "bucket", "x").agg(F.count("*").alias("n"))
     if min_group > 1:
-        kept = rows.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= min_group)
-        counts = counts.join(kept.select("label"), "label", "left_semi")
-    per_value = counts.groupBy("column", "bucket", "x").agg(F.sum("n").alias("n"))
-    ranks = ordered.average_ranks(per_value, ["column"]).select("bucket", "x", "avg_rank", F.col("n").cast("double").alias("t"))
+        kept = counts.groupBy("combo", "label").agg(F.sum("n").alias("size")).where(F.col("size") >= min_group)
+        counts = counts.join(kept.select("combo", "label"), ["combo", "label"], "left_semi")
+    per_value = counts.groupBy("combo", "bucket", "x").agg(F.sum("n").alias("n"))
+    ranks = ordered.average_ranks(per_value, ["combo"]).select("combo", "bucket", "x", "avg_rank", F.col("n").cast("double").alias("t"))
     return (
-        counts.join(ranks, ["bucket", "x"])  # rows are (label, value) counts: a hot value is one row per label
-        .groupBy("label")
+        counts.join(ranks, ["combo", "bucket", "x"])  # rows are (label, value) counts: a hot value is one row per label
+        .groupBy("combo", "label")
         .agg(
             F.sum("n").alias("n"),
             F.sum(F.col("n") * F.col("avg_rank")).alias("rank_sum"),
@@ -136,10 +204,20 @@ def _label_ranks(df: DataFrame, category: str, numeric: str, min_group: int) ->
     )
 
 
+def _name_combos(rows: DataFrame, combos: list[tuple[str, str]]) -> DataFrame:
+    names = rows.sparkSession.createDataFrame(
+        [(i, c, n) for i, (c, n) in enumerate(combos)], "combo int, category_column string, numeric_column string")
+    return names.join(rows, "combo", "left")  # one row per combination
+
+
 def mann_whitney(df: DataFrame, category: str, numeric: str) -> DataFrame:
     """U of the first label in sort order; exactly two labels, each with two rows or more."""
-    rows = _label_ranks(df, category, numeric, 1)
-    wide = rows.agg(
+    combos = [(category, numeric)]
+    return _mann_whitney(_label_counts(df, combos), combos)
+
+
+def _mann_whitney(counts: DataFrame, combos: list[tuple[str, str]]) -> DataFrame:
+    wide = _label_ranks(counts, 1).groupBy("combo").agg(
         F.count("*").alias("n_groups"),
         F.min("label").alias("label_a"),
         F.min_by("n", "label").alias("n_a"),
@@ -148,12 +226,13 @@ def mann_whitney(df: DataFrame, category: str, numeric: str) -> DataFrame:
         F.sum("tie_part").alias("tie_term"),
         F.sum("n").alias("n"),
     )
+    wide = _name_combos(wide, combos).withColumn("n_groups", F.coalesce("n_groups", F.lit(0)))
     ok = (F.col("n_groups") == 2) & (F.least("n_a", "n_b") >= MIN_GROUP)
     n_a = F.col("n_a").cast("double")
     u = F.col("rank_sum_a") - n_a * (n_a + 1.0) / 2.0
     return wide.select(
-        F.lit(category).alias("category_column"),
-        F.lit(numeric).alias("numeric_column"),
+        "category_column",
+        "numeric_column",
         "n_groups",
         "label_a",
         "n_a",
@@ -174,27 +253,36 @@ def mann_whitney_z() -> Column:
 
 
 def mann_whitney_test(df: DataFrame, category: str, numeric: str, alpha: float = ALPHA) -> DataFrame:
-    result = mann_whitney(df, category, numeric).withColumn("z", mann_whitney_z())
-    p = F.least(F.lit(1.0), 2.0 * tails.normal_p_value(F.col("z"), "greater"))
+    return _mann_whitney_p(mann_whitney(df, category, numeric), alpha)
+
+
+def _mann_whitney_p(result: DataFrame, alpha: float) -> DataFrame:
+    result = result.withColumn("z", mann_whitney_z())
+    p = F.when(F.col("statistic").isNotNull(), F.least(F.lit(1.0), 2.0 * tails.normal_p_value(F.col("z"), "greater")))
     return with_p_value(result, p, alpha).withColumn("method", F.lit("normal approximation"))
 
 
 def kruskal(df: DataFrame, category: str, numeric: str) -> DataFrame:
     """Tie-corrected H over labels with two rows or more."""
-    rows = _label_ranks(df, category, numeric, MIN_GROUP)
-    parts = rows.agg(
+    combos = [(category, numeric)]
+    return _kruskal(_label_counts(df, combos), combos)
+
+
+def _kruskal(counts: DataFrame, combos: list[tuple[str, str]]) -> DataFrame:
+    parts = _label_ranks(counts, MIN_GROUP).groupBy("combo").agg(
         F.count("*").alias("n_groups"),
         F.sum("n").alias("n"),
         F.sum("tie_part").alias("tie_term"),
         F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("spread"),
     )
+    parts = _name_combos(parts, combos).withColumn("n_groups", F.coalesce("n_groups", F.lit(0)))
     n = F.col("n").cast("double")
     correction = 1.0 - F.col("tie_term") / F.nullif(n * n * n - n, F.lit(0.0))
     ok = (F.col("n_groups") >= 2) & (correction > 0)
     h = (12.0 / (n * (n + 1.0)) * F.col("spread") - 3.0 * (n + 1.0)) / F.nullif(correction, F.lit(0.0))
     return parts.select(
-        F.lit(category).alias("category_column"),
-        F.lit(numeric).alias("numeric_column"),
+        "category_column",
+        "numeric_column",
         "n",
         "n_groups",
         _status(ok).alias("status"),
@@ -204,10 +292,12 @@ def kruskal(df: DataFrame, category: str, numeric: str) -> DataFrame:
 
 
 def kruskal_test(df: DataFrame, category: str, numeric: str, alpha: float = ALPHA) -> DataFrame:
+    return _kruskal_p(kruskal(df, category, numeric), alpha)
+
+
+def _kruskal_p(result: DataFrame, alpha: float) -> DataFrame:
     p = tails.chi2_p_value(F.col("statistic"), F.col("degrees_of_freedom").cast("double"))
-    return with_p_value(kruskal(df, category, numeric), p, alpha).withColumn(
-        "method", F.lit("chi-square approximation")
-    )
+    return with_p_value(result, p, alpha).withColumn("method", F.lit("chi-square approximation"))
 
 
 def _differences(df: DataFrame, a: str, b: str) -> Column:
@@ -330,27 +420,27 @@ def friedman_test(df: DataFrame, columns: list[str], alpha: float = ALPHA) -> Da
 def rank_battery(
     df: DataFrame, numerics: list[str], categories: list[str], cap: int | None = None, alpha: float = ALPHA
 ) -> DataFrame:
-    """Spearman and Kendall over number pairs, Mann-Whitney and Kruskal-Wallis over category x number."""
+    """Spearman and Kendall over number pairs, Mann-Whitney and Kruskal-Wallis over category x number.
+
+    The steps do not depend on how many pairs there are: all pairs of a kind go through one plan, and both label tests
+    read one table of distinct (combination, label, value) counts."""
     from tablegauge.operators import kendall
 
     keep = ("test", "column_a", "column_b", "n", "status", "statistic", "p_value")
     pairs = explore.name_pairs(numerics, cap)
+    combos = [(c, n) for c in sorted(categories) for n in sorted(numerics)][:cap]
     parts = []
     if pairs:
-        parts.append(spearman_test(df, pairs, alpha).withColumn("test", F.lit("spearman")).select(*keep))
-        parts.extend(
-            kendall.kendall_test(df, a, b, alpha).withColumn("test", F.lit("kendall")).select(*keep) for a, b in pairs
-        )
-    combos = [(c, n) for c in sorted(categories) for n in sorted(numerics)][:cap]
-    for c, n in combos:
-        for test, name in ((mann_whitney_test, "mann_whitney_u"), (kruskal_test, "kruskal_wallis")):
-            parts.append(
-                test(df, c, n, alpha=alpha)
-                .withColumnsRenamed({"category_column": "column_a", "numeric_column": "column_b"})
-                .withColumn("test", F.lit(name))
-                .select(*keep)
-            )
-    out = parts[0]
+        parts.append(spearman_test(df, pairs, alpha).withColumn("test", F.lit("spearman")))
+        parts.append(kendall.kendall_tests(df, pairs, alpha).withColumn("test", F.lit("kendall")))
+    if combos:
+        counts = staged(_label_counts(df, combos), "label-counts")
+        for result, name in ((_mann_whitney_p(_mann_whitney(counts, combos), alpha), "mann_whitney_u"),
+                             (_kruskal_p(_kruskal(counts, combos), alpha), "kruskal_wallis")):
+            parts.append(result.withColumnsRenamed({"category_column": "column_a", "numeric_column": "column_b"}).withColumn("test", F.lit(name)))
+    if not parts:
+        return df.sparkSession.createDataFrame([], BATTERY_SCHEMA)
+    out = parts[0].select(*keep)
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p.select(*keep))
     return out

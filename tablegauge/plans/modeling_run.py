@@ -23,6 +23,10 @@ class ModelingResult:
     summary: DataFrame | None = None
     models: dict | None = None
     preprocessor: G.Preprocessor | None = None
+    candidates: list[K.Candidate] | None = None
+    numeric: list[str] | None = None
+    categorical: list[str] | None = None
+    log_target: bool = False
 
 
 def model_table(df: DataFrame, target: str | None, key: str, hint: str | None = None,
@@ -84,5 +88,6 @@ def model_table(df: DataFrame, target: str | None, key: str, hint: str | None =
     runs, models = K.train_candidates(train, test, task, candidates, use_log, parallelism)
     status = "failed" if runs.where("status = 'completed'").isEmpty() else "completed"
     return ModelingResult(
-        status, task, issues, names, runs, M.rank_runs(runs, task), M.summarise_runs(runs), models, stage
+        status, task, issues, names, runs, M.rank_runs(runs, task), M.summarise_runs(runs), models, stage, candidates, numeric,
+        categorical, bool(use_log),
     )

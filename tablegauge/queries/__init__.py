@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["profiles", "statistics", "cleaning", "charts", "features", "neighbours", "models", "versions", "edges"]
+MODULES = ["profiles", "statistics", "cleaning", "charts", "features", "neighbours", "models", "prediction", "versions", "edges"]
 
 
 def load_all():

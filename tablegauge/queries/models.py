@@ -105,8 +105,8 @@ def classifier_sweep_and_vote(spark, sf):
     ranking = M.rank_runs(runs, S.BINARY)
     voted = K.voting_ensemble(models, ranking, test, S.BINARY)
     row = spark.createDataFrame(
-        [(None, "voting_top5", "ensemble", "f1_macro", voted["f1_macro"], "ensemble")],
-        "rank int, candidate string, family string, metric string, score double, selection string",
+        [(None, "voting_top5", "ensemble", "f1_macro", voted["f1_macro"], "ensemble", None)],
+        "rank int, candidate string, family string, metric string, score double, selection string, reason string",
     )
     return ranking.unionByName(row)
 

@@ -391,11 +391,6 @@ def friedman(spark, sf):
     return rounded(R.friedman(table(spark, sf, "lineitem"), FRIEDMAN).select("n", "statistic"), 4)
 
 
-@query("rank_battery")
-def rank_battery(spark, sf):
-    return R.rank_battery(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], ["c_mktsegment"])
-
-
 PVALUES = """p AS (SELECT event_type AS test, (count(*) % 97) / 1000.0::DOUBLE AS p_value FROM events GROUP BY 1)"""
 
 
@@ -471,6 +466,57 @@ def chi_square_p_value(spark, sf):
     return result.select(F.round("statistic", 6).alias("statistic"), F.round("p_value", 5).alias("p_value"))
 
 
+RANKED = ["c_acctbal", "c_custkey", "c_nationkey"]
+RANK_PAIRS = [(a, b) for i, a in enumerate(RANKED) for b in RANKED[i + 1 :]]
+
+
+def _spearman_sql(a: str, b: str) -> str:
+    density = "exp(lgamma((k + 1) / 2) - lgamma(k / 2) - (k + 1) / 2 * ln(1 + x * x / k)) / sqrt(k * pi())"
+    return f"""SELECT 'spearman' AS test, '{a}' AS column_a, '{b}' AS column_b, n, 'completed' AS status, round(r, 6) AS statistic,
+      round(1 - 2 * {integral_sql(density, 'score').replace('AS u,', 'AS u, k,')}, 5) AS p_value FROM (
+      SELECT n, r, (n - 2)::DOUBLE AS k, abs(r) * sqrt((n - 2) / (1 - r * r)) AS score FROM (
+        SELECT count(*) AS n, corr(ra, rb) AS r FROM (SELECT {RANK.format(a)} AS ra, {RANK.format(b)} AS rb FROM c)))"""
+
+
+def _kendall_sql(a: str, b: str) -> str:
+    ties = lambda c: f"""(SELECT sum(n * (n - 1) / 2) AS t, sum(n * (n - 1) * (n - 2)) AS t3, sum(n * (n - 1) * (2 * n + 5)) AS v
+        FROM (SELECT count(*)::DOUBLE AS n FROM c GROUP BY {c}))"""
+    return f"""SELECT 'kendall', '{a}', '{b}', n::BIGINT, 'completed', round(s / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6),
+      round(2 * {normal_tail_sql('z')}, 5) FROM (
+      SELECT *, abs(s) / sqrt((n * (n - 1) * (2 * n + 5) - vx - vy) / 18 + 2 * tx * ty / (n * (n - 1)) + t3x * t3y / (9 * n * (n - 1) * (n - 2))) AS z FROM (
+        SELECT (SELECT count(*)::DOUBLE FROM c) AS n, (SELECT sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b}))::DOUBLE FROM c p JOIN c q ON p.c_custkey < q.c_custkey) AS s,
+          x.t AS tx, x.t3 AS t3x, x.v AS vx, y.t AS ty, y.t3 AS t3y, y.v AS vy FROM {ties(a)} x, {ties(b)} y))"""
+
+
+def _labels_sql(c: str, x: str) -> str:
+    ranked = f"""(SELECT any_value(n)::DOUBLE AS n, sum(r) AS rs, count(*)::DOUBLE AS size, g, any_value(ties) AS ties FROM (
+        SELECT {c} AS g, {RANK.format(x)} AS r, count(*) OVER () AS n,
+          (SELECT sum(m * m * m - m) FROM (SELECT count(*)::DOUBLE AS m FROM c GROUP BY {x})) AS ties FROM c) GROUP BY g)"""
+    chi = integral_sql("exp(-x / 2 - k / 2 * ln(2) - lgamma(k / 2)) * pow(x, k / 2 - 1)", "h").replace("AS u,", "AS u, k,")
+    whitney = f"""SELECT 'mann_whitney_u', '{c}', '{x}', n::BIGINT, CASE WHEN k = 2 THEN 'completed' ELSE 'unavailable' END,
+      CASE WHEN k = 2 THEN u END, CASE WHEN k = 2 THEN round(least(1.0, 2 * {normal_tail_sql('z')}), 5) + 0.0 END FROM (
+      SELECT *, (greatest(u, a * b - u) - a * b / 2 - 0.5) / sqrt(a * b / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM (
+        SELECT *, ra - a * (a + 1) / 2 AS u FROM (SELECT count(*) AS k, any_value(n) AS n, any_value(ties) AS ties, arg_min(rs, g) AS ra, arg_min(size, g) AS a,
+          arg_max(size, g) AS b FROM {ranked})))"""
+    return whitney + f""" UNION ALL SELECT 'kruskal_wallis', '{c}', '{x}', n::BIGINT, 'completed', round(h, 6),
+      round(CASE WHEN k = 1 THEN 2 * {normal_tail_sql('sqrt(h)')} ELSE 1 - {chi} END, 5) + 0.0 FROM (
+      SELECT n, k, (12 / (n * (n + 1)) * spread - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM (
+        SELECT count(*) - 1.0::DOUBLE AS k, any_value(n) AS n, any_value(ties) AS ties, sum(rs * rs / size) AS spread FROM {ranked}))"""
+
+
+@query(
+    "rank_battery",
+    "WITH c AS (SELECT *, CASE WHEN c_nationkey < 12 THEN 'low' ELSE 'high' END AS side FROM customer) "
+    + " UNION ALL ".join([*[_spearman_sql(*p) for p in RANK_PAIRS], *[_kendall_sql(*p) for p in RANK_PAIRS],
+                          *[_labels_sql(c, x) for c in ("c_mktsegment", "side") for x in RANKED]]),
+)
+def rank_battery(spark, sf):
+    """All four rank tests over three numbers and two categories, p-values included."""
+    c = table(spark, sf, "customer").withColumn("side", F.when(F.col("c_nationkey") < 12, "low").otherwise("high"))
+    found = R.rank_battery(c, RANKED, ["c_mktsegment", "side"])
+    return found.withColumn("statistic", F.round("statistic", 6)).withColumn("p_value", F.round("p_value", 5))
+
+
 BATTERY_PAIRS = [("o_orderpriority", "o_custkey"), ("o_orderpriority", "o_totalprice"), ("o_orderstatus", "o_custkey"),
                  ("o_orderstatus", "o_totalprice")]
 
