@@ -17,7 +17,7 @@ import time
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import classification as K, regression as R
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tablegauge.operators import gram, metrics as M, models, screens as S
 from tablegauge.operators.splits import UNITS, hash_unit
@@ -155,6 +155,14 @@ def _mean(values: list[float]) -> tuple[float | None, float | None]:
     return mean, math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
 
 
+def _stop(spark: SparkSession, tag: str, seconds: float, done: threading.Event) -> None:
+    """Cancel the jobs of a fit once its time is over; a fit runs many, so until it has ended."""
+    wait = seconds
+    while not done.wait(wait):
+        spark.sparkContext.cancelJobsWithTag(tag)
+        wait = 0.2
+
+
 def _fitted(df: DataFrame, task: str, estimator: str, settings: list[dict], folds: int, rungs: tuple[float, ...], kept: float,
             seconds: float | None, parallelism: int) -> list[tuple]:
     spark, classify = df.sparkSession, task in (S.BINARY, S.MULTICLASS)
@@ -174,11 +182,10 @@ def _fitted(df: DataFrame, task: str, estimator: str, settings: list[dict], fold
 
     def fit_and_score(work: tuple[int, int, float]) -> tuple[int, float | None, str | None]:
         i, fold, share = work
-        started, tag = time.perf_counter(), f"search-{threading.get_ident()}-{i}-{fold}"
-        spark.addTag(tag)
-        watch = threading.Timer(seconds, spark.interruptTag, [tag]) if seconds else None
-        if watch:
-            watch.start()
+        started, tag, done = time.perf_counter(), f"search-{threading.get_ident()}-{i}-{fold}", threading.Event()
+        spark.sparkContext.addJobTag(tag)
+        if seconds:
+            threading.Thread(target=_stop, args=(spark, tag, seconds, done), daemon=True).start()
         try:
             part = rows.where(F.col("__unit") < share * UNITS)
             model = models.fit(made[i], part.where(F.col("fold") != fold), classify)
@@ -188,9 +195,8 @@ def _fitted(df: DataFrame, task: str, estimator: str, settings: list[dict], fold
             late = seconds and time.perf_counter() - started >= seconds
             return i, None, f"stopped after {seconds:g} seconds" if late else str(error).splitlines()[0][:300]
         finally:
-            if watch:
-                watch.cancel()
-            spark.removeTag(tag)
+            done.set()
+            spark.sparkContext.removeJobTag(tag)
             spent[i] += time.perf_counter() - started
 
     alive = list(made)

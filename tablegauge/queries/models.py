@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tablegauge.functions import columns as C
-from tablegauge.operators import explain as E, features as G, metrics as M, models as K, screens as S, splits as L
+from tablegauge.operators import explain as E, features as G, metrics as M, models as K, screens as S, splits as L, tuning as T
 from tablegauge.queries.features import UNIT
 from tablegauge.queries.registry import query, rounded, table
 from tablegauge.session import scratch_folder
@@ -121,9 +121,28 @@ def modeling_run(spark, sf):
 
 @query("random_search")
 def random_search(spark, sf):
-    train, test = _train_test(_label_rows(spark, sf))
-    runs, _ = K.train_candidates(train, test, S.BINARY, K.random_search(S.BINARY, train.count()))
-    return M.rank_runs(runs, S.BINARY)
+    """Thirty draws of forest settings, compared on growing parts of the rows; finalists are cross validated on all of them."""
+    return T.search(L.hash_fold(_label_rows(spark, sf).drop("split"), "row_id"), S.BINARY, "random_forest")
+
+
+@query(
+    "ridge_search",
+    """WITH t AS (SELECT o_custkey::DOUBLE AS x, o_totalprice::DOUBLE AS y, CAST("""
+    + UNIT.format("o_orderkey").replace("|42", "|43")
+    + """ % 5 AS INTEGER) AS fold FROM orders),
+    m AS (SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS d, covar_pop(y, x) AS c FROM t, (SELECT DISTINCT fold FROM t) f
+      WHERE t.fold <> f.fold GROUP BY f.fold),
+    a AS (SELECT i::INTEGER AS i, pow(10, i - 4)::DOUBLE AS alpha FROM range(0, 9) r(i)),
+    e AS (SELECT i, t.fold, sqrt(avg(pow(y - (my + n * c / d / (n + alpha) / d * (x - mx)), 2))) AS rmse FROM t JOIN m ON m.fold = t.fold, a GROUP BY i, t.fold)
+    SELECT 'ridge_' || i AS candidate, count(*) AS folds, round(avg(rmse), 3) AS mean, round(stddev_pop(rmse), 3) AS std, 'completed' AS status
+    FROM e GROUP BY i""",
+)
+def ridge_search(spark, sf):
+    """The whole space of a ridge, every setting on all rows of every fold."""
+    o = L.hash_fold(table(spark, sf, "orders"), "o_orderkey")
+    rows = VectorAssembler(inputCols=["o_custkey"], outputCol="features").transform(o).select(
+        F.col("o_orderkey").alias("row_id"), "features", F.col("o_totalprice").alias("label"), "fold")
+    return rounded(T.search(rows, S.REGRESSION, "ridge").select("candidate", "folds", "mean", "std", "status"), 3)
 
 
 def _vectors(spark, sf):
