@@ -358,23 +358,6 @@ LOG_SCHEMA = (
 )
 
 
-def _apply(df: DataFrame, op: dict, options: RunOptions) -> DataFrame:
-    column, kind = op["column"], op["operation_type"]
-    extra = options.overrides.get(op["operation_id"], {})
-    actions = {
-        IMPUTE_NUMBER: lambda: impute_median(df, column, options.fit),
-        IMPUTE_CATEGORY: lambda: impute_mode(df, column, options.fit),
-        DEDUPLICATE: lambda: drop_duplicate_rows(df),
-        TO_NUMBER: lambda: text_to_number(df, column),
-        TO_DATE: lambda: text_to_timestamp(df, column, extra.get("format")),
-        TRIM: lambda: trim_whitespace(df, column),
-        STANDARDISE: lambda: standardise_spellings(df, column, extra.get("explicit_mapping")),
-        LOG: lambda: log_transform(df, column),
-        DROP_COLUMN: lambda: drop_column(df, column, options.target),
-    }
-    return actions[kind]()
-
-
 def refusal(df: DataFrame, op: dict, options: RunOptions) -> str | None:
     """Why an operation may not run, or None."""
     if op["operation_type"] in ADVICE:
@@ -391,43 +374,7 @@ def refusal(df: DataFrame, op: dict, options: RunOptions) -> str | None:
     return None
 
 
-def _compare(before: DataFrame, after: DataFrame, op: dict) -> dict:
-    """Before/after facts of the touched column. Column operations are compared side by side in one pass over that
-    column alone; the other columns are untouched by construction (checked on the schema)."""
-    kind, column = op["operation_type"], op["column"]
-    if kind == DEDUPLICATE:
-        groups = P.duplicate_rows(before).first()
-        return dict(rows_before=groups["n_rows"], rows_after=groups["n_rows"] - groups["duplicate_rows"],
-                    changed=groups["duplicate_rows"])
-    if kind == DROP_COLUMN:
-        n = before.agg(F.count("*").alias("n"), F.count_if(C.quote(column).isNull()).alias("m")).first()
-        return dict(rows_before=n["n"], rows_after=n["n"], missing_before=n["m"])
-    facts = lambda d: d.agg(F.count("*").alias("n"), F.count_if(C.quote(column).isNull()).alias("m"))
-    b, a = facts(C.normalise_missing(before.select(C.quote(column)))).first(), facts(
-        C.normalise_missing(after.select(C.quote(column)))
-    ).first()
-    return dict(rows_before=b["n"], rows_after=a["n"], missing_before=b["m"], missing_after=a["m"])
-
-
-def _violations(before: DataFrame, after: DataFrame, op: dict, facts: dict, options: RunOptions) -> list[str]:
-    kind, column = op["operation_type"], op["column"]
-    out = []
-    if kind != DEDUPLICATE and facts["rows_before"] != facts["rows_after"]:
-        out.append(f"row count changed {facts['rows_before']} -> {facts['rows_after']}")
-    lost = set(before.columns) - set(after.columns)
-    if set(after.columns) - set(before.columns):
-        out.append("unexpected new columns")
-    if lost != ({column} if kind == DROP_COLUMN else set()):
-        out.append(f"unexpected lost columns {sorted(lost)}")
-    if options.target and options.target not in after.columns:
-        out.append("the target column disappeared")
-    missing_before, missing_after = facts.get("missing_before"), facts.get("missing_after")
-    if missing_after is not None:
-        if missing_after > missing_before:
-            out.append(f"{column!r} gained {missing_after - missing_before} missing values")
-        if kind in (IMPUTE_NUMBER, IMPUTE_CATEGORY) and missing_after >= missing_before:
-            out.append(f"imputation left {missing_after} missing values in {column!r}")
-    return out
+FIT = "__fit"
 
 
 def changed_values(before: DataFrame, column: str, new: Column) -> DataFrame:
@@ -435,38 +382,175 @@ def changed_values(before: DataFrame, column: str, new: Column) -> DataFrame:
     return before.agg(F.count_if(~C.quote(column).eqNullSafe(new)).alias("changed"))
 
 
+def spelling_maps(df: DataFrame, columns: list[str]) -> dict[str, dict[str, str]]:
+    """``spelling_map`` of many columns at once: at most 50 spellings a column."""
+    variants = Q.category_variants(df, columns).select("column", "normalised", F.explode("variants").alias("value"))
+    counted = P.value_counts(df, columns).join(F.broadcast(variants), ["column", "value"])
+    best = counted.groupBy("column", "normalised").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("canonical"))
+    out: dict[str, dict[str, str]] = {c: {} for c in columns}
+    for r in variants.join(best, ["column", "normalised"]).collect():
+        out[r["column"]][r["value"]] = r["canonical"]
+    return out
+
+
+def waves(operations: list[tuple[int, dict]]) -> list[list[tuple[int, dict]]]:
+    """Groups that can run together. Operations on different columns do not see each other, so the n-th operation of every
+    column is in the n-th group; row removal sees all columns and is a group of its own between them."""
+    out: list[list[tuple[int, dict]]] = []
+    first, depth = 0, {}
+    for step, op in operations:
+        if op["operation_type"] == DEDUPLICATE:
+            out.append([(step, op)])
+            first, depth = len(out), {}
+            continue
+        key = op["column"] if op["column"] is not None else op["operation_id"]
+        at = first + depth.get(key, 0)
+        depth[key] = depth.get(key, 0) + 1
+        if at == len(out):
+            out.append([])
+        out[at].append((step, op))
+    return out
+
+
+def _fitted(df: DataFrame, todo: list[tuple[int, dict]], options: RunOptions) -> dict[int, Column | str | None]:
+    """By step: the new column, None where the column is dropped, or as text why the operation cannot run. One job per kind of
+    fit, whatever the number of columns."""
+    of = lambda *kinds: [(step, op["column"]) for step, op in todo if op["operation_type"] in kinds]
+    scope = df.where(FIT) if FIT in df.columns else df
+    out: dict[int, Column | str | None] = {}
+    numbers, modes = of(IMPUTE_NUMBER), of(IMPUTE_CATEGORY)
+    medians = ordered.quantile_values(scope, {c: C.as_double(df, c) for _, c in numbers}, [0.5]) if numbers else {}
+    for step, c in numbers:
+        value, kind, number = medians[c].get(0.5), df.schema[c].dataType, C.as_double(df, c)
+        if value is None:
+            out[step] = f"{c!r} has no value to take a median of"
+        elif isinstance(kind, T.IntegralType) and not float(value).is_integer():
+            out[step] = F.coalesce(number, F.lit(value))
+        else:
+            out[step] = F.coalesce(number, F.lit(value)).cast(kind)
+    usual = {r["column"]: r["value"] for r in P.top_values(scope, [c for _, c in modes], 1).collect()} if modes else {}
+    for step, c in modes:
+        out[step] = f"{c!r} has no value to take a mode of" if usual.get(c) is None else F.coalesce(C.quote(c), F.lit(usual[c]).cast(df.schema[c].dataType))
+    moments: dict[int, Column] = {}
+    for step, op in todo:
+        if op["operation_type"] == TO_DATE:
+            strftime = options.overrides.get(op["operation_id"], {}).get("format")
+            try:
+                if not strftime:
+                    raise CleaningRefused(f"{op['column']!r}: no date format given, and formats are never guessed")
+                moments[step] = F.try_to_timestamp(F.trim(C.quote(op["column"])), F.lit(spark_pattern(strftime)))
+            except CleaningRefused as stopped:
+                out[step] = str(stopped)
+    checks = {}
+    for step, c in of(TO_NUMBER, TO_DATE, LOG):
+        if step in out:
+            continue
+        value, number = C.quote(c), text.parse_number(C.quote(c)) if (step, c) in of(TO_NUMBER) else None
+        if number is not None:
+            checks[step] = F.struct(
+                F.count_if(value.isNotNull() & number.isNull()).alias("bad"), F.min(F.when(number.isNull(), value)).alias("example"),
+                (F.count(text.parse_whole(value)) == F.count(value)).alias("whole"))
+        elif step in moments:
+            checks[step] = F.struct(F.count_if(value.isNotNull() & moments[step].isNull()).alias("bad"))
+        else:
+            checks[step] = F.struct(F.count_if(C.as_double(df, c) <= 0).alias("bad"))
+    found = df.agg(*[check.alias(f"s{step}") for step, check in checks.items()]).first() if checks else {}
+    for step, op in todo:
+        kind, c = op["operation_type"], op["column"]
+        report = found[f"s{step}"] if step in checks else None
+        if kind == TO_NUMBER:
+            out[step] = (f"{c!r}: {report['bad']} values are not numbers, e.g. {report['example']!r}" if report["bad"] else
+                         F.trim(C.quote(c)).cast("bigint") if report["whole"] else text.parse_number(C.quote(c)))
+        elif step in moments:
+            strftime = options.overrides[op["operation_id"]]["format"]
+            out[step] = f"{c!r}: {report['bad']} values do not fit the format {strftime!r}" if report["bad"] else moments[step]
+        elif kind == LOG:
+            out[step] = f"{c!r}: {report['bad']} values are zero or negative, the logarithm is not defined" if report["bad"] else F.ln(C.as_double(df, c))
+        elif kind == TRIM:
+            out[step] = text.collapse(C.quote(c))
+        elif kind == DROP_COLUMN:
+            out[step] = f"{c!r} is the target and is never dropped" if c == options.target else None
+    spellings = [(step, op) for step, op in todo if op["operation_type"] == STANDARDISE]
+    given = {step: options.overrides.get(op["operation_id"], {}).get("explicit_mapping") for step, op in spellings}
+    unknown = [op["column"] for step, op in spellings if given[step] is None]
+    maps = spelling_maps(df, unknown) if unknown else {}
+    for step, op in spellings:
+        mapping, value = given[step] if given[step] is not None else maps[op["column"]], C.quote(op["column"])
+        pairs = F.create_map(*[F.lit(x) for pair in sorted(mapping.items()) for x in pair]) if mapping else None
+        out[step] = F.coalesce(F.try_element_at(pairs, value), value) if mapping else value
+    return out
+
+
+def _run_wave(df: DataFrame, wave: list[tuple[int, dict]], options: RunOptions) -> tuple[DataFrame, list[dict]]:
+    """Run operations on different columns: fits, then one pass that compares all old and new columns, then the change."""
+    log, todo = [], []
+    entry = lambda step, op: dict(step=step, operation_id=op["operation_id"], operation_type=op["operation_type"], column=op["column"])
+    for step, op in wave:
+        if reason := refusal(df, op, options):
+            log.append(entry(step, op) | dict(status="skipped", reason=reason))
+        else:
+            todo.append((step, op))
+    made = _fitted(df, todo, options) if todo else {}
+    ready = [(step, op) for step, op in todo if not isinstance(made[step], str)]
+    log += [entry(step, op) | dict(status="failed", reason=made[step]) for step, op in todo if isinstance(made[step], str)]
+    if not ready:
+        return df, log
+    gaps = lambda c: F.count_if(c.isNull())
+    row = df.agg(F.count("*").alias("n"), *[
+        F.struct(gaps(C.quote(op["column"])).alias("b"), *([] if made[step] is None else [gaps(made[step]).alias("a")])).alias(f"s{step}")
+        for step, op in ready]).first()
+    new, gone = {}, []
+    for step, op in ready:
+        column, kind = op["column"], op["operation_type"]
+        before, after = row[f"s{step}"]["b"], None if made[step] is None else row[f"s{step}"]["a"]
+        facts = dict(rows_before=row["n"], rows_after=row["n"], missing_before=before, missing_after=after)
+        problems = []
+        if after is not None and after > before:
+            problems.append(f"{column!r} gained {after - before} missing values")
+        if after is not None and kind in (IMPUTE_NUMBER, IMPUTE_CATEGORY) and after >= before:
+            problems.append(f"imputation left {after} missing values in {column!r}")
+        if problems:
+            log.append(entry(step, op) | facts | dict(status="rejected", reason="; ".join(problems)))
+            continue
+        log.append(entry(step, op) | facts | dict(status="executed", reason=None))
+        if made[step] is None:
+            gone.append(column)
+        else:
+            new[column] = made[step]
+    return (df.withColumns(new) if new else df).drop(*map(C.quote, gone)), log
+
+
 def run_plan(df: DataFrame, operations: list[dict], options: RunOptions) -> tuple[DataFrame, DataFrame]:
     """Run the allowed operations in order. Returns the cleaned table and the operation log.
 
-    Every operation sees the output of the previous one; a refused or failing operation leaves the table as it was.
-    Row removal is a full shuffle, so its result is checkpointed (when the session has a checkpoint folder) before
-    later single-column passes read it again.
+    Every operation sees the output of those before it on its column; a refused or failing operation leaves the table as it
+    was. Operations on different columns run together (see ``waves``), so the number of passes follows from the longest chain on
+    one column, not from the number of columns. The training predicate is read on the rows as they come. Row removal is a
+    full shuffle, so its result is written before later passes read it again.
     """
     df = C.normalise_missing(df)
+    if options.fit is not None:
+        df = df.withColumn(FIT, options.fit)
     log: list[dict] = []
-    for step, op in enumerate(operations, start=1):
+    for wave in waves(list(enumerate(operations, start=1))):
+        step, op = wave[0]
+        if op["operation_type"] != DEDUPLICATE:
+            df, entries = _run_wave(df, wave, options)
+            log += entries
+            continue
         entry = dict(step=step, operation_id=op["operation_id"], operation_type=op["operation_type"], column=op["column"])
-        reason = refusal(df, op, options)
-        if reason:
+        if reason := refusal(df, op, options):
             log.append(entry | dict(status="skipped", reason=reason))
             continue
-        try:
-            after = _apply(df, op, options)
-        except CleaningRefused as stopped:
-            log.append(entry | dict(status="failed", reason=str(stopped)))
-            continue
-        facts = _compare(df, after, op)
-        problems = _violations(df, after, op, facts, options)
-        if problems:
-            log.append(entry | facts | dict(status="rejected", reason="; ".join(problems)))
-            continue
-        log.append(entry | facts | dict(status="executed", reason=None))
-        df = after
-        if op["operation_type"] == DEDUPLICATE and options.cut_lineage:
+        groups = P.duplicate_rows(df).first()
+        log.append(entry | dict(rows_before=groups["n_rows"], rows_after=groups["n_rows"] - groups["duplicate_rows"],
+                                changed=groups["duplicate_rows"], status="executed", reason=None))
+        df = drop_duplicate_rows(df)
+        if options.cut_lineage:
             df = staged(df, "deduplicated")
     names = [part.split()[0] for part in LOG_SCHEMA.split(", ")]
-    rows = [tuple(e.get(n) for n in names) for e in log]
-    return df, df.sparkSession.createDataFrame(rows, LOG_SCHEMA)
+    rows = [tuple(e.get(n) for n in names) for e in sorted(log, key=lambda e: e["step"])]
+    return df.drop(FIT), df.sparkSession.createDataFrame(rows, LOG_SCHEMA)
 
 
 def operation_rows(operations: DataFrame) -> list[dict]:

@@ -7,6 +7,7 @@ cyclic shift in a hashed row order, so a permutation is an equi-join on row posi
 from __future__ import annotations
 
 import random
+from hashlib import md5
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -60,18 +61,35 @@ def _scores(rows: DataFrame, keys: list[str], scoring: str) -> DataFrame:
     return rows.groupBy(*keys).agg(value.alias("score"))
 
 
+def _shifts(n: int, repeats: int, width: int, seed: int) -> list[int]:
+    """How far repeat r moves feature f in the hashed order of ``n`` rows, at r * width + f: a permutation each, from a digest."""
+    if n < 2:
+        return [0] * (repeats * width)
+    return [int(md5(f"{r}|{f}|{seed}".encode()).hexdigest()[:8], 16) % (n - 1) + 1 for r in range(repeats) for f in range(width)]
+
+
+def swapped_rows(df: DataFrame, key: str, width: int, repeats: int, seed: int = SEED) -> DataFrame:
+    """(repeat, feature, label, features): every row once per repeat and feature, with that feature's value from another row.
+
+    A value travels alone to each row that takes it: features x repeats numbers are shuffled per row. Whole vectors are put
+    together only behind that shuffle, in the task that scores them."""
+    placed = staged(hashed_positions(df.select(key, "label", vector_to_array("features").alias("v")), key, seed), "positions")
+    n = placed.count()
+    shifts = F.array(*[F.lit(s).cast("long") for s in _shifts(n, repeats, width, seed)])
+    values = placed.select("pos", F.posexplode("v").alias("feature", "value")).where(F.col("feature") < width)
+    moved = values.select("pos", "feature", "value", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).select(
+        F.pmod(F.col("pos") - F.get(shifts, F.col("repeat") * width + F.col("feature")), F.lit(max(n, 1))).alias("pos"),
+        F.struct("repeat", "feature", "value").alias("swap"))
+    given = moved.groupBy("pos").agg(F.collect_list("swap").alias("swaps"))  # features x repeats of them
+    rows = placed.select("pos", "label", "v").join(given, "pos").select("label", "v", F.explode("swaps").alias("swap"))
+    own = F.transform("v", lambda x, i: F.when(i == F.col("swap.feature"), F.col("swap.value")).otherwise(x))
+    return rows.select("swap.repeat", "swap.feature", "label", array_to_vector(own).alias("features"))
+
+
 def permutation_importance(model, df: DataFrame, features: list[str], key: str, repeats: int = REPEATS,
                            scoring: str = "r2", seed: int = SEED) -> DataFrame:
-    """(rank, feature, importance, std): mean drop of the score when one feature's values change rows."""
-    expanded = with_donors(df, key, repeats, seed)
-    swapped = expanded.select(
-        "label", "repeat", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("feature"), "v", "donor"
-    ).select(
-        "label", "repeat", "feature",
-        array_to_vector(
-            F.transform("v", lambda x, i: F.when(i == F.col("feature"), F.get("donor", i)).otherwise(x))
-        ).alias("features"),
-    )
+    """(rank, feature, importance, std): mean drop of the score when one feature's values change rows. ``key`` is unique."""
+    swapped = swapped_rows(df, key, len(features), repeats, seed)
     base = _scores(model.transform(df), [], scoring).select(F.col("score").alias("base"))
     drops = C.attach_row(_scores(model.transform(swapped), ["feature", "repeat"], scoring), base)
     gap = F.col("base") - F.col("score")

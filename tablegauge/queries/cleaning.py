@@ -195,15 +195,19 @@ def cleaning_plan_fingerprint(spark, sf):
 
 @query(
     "quality_before_after_score",
-    f"""WITH {DIRTY_EVENTS} SELECT 'missing_cells' AS measure,
-      (count(*) - count(value))::DOUBLE AS before, 0.0::DOUBLE AS after, 'improved' AS change FROM dirty
+    f"""WITH {DIRTY_EVENTS}, g AS (SELECT count(*) AS c FROM dirty GROUP BY event_id, ts, user_id, event_type, value, amount_text),
+    p AS (SELECT (SELECT round(100.0 * (count(*) - count(value)) / count(*)::DOUBLE, 4) FROM dirty) AS m,
+      (SELECT round(100.0 * sum(c - 1)::DOUBLE / sum(c)::DOUBLE, 4) FROM g) AS d),
+    s AS (SELECT 100.0 - CASE WHEN m = 0 THEN 0 WHEN m <= 5 THEN 2 WHEN m <= 20 THEN 6 WHEN m <= 50 THEN 15 ELSE 35 END
+      - CASE WHEN d = 0 THEN 0 WHEN d <= 1 THEN 2 WHEN d <= 10 THEN 6 ELSE 15 END AS score FROM p)
+    SELECT 'missing_cells' AS measure, (count(*) - count(value))::DOUBLE AS before, 0.0::DOUBLE AS after, 'improved' AS change FROM dirty
     UNION ALL SELECT 'rows', count(*)::DOUBLE, (SELECT count(*) FROM events)::DOUBLE, 'improved' FROM dirty
-    UNION ALL SELECT 'columns', 6.0, 6.0, 'lost'""",
+    UNION ALL SELECT 'columns', 6.0, 6.0, 'lost'
+    UNION ALL SELECT 'score', score::DOUBLE, 100.0, CASE WHEN score = 100 THEN 'unchanged' ELSE 'improved' END FROM s""",
 )
 def quality_before_after_score(spark, sf):
     before, after = dirty_events(spark, sf), table(spark, sf, "events")
     checks = ["missing_values", "duplicate_rows"]
-    compared = Q.compare_quality(
+    return Q.compare_quality(
         before, after, Q.run_checks(before, checks=checks), Q.run_checks(after, checks=checks), target="value"
     )
-    return compared.where("measure <> 'score'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablegauge.operators import charts as D, explore as X, profile as P, screens as S, versions as V
+from tablegauge.queries.versions import write_lines
 from tablegauge.queries.registry import query, rounded, table
 from tablegauge.session import scratch_folder
 from tablegauge.sources import readers
@@ -57,16 +58,14 @@ def csv_code_column(spark, sf):
 
 @query(
     "csv_rejects_quoted",
-    """SELECT 'too_few_fields' AS reason, count(*) AS rejected FROM nation WHERE n_nationkey % 5 = 1 HAVING count(*) > 0
-    UNION ALL SELECT 'too_many_fields', count(*) FROM nation WHERE n_nationkey % 5 = 2 HAVING count(*) > 0""",
+    """SELECT 'too_few_fields' AS reason, count(*) AS rejected FROM customer WHERE c_custkey % 5 = 1 HAVING count(*) > 0
+    UNION ALL SELECT 'too_many_fields', count(*) FROM customer WHERE c_custkey % 5 = 2 HAVING count(*) > 0""",
 )
 def csv_rejects_quoted(spark, sf):
     path = scratch_folder(spark, "quoted") + ".csv"
-    lines = table(spark, sf, "nation").select(F.expr(
-        """CASE n_nationkey % 5 WHEN 1 THEN '"x,y,""z",' || n_nationkey WHEN 2 THEN '"a,b",1,2,' || n_nationkey
-        ELSE '"p,q",1,' || n_nationkey END""").alias("value"))
-    header = spark.range(1).select(F.lit("name,one,key").alias("value"))
-    header.unionAll(lines).coalesce(1).write.text(path)
+    write_lines(table(spark, sf, "customer").repartition(4, "c_nationkey").select(F.expr(
+        """CASE c_custkey % 5 WHEN 1 THEN '"x,y,""z",' || c_custkey WHEN 2 THEN '"a,b",1,2,' || c_custkey
+        ELSE '"p,q",1,' || c_custkey END""").alias("name,one,key")), path)
     return readers.reject_report(spark, path).select("reason", "rejected")
 
 

@@ -257,13 +257,45 @@ def refit_and_predict(spark, sf):
     return K.predictions(model, rows, binary=True).select("row_id", "prediction", F.round("probability_1", 6).alias("p1"))
 
 
-@query("permutation_importance")
+IMPORTANCE = ["o_custkey", "month", "day"]
+
+
+def _solve3(i: int) -> str:
+    """Weight i of least squares on three features by Cramer's rule, from moments c11 .. c33 and c1y .. c3y."""
+    def det(m: list[list[str]]) -> str:
+        (a, b, c), (d, e, f), (g, h, k) = m
+        return f"({a} * ({e} * {k} - {f} * {h}) - {b} * ({d} * {k} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    whole = [[f"c{min(r, c)}{max(r, c)}" for c in (1, 2, 3)] for r in (1, 2, 3)]
+    swapped = [[f"c{r}y" if c == i else whole[r - 1][c - 1] for c in (1, 2, 3)] for r in (1, 2, 3)]
+    return f"{det(swapped)} / {det(whole)}"
+
+
+IMPORTANCE_SQL = f"""WITH s AS (SELECT o_orderkey AS row_id, o_custkey::DOUBLE AS x1, month(o_orderdate)::DOUBLE AS x2, day(o_orderdate)::DOUBLE AS x3,
+      o_totalprice::DOUBLE AS y FROM orders),
+    t AS (SELECT *, {UNIT.format('row_id')} AS u FROM s),
+    m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, {', '.join(f'covar_pop(x{a}, x{b}) AS c{a}{b}' for a in (1, 2, 3) for b in (1, 2, 3) if a <= b)},
+      {', '.join(f'covar_pop(x{a}, y) AS c{a}y' for a in (1, 2, 3))} FROM t WHERE u < 8000),
+    w AS (SELECT m1, m2, m3, my, {', '.join(f'{_solve3(i)} AS w{i}' for i in (1, 2, 3))} FROM m),
+    h AS (SELECT x1, x2, x3, y, y - (my + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3)) AS gap, w1, w2, w3,
+      row_number() OVER (ORDER BY u, row_id) - 1 AS pos, count(*) OVER () AS n, var_pop(y) OVER () AS spread FROM t, w WHERE u >= 8000),
+    v AS ({' UNION ALL '.join(f"SELECT pos, {i - 1} AS f, x{i} AS x FROM h" for i in (1, 2, 3))}),
+    k AS (SELECT r, f, CAST('0x' || substr(md5(r || '|' || f || '|42'), 1, 8) AS BIGINT) AS digest FROM range(0, 10) a(r), range(0, 3) b(f)),
+    e AS (SELECT r, k.f, any_value(spread) AS spread, avg(pow(gap, 2)) AS whole,
+      avg(pow(gap - CASE k.f WHEN 0 THEN w1 * (v.x - x1) WHEN 1 THEN w2 * (v.x - x2) ELSE w3 * (v.x - x3) END, 2)) AS mixed
+      FROM h, k JOIN v ON v.f = k.f AND v.pos = (h.pos + digest % (n - 1) + 1) % n GROUP BY r, k.f),
+    i AS (SELECT f, round(avg((mixed - whole) / spread), 6) AS importance, round(stddev_pop((mixed - whole) / spread), 6) AS std FROM e GROUP BY f)
+    SELECT CAST(row_number() OVER (ORDER BY importance DESC, f) AS INTEGER) AS "rank", list_value('o_custkey', 'month', 'day')[f + 1] AS feature, importance, std FROM i"""
+
+
+@query("permutation_importance", IMPORTANCE_SQL)
 def permutation_importance(spark, sf):
-    rows = _price_rows(spark, sf, ["l_quantity", "l_discount", "l_tax"])
-    model = LinearRegression().fit(rows.where("split = 'train'"))
-    return E.permutation_importance(
-        model, rows.where("split = 'test'").drop("split"), ["l_quantity", "l_discount", "l_tax"], "row_id"
-    )
+    o = table(spark, sf, "orders").withColumns({"month": F.month("o_orderdate"), "day": F.dayofmonth("o_orderdate")})
+    rows = VectorAssembler(inputCols=IMPORTANCE, outputCol="features").transform(
+        L.random_holdout(o, "o_orderkey", shares=(0.8, 0.0, 0.2))).select(
+        F.col("o_orderkey").alias("row_id"), "features", F.col("o_totalprice").alias("label"), "split")
+    model = LinearRegression(solver="normal").fit(rows.where("split = 'train'"))
+    return E.permutation_importance(model, rows.where("split = 'test'").drop("split"), IMPORTANCE, "row_id")
 
 
 @query(

@@ -35,23 +35,26 @@ def csv_missing_tokens(spark, sf):
 
 @query(
     "csv_rejects",
-    """SELECT 'too_many_fields' AS reason, count(*) AS rejected FROM nation WHERE n_nationkey % 5 = 0 HAVING count(*) > 0
-    UNION ALL SELECT 'too_few_fields', count(*) FROM nation WHERE n_nationkey % 5 = 1 HAVING count(*) > 0""",
+    """SELECT 'too_many_fields' AS reason, count(*) AS rejected FROM orders WHERE o_orderkey % 5 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'too_few_fields', count(*) FROM orders WHERE o_orderkey % 5 = 1 HAVING count(*) > 0""",
 )
 def csv_rejects(spark, sf):
-    path = scratch_folder(spark, "nation") + ".csv"
-    lines = table(spark, sf, "nation").select(
+    path = scratch_folder(spark, "orders") + ".csv"
+    lines = table(spark, sf, "orders").repartition(6, "o_custkey").select(
         F.expr(
-            """CASE n_nationkey % 5 WHEN 0 THEN concat_ws(',', n_nationkey, n_name, n_regionkey, 'extra')
-            WHEN 1 THEN CAST(n_nationkey AS STRING) ELSE concat_ws(',', n_nationkey, n_name, n_regionkey) END"""
-        ).alias("value")
+            """CASE o_orderkey % 5 WHEN 0 THEN concat_ws(',', o_orderkey, o_custkey, o_orderstatus, 'extra')
+            WHEN 1 THEN CAST(o_orderkey AS STRING) ELSE concat_ws(',', o_orderkey, o_custkey, o_orderstatus) END"""
+        ).alias("o_orderkey,o_custkey,o_orderstatus")
     )
-    # every written file needs the header line, so this small table goes to one file
-    header = spark.range(1).select(F.lit("n_nationkey,n_name,n_regionkey").alias("value"))
-    header.unionAll(lines).coalesce(1).write.text(path)
+    write_lines(lines, path)
     return readers.reject_report(spark, path).select("reason", "rejected")
 
 
+def write_lines(lines, path):
+    """Whole lines under one column that is named like the header: every file gets the header line."""
+    lines.write.options(header=True, sep="\x01", quote="\x00", escapeQuotes=False, emptyValue="").csv(path)
+
+
 @query("format_dispatch", "SELECT 'orc' AS fmt, count(*) AS n, round(sum(s_acctbal), 4) AS total FROM supplier "
        "UNION ALL SELECT 'json', count(*), round(sum(s_acctbal), 4) FROM supplier "
        "UNION ALL SELECT 'parquet', count(*), round(sum(s_acctbal), 4) FROM supplier")
@@ -78,13 +81,16 @@ def file_manifest(spark, sf):
 @query(
     "raw_landing",
     """SELECT octet_length(encode(t)) AS size_bytes, sha256(t) AS sha256
-    FROM (SELECT string_agg(r_regionkey || ',' || r_name || chr(10), '' ORDER BY r_regionkey) AS t FROM region)""",
+    FROM (SELECT string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderpriority || chr(10), '' ORDER BY o_orderkey) AS t FROM orders
+      GROUP BY o_orderkey % 7)""",
 )
 def raw_landing(spark, sf):
-    """The landed bytes of one file, whose content SQL can put together."""
-    source = scratch_folder(spark, "region") + ".csv"
-    table(spark, sf, "region").coalesce(1).sortWithinPartitions("r_regionkey").write.csv(source)
-    return landing.land_raw(spark, source + "/part-*", scratch_folder(spark, "landed")).select("size_bytes", "sha256")
+    """The landed bytes of many files, whose content SQL can put together."""
+    source = scratch_folder(spark, "orders") + ".csv"
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    for part in range(7):
+        o.where(F.col("o_orderkey") % 7 == part).repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey").write.mode("append").csv(source)
+    return landing.land_raw(spark, source, scratch_folder(spark, "landed")).select("size_bytes", "sha256")
 
 
 @query(
@@ -348,11 +354,13 @@ def log_consistency(spark, sf):
     """WITH a AS (SELECT * FROM customer WHERE c_custkey = 3), b AS (SELECT * FROM customer WHERE c_custkey = 4)
     SELECT 'version_number' AS field, '3' AS before, '4' AS after, TRUE AS changed FROM a, b
     UNION ALL SELECT 'size_bytes', '300', '400', TRUE FROM a, b UNION ALL SELECT 'kind', 'processed', 'processed', FALSE FROM a, b
-    UNION ALL SELECT 'path', a.c_name, b.c_name, a.c_name <> b.c_name FROM a, b""",
+    UNION ALL SELECT 'path', a.c_name, b.c_name, a.c_name <> b.c_name FROM a, b
+    UNION ALL SELECT 'dataset_id', 'customer', 'customer', FALSE FROM a, b
+    UNION ALL SELECT 'sha256', sha256(a.c_name), sha256(b.c_name), a.c_name <> b.c_name FROM a, b
+    UNION ALL SELECT 'row_count', '3', '4', TRUE FROM a, b UNION ALL SELECT 'column_count', '5', '5', FALSE FROM a, b""",
 )
 def version_metadata_diff(spark, sf):
-    out = V.version_metadata_diff(_versions(spark, sf), "v3", "v4")
-    return out.where(F.col("field").isin("version_number", "size_bytes", "kind", "path"))
+    return V.version_metadata_diff(_versions(spark, sf), "v3", "v4")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 CHUNK = 4 << 20
+#: Bytes that a task copies or digests, unless one file has more.
+TASK_BYTES = 1 << 30
+#: Folder of the manifest, mark of a landing that has begun, and what files that are still being written are called.
+MANIFEST, STARTED, ASIDE = "_manifest", "_started", "_aside-"
 
 
 def listed_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -37,7 +42,9 @@ def _walk(files: DataFrame, destination: str | None) -> DataFrame:
                 place, out = path, None
                 if destination:
                     place = f"{destination.rstrip('/')}/{name.rsplit('/', 1)[-1]}"
-                    target, copy = _open(place)
+                    target, final = _open(place)
+                    # written aside and renamed when it is whole: another attempt at the task never meets half a file
+                    copy = f"{final.rpartition('/')[0]}/{ASIDE}{uuid.uuid4().hex}"
                     out = target.open_output_stream(copy, compression=None)
                 with system.open_input_stream(name, compression=None) as source:
                     while chunk := source.read(CHUNK):
@@ -46,13 +53,16 @@ def _walk(files: DataFrame, destination: str | None) -> DataFrame:
                             out.write(chunk)
                 if out is not None:
                     out.close()
+                    target.move(copy, final)
                 digests.append(digest.hexdigest())
                 places.append(place)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(places, pa.string()), batch.column("size_bytes"), pa.array(digests, pa.string())], names=["path", "size_bytes", "sha256"])
 
-    # one large file is one task; many files are dealt evenly
-    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, "path").mapInArrow(
+    # a file is read by one task; tasks follow from the bytes, so that their share does not grow with the folder
+    size = files.agg(F.sum("size_bytes")).first()[0] or 0
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return files.repartition(tasks, "path").mapInArrow(
         run, "path string, size_bytes bigint, sha256 string")
 
 
@@ -62,21 +72,33 @@ def file_manifest(spark: SparkSession, path: str, pattern: str | None = None) ->
 
 
 def land_raw(spark: SparkSession, source: str, destination: str) -> DataFrame:
-    """Immutable byte-for-byte copy of the files under ``source`` (refuses an existing destination) and its manifest.
+    """Immutable byte-for-byte copy of the files under ``source`` and its manifest (path, size_bytes, sha256).
 
     Files keep their names; two source files of one name are refused. The digest is taken from the bytes that were copied.
-    """
-    target, folder = _open(destination)
-    if target.get_file_info(folder).type != fs.FileType.NotFound:
+    The manifest is written last, under ``_manifest``: a destination that has one is refused, one without it was left by a
+    run that broke off and is landed again, file by file."""
+    target, folder = _open(destination.rstrip("/"))
+    there = {i.base_name for i in target.get_file_info(fs.FileSelector(folder, allow_not_found=True))}
+    done = target.get_file_info(f"{folder}/{MANIFEST}/_SUCCESS").type != fs.FileType.NotFound
+    if done or (there and STARTED not in there):
         raise FileExistsError(f"{destination!r} exists; landed data is not changed")
     files = listed_files(spark, source)
     name = F.element_at(F.split("path", "/"), -1)
     if not files.groupBy(name.alias("name")).count().where("count > 1").isEmpty():
         raise ValueError(f"files of one name under {source!r}")
     target.create_dir(folder, recursive=True)
-    from tablegauge.session import staged
-
-    return staged(_walk(files, destination), "landed")
+    with target.open_output_stream(f"{folder}/{STARTED}") as marker:
+        marker.write(b"")
+    _walk(files, destination).write.mode("overwrite").parquet(f"{destination.rstrip('/')}/{MANIFEST}")
+    for found in target.get_file_info(fs.FileSelector(folder)):
+        if found.base_name.startswith(ASIDE):  # of attempts that broke off
+            target.delete_file(found.path)
+    return read_manifest(spark, destination)
+
+
+def read_manifest(spark: SparkSession, destination: str) -> DataFrame:
+    """(path, size_bytes, sha256) of landed files."""
+    return spark.read.schema("path string, size_bytes bigint, sha256 string").parquet(f"{destination.rstrip('/')}/{MANIFEST}")
 
 
 def save_processed(df: DataFrame, root: str, dataset_id: str, execution_id: str) -> dict:

@@ -234,3 +234,57 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None, applicationId="a")
     with pytest.raises(RuntimeError):
         scratch_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context), "x")
+
+
+def test_a_broken_landing_is_repeated(spark, folder, monkeypatch):
+    import hashlib
+    import os
+
+    from tablegauge.sources import landing
+
+    os.makedirs(f"{folder}/in")
+    contents = {f"f{i}.bin": os.urandom(1000 + i) for i in range(12)}
+    for name, raw in contents.items():
+        with open(f"{folder}/in/{name}", "wb") as f:
+            f.write(raw)
+    walk = landing._walk
+
+    def broken(files, destination):
+        # some files land, then the run dies before its manifest
+        walk(files.where("path LIKE '%f1%'"), destination).collect()
+        with open(f"{folder}/out/{landing.ASIDE}half", "wb") as f:
+            f.write(b"half a file")
+        raise OSError("lost")
+
+    monkeypatch.setattr(landing, "_walk", broken)
+    with pytest.raises(OSError, match="lost"):
+        landing.land_raw(spark, f"{folder}/in", f"{folder}/out")
+    assert not os.path.exists(f"{folder}/out/{landing.MANIFEST}/_SUCCESS")
+    monkeypatch.setattr(landing, "_walk", walk)
+    rows = landing.land_raw(spark, f"{folder}/in", f"{folder}/out").collect()
+    assert {r.path.split("/")[-1]: r.sha256 for r in rows} == {n: hashlib.sha256(raw).hexdigest() for n, raw in contents.items()}
+    assert sorted(n for n in os.listdir(f"{folder}/out") if not n.startswith(("_started", "_manifest", "."))) == sorted(contents)
+    with pytest.raises(FileExistsError):
+        landing.land_raw(spark, f"{folder}/in", f"{folder}/out")
+    os.makedirs(f"{folder}/other")
+    with open(f"{folder}/other/theirs", "w") as f:
+        f.write("x")
+    with pytest.raises(FileExistsError):
+        landing.land_raw(spark, f"{folder}/in", f"{folder}/other")
+    assert landing.read_manifest(spark, f"{folder}/out").count() == 12
+
+
+def test_importance_moves_single_values(spark, frame):
+    rows = [(i, float(i), float(i * i % 17), 0.0, float(i) * 2) for i in range(50)]
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(
+        frame("row_id long, a double, b double, c double, label double", rows)).select("row_id", "features", "label")
+    swapped = E.swapped_rows(df, "row_id", 3, 4).collect()
+    assert len(swapped) == 50 * 3 * 4
+    of = {r[4]: r[1:4] for r in rows}
+    for r in swapped:
+        own, now = of[r.label], r.features.toArray().tolist()
+        assert [x for i, x in enumerate(now) if i != r.feature] == [x for i, x in enumerate(own) if i != r.feature]
+    for key in {(r.repeat, r.feature) for r in swapped}:  # a permutation each
+        values = sorted(r.features.toArray()[r.feature] for r in swapped if (r.repeat, r.feature) == key)
+        assert values == sorted(row[1 + key[1]] for row in rows)
+    assert E.swapped_rows(df.limit(1), "row_id", 3, 2).count() == 6 and E.swapped_rows(df.limit(0), "row_id", 3, 2).count() == 0

@@ -194,3 +194,39 @@ def test_metrics(spark, frame):
         ("c", "linear", "completed", {"rmse": float("nan")}), ("d", "linear", "failed", None)])
     ranked = by(M.rank_runs(runs, S.REGRESSION), "candidate")
     assert [ranked[c]["rank"] for c in "abcd"] == [1, 2, None, None]
+
+
+def test_cleaning_passes_do_not_grow_with_columns(spark, frame):
+    def jobs(width):
+        ddl = ", ".join([f"n{i} double, t{i} string, c{i} string" for i in range(width)])
+        rows = [tuple(x for i in range(width) for x in (None if k == i else float(k + i), str(k), None if k % 7 == 1 else " a" if k % 3 else "b")) for k in range(40)]
+        df = frame(ddl, rows + rows[:2])
+        plan = [dict(operation_id=f"{kind}:{c}", operation_type=kind, column=c, status="recommended", source_finding_id="f") for kind, prefix in (
+            (K.IMPUTE_NUMBER, "n"), (K.TO_NUMBER, "t"), (K.IMPUTE_CATEGORY, "c"), (K.TRIM, "c")) for c in (f"{prefix}{i}" for i in range(width))]
+        plan.insert(0, dict(operation_id="d", operation_type=K.DEDUPLICATE, column=None, status="recommended", source_finding_id="f"))
+        group = f"cleaning-{width}"
+        spark.sparkContext.setJobGroup(group, "")
+        cleaned, log = K.run_plan(df, plan, K.RunOptions(run_recommended=True, allow_full_fit=True))
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("", "")
+        found = log.collect()
+        assert [r.step for r in found] == list(range(1, 4 * width + 2)) and {r.status for r in found} == {"executed"}
+        assert cleaned.count() == 40 and {r.c0 for r in cleaned.collect()} == {"a", "b"} and dict(cleaned.dtypes)["t0"] == "bigint"
+        return n
+
+    assert jobs(2) == jobs(6)
+
+
+def test_operations_on_one_column_follow_one_another(spark, frame):
+    df = frame("a string, n double", [(" 1 ", 1.0), ("2", None), ("x", 3.0), (None, 4.0)])
+    op = lambda kind, c: dict(operation_id=f"{kind}:{c}", operation_type=kind, column=c, status="recommended", source_finding_id="f")
+    advice = dict(op(sorted(K.ADVICE)[0], "n"))
+    plan = [op(K.TRIM, "a"), advice, op(K.TO_NUMBER, "a"), op(K.DROP_COLUMN, "a"), op(K.TRIM, "a"), op(K.IMPUTE_NUMBER, "n"), op(K.LOG, "n")]
+    cleaned, log = K.run_plan(df, plan, K.RunOptions(run_recommended=True, fit=F.col("n") < 4))
+    found = {r.step: r for r in log.collect()}
+    assert [found[i].status for i in range(1, 8)] == ["executed", "skipped", "failed", "executed", "skipped", "executed", "executed"]
+    assert "'x'" in found[3].reason and "not in the table" in found[5].reason and found[2].reason.startswith("advice only")
+    assert cleaned.columns == ["n"] and found[6].missing_before == 1 and found[6].missing_after == 0
+    assert sorted(round(r.n, 6) for r in cleaned.collect()) == [0.0, 0.693147, 1.098612, 1.386294]
+    target = K.run_plan(df, [op(K.DROP_COLUMN, "n")], K.RunOptions(run_recommended=True, target="n"))
+    assert target[1].first().status == "failed" and target[0].columns == ["a", "n"]
