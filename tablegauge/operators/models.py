@@ -212,6 +212,7 @@ def train_candidates(train: DataFrame, test: DataFrame | None, task: str, candid
     if any(c.estimator is not None and c.estimator.hasParam("weightCol") and c.estimator.isSet("weightCol") for c in candidates):
         train = class_weights(train)
     train = train.persist()
+    test = test.persist() if test is not None else None
     models: dict[str, object] = {}
 
     def run(candidate: Candidate) -> tuple:
@@ -231,6 +232,8 @@ def train_candidates(train: DataFrame, test: DataFrame | None, task: str, candid
             rows = pool.map(run, candidates)
     finally:
         train.unpersist()
+        if test is not None:
+            test.unpersist()
     return spark.createDataFrame(rows, RUN_SCHEMA), models
 
 

@@ -115,16 +115,13 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
     blocks = {c: max(1, math.ceil(n / block)) for c, (n, _) in sizes.items()}
     known = np.array(sorted(sizes), dtype=np.int32)
     reach = spark.sparkContext.broadcast((known, np.array([sizes[c][1] for c in known])))
-    block_map = F.create_map(*[x for c, b in blocks.items() for x in (F.lit(c), F.lit(b))])
+    block_rows = spark.createDataFrame(list(blocks.items()), "cell int, blocks int")  # one row per centre
 
     def search(visits: DataFrame) -> DataFrame:
         """Answer (qid, v, cell) visits block by block: rows (qid, v, found)."""
         asked_per_cell = visits.groupBy("cell").agg(F.count("*").alias("q"))  # one row per centre
-        plan = asked_per_cell.select(
-            "cell", F.greatest(F.lit(1), F.ceil(F.col("q") / chunk)).cast("int").alias("chunks"),
-            F.try_element_at(block_map, "cell").alias("blocks"),
-        )
-        plan = F.broadcast(plan.where(F.col("blocks").isNotNull()))
+        plan = F.broadcast(asked_per_cell.join(F.broadcast(block_rows), "cell").select(
+            "cell", F.greatest(F.lit(1), F.ceil(F.col("q") / chunk)).cast("int").alias("chunks"), "blocks"))
         whole = "cell", "block", "chunk"
         left = visits.join(plan, "cell").select(
             "cell",
@@ -303,8 +300,8 @@ def knn_mutual_information(df: DataFrame, a: str, b: str, k: int = MI_K, standar
     schema = "column_a string, column_b string, k int, n long, status string, raw double, mutual_information double"
     if total < max(MI_MIN_ROWS, k + 1) or facts["x0"] == facts["x1"] or facts["y0"] == facts["y1"]:
         return spark.createDataFrame([(a, b, k, total, "unavailable", None, None)], schema)
-    # distinct points get an id from their own values, so a recomputed partition gives the same ids
-    keyed = distinct.withColumn("pid", F.xxhash64("x", "y"))
+    # distinct points are numbered once and written, so that no two share a number and none changes it
+    keyed = staged(distinct.withColumn("pid", F.monotonically_increasing_id()), "numbered")
     vector = F.array("x", "y").alias("v")
     found = nearest(
         keyed.select(F.col("pid").alias("qid"), vector),

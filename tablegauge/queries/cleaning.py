@@ -188,6 +188,22 @@ def clean_operation_log(spark, sf):
     return _sequential(spark, sf)[1].na.fill(-1, counts).select("step", "operation_type", "status", *counts)
 
 
+ADVISED = ", ".join(f"'{kind}'" for kind in K.ADVICE)
+
+
+@query(
+    "clean_gate_log",
+    PLAN_SQL
+    + f""" SELECT operation_type, "column", CASE WHEN operation_type NOT IN ({ADVISED}) AND status = 'recommended' THEN 'executed' ELSE 'skipped' END AS status,
+    CASE WHEN operation_type IN ({ADVISED}) THEN 'advice only, nothing to transform' WHEN status <> 'recommended' THEN 'not approved' END AS reason FROM ops""",
+)
+def clean_gate_log(spark, sf):
+    """The log of a whole plan of which only recommended operations may run: advice is listed, nothing else is touched."""
+    df = dirty_events(spark, sf)
+    _, log = K.run_plan(df, K.operation_rows(K.plan_for(df)), K.RunOptions(run_recommended=True, allow_full_fit=True))
+    return log.select("operation_type", "column", "status", "reason")
+
+
 @query("cleaning_plan_fingerprint")
 def cleaning_plan_fingerprint(spark, sf):
     return K.fingerprint(K.plan_for(dirty_events(spark, sf)))

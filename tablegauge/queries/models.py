@@ -12,7 +12,7 @@ from tablegauge.functions import columns as C
 from tablegauge.operators import explain as E, features as G, metrics as M, models as K, screens as S, splits as L, tuning as T
 from tablegauge.queries.features import UNIT
 from tablegauge.queries.registry import query, rounded, table
-from tablegauge.session import scratch_folder
+from tablegauge.session import scratch_folder, staged
 from tablegauge.sources import artefacts
 
 
@@ -224,7 +224,7 @@ def recursive_forecast(spark, sf):
     from tablegauge.queries.features import hourly
 
     lags, windows, reach, horizon = (1, 2, 3), (7,), 7, 6
-    frame = K.forecast_frame(hourly(spark, sf), "value", "hour", ["event_type"], reach, horizon).persist()
+    frame = staged(K.forecast_frame(hourly(spark, sf), "value", "hour", ["event_type"], reach, horizon), "origins")
     rows = K.one_step_rows(frame, lags, windows, reach, ("hour",))
     early = F.col("origin") < F.lit("2024-01-22").cast("timestamp_ntz")
     model = LinearRegression().fit(rows.where(early))

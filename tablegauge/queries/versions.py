@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.operators import cleaning as K, profile as P, versions as V
 from tablegauge.queries.registry import query, rounded, table
-from tablegauge.session import scratch_folder
+from tablegauge.session import scratch_folder, staged
 from tablegauge.sources import landing, readers, registry as Reg
 
 
@@ -298,7 +298,7 @@ def lineage_path(spark, sf):
     t(version_a, version_b, relationship) WHERE (SELECT count(*) FROM customer) > 6""",
 )
 def lineage_relationship(spark, sf):
-    versions = _versions(spark, sf).persist()
+    versions = staged(_versions(spark, sf), "versions")
     out = None
     for a, b in (("v2", "v5"), ("v5", "v2"), ("v5", "v6"), ("v3", "v6")):
         part = V.relationship(versions, a, b)
