@@ -16,7 +16,7 @@ HEADLINE = [
     "anova", "chi_square", "binned_mutual_information", "spearman", "kendall_tau_lineitem", "mann_whitney",
     "kruskal_wallis", "wilcoxon_signed_rank", "friedman", "rolling", "rolling_single_series", "dup_columns",
     "redundant_pairs", "random_holdout", "time_holdout", "regression_metrics", "roc_auc", "linear_regression",
-    "permutation_importance", "content_diff", "lineage_closure", "monthly_trend", "slicer_filter",
+    "permutation_importance", "rank_battery", "ridge_cv_gram", "linear_sweep_cv", "clean_operation_log", "content_diff", "lineage_closure", "monthly_trend", "slicer_filter",
 ]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablegauge.functions import columns as C
 from tablegauge.operators import metrics as M, neighbours as N, screens as S
-from tablegauge.operators.features import calendar_part
+from tablegauge.operators.features import calendar_part, series_positions
 
 # fixed values: seed, sizes and grids of the candidate lists
 SEED = 42
@@ -340,24 +340,35 @@ def _window_feature(history: Column, kind: str, size: int, reach: int) -> Column
     return F.sqrt(spread / float(size - 1))
 
 
-def forecast_frame(df: DataFrame, target: str, time: str, series: list[str], reach: int, horizon: int) -> DataFrame:
-    """Per origin: the last ``reach`` values, and the values and times of the next ``horizon`` steps. One shuffle."""
-    window = W.partitionBy(*[C.quote(c) for c in series]).orderBy(C.quote(time))
+def forecast_frame(df: DataFrame, target: str, time: str, series: list[str], reach: int, horizon: int,
+                   block_rows: int = 1_000_000) -> DataFrame:
+    """Per origin: the last ``reach`` values, and the values and times of the next ``horizon`` steps.
+
+    Rows are numbered in time and grouped into blocks; a block borrows the last rows of the one before and the first of the one
+    behind, so that every origin is answered inside one block and a long series is spread over many tasks."""
+    size = max(block_rows, reach, horizon)
+    placed = series_positions(df, time, series).withColumn("__block", F.floor(F.col("__pos") / size))
+    at, block = F.col("__pos") % size, F.col("__block")
+    homes = F.array_compact(F.array(
+        block, F.when(at > size - reach, block + 1), F.when((at < horizon) & (block > 0), block - 1)))
+    both = placed.withColumn("__home", F.explode(F.array_distinct(homes)))
+    window = W.partitionBy(*[C.quote(c) for c in series], F.col("__home")).orderBy("__pos")
     y, t = C.as_double(df, target), C.quote(time)
-    return df.select(
+    return both.select(
         *[C.quote(c) for c in series],
         t.alias("origin"),
         F.collect_list(y).over(window.rowsBetween(-(reach - 1), 0)).alias("history"),
         F.collect_list(F.struct(t.alias("t"), y.alias("y"))).over(window.rowsBetween(1, horizon)).alias("future"),
-    ).where(F.size("history") == reach)
+        (F.col("__home") == block).alias("__own"),
+    ).where(F.col("__own") & (F.size("history") == reach)).drop("__own")
 
 
 def one_step_rows(frame: DataFrame, lags: tuple[int, ...], windows: tuple[int, ...], reach: int,
-                  parts: tuple[str, ...] = ()) -> DataFrame:
+                  parts: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """Training rows of the one-step model: features known at the origin, label = next value."""
     ready = frame.where(F.size("future") >= 1)
     return _step_features(ready, F.get("future", F.lit(0))["t"], lags, windows, reach, parts).select(
-        "origin", "features", F.get("future", F.lit(0))["y"].alias("label")
+        *keep, "origin", "features", F.get("future", F.lit(0))["y"].alias("label")
     )
 
 

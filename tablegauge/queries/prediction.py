@@ -99,3 +99,29 @@ def linear_sweep_cv(spark, sf):
     """The whole grid of the linear family, cross validated."""
     ranked = gram.sweep_cross_validated(_line_rows(spark, sf, ["l_quantity"]), S.REGRESSION, [])
     return ranked.select("candidate", "folds", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+
+
+FORECAST_STEPS = 6
+
+
+@query(
+    "modeling_run_forecast",
+    f"""WITH h AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS hour, avg(value) AS y FROM events GROUP BY 1, 2),
+    o AS (SELECT hour, row_number() OVER (ORDER BY hour) AS i, count(*) OVER () AS n FROM h),
+    c AS (SELECT max(hour) FILTER (i = greatest(1, floor(n * 0.7 + 1e-9))) AS c1, max(hour) FILTER (i = greatest(1, floor(n * 0.85 + 1e-9))) AS c2 FROM o),
+    r AS (SELECT hour, y, lead(hour) OVER w AS next_hour, {', '.join(f'lead(y, {k}) OVER w AS y{k}' for k in range(1, FORECAST_STEPS + 1))},
+      lead(hour, {FORECAST_STEPS}) OVER w AS last_hour FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour)),
+    m AS (SELECT regr_slope(y1, y) AS b, regr_intercept(y1, y) AS a FROM r, c WHERE next_hour <= c1),
+    p AS (SELECT *, {', '.join(f"a * {'+'.join(['1.0', *(f'pow(b, {j})' for j in range(1, k))]).join('()')} + pow(b, {k}) * y AS p{k}" for k in range(1, FORECAST_STEPS + 1))}
+      FROM r, m, c WHERE hour > c2 AND last_hour IS NOT NULL)
+    """
+    + " UNION ALL ".join(f"SELECT {k} AS step, count(*) AS n, round(sqrt(avg(pow(y{k} - p{k}, 2))), 6) AS rmse FROM p" for k in range(1, FORECAST_STEPS + 1)),
+)
+def modeling_run_forecast(spark, sf):
+    """Time split, lagged rows, training and errors by step in one call, with a model of one lag."""
+    from tablegauge.plans.forecast_run import forecast_table
+    from tablegauge.queries.features import hourly
+
+    linear = K.Candidate("linear_regression", "linear", LinearRegression(solver="normal"))
+    result = forecast_table(hourly(spark, sf), "value", "hour", ["event_type"], lags=(1,), windows=(), horizon=FORECAST_STEPS, candidates=[linear])
+    return result.errors

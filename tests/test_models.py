@@ -288,3 +288,31 @@ def test_importance_moves_single_values(spark, frame):
         values = sorted(r.features.toArray()[r.feature] for r in swapped if (r.repeat, r.feature) == key)
         assert values == sorted(row[1 + key[1]] for row in rows)
     assert E.swapped_rows(df.limit(1), "row_id", 3, 2).count() == 6 and E.swapped_rows(df.limit(0), "row_id", 3, 2).count() == 0
+
+
+def test_forecast_rows_do_not_depend_on_blocks(spark, frame):
+    df = frame("s string, t long, y double", [(s, t, float(t * (2 if s == "a" else 3) % 17)) for s in "ab" for t in range(60)]).withColumn(
+        "t", F.timestamp_seconds(F.col("t") * 3600).cast("timestamp_ntz"))
+    whole = sorted(map(str, models.forecast_frame(df, "y", "t", ["s"], 5, 4).collect()))
+    assert len(whole) == 2 * 56
+    for size in (5, 7, 13):
+        assert sorted(map(str, models.forecast_frame(df, "y", "t", ["s"], 5, 4, block_rows=size).collect())) == whole
+
+
+def test_forecast_run(spark, frame):
+    from tablegauge.plans.forecast_run import forecast_table
+
+    rng = random.Random(2)
+    rows, y = [], 10.0
+    for i in range(200):
+        y = 2 + 0.8 * y + rng.gauss(0, 0.1)
+        rows.append((i, y if i != 50 else None, 1))
+    df = frame("t long, y double, one int", rows).withColumn("t", F.timestamp_seconds(F.col("t") * 86400).cast("timestamp_ntz"))
+    result = forecast_table(df, "y", "t", lags=(1, 2), windows=(3,), horizon=3)
+    assert result.status == "completed" and result.best == "linear_regression"
+    errors = by(result.errors, "step")
+    assert 0.05 < errors[1]["rmse"] < 0.2 and errors[3]["rmse"] < 0.4 and errors[1]["n"] == errors[3]["n"] > 20
+    assert by(result.runs, "candidate").keys() == {"linear_regression", "decision_tree", "random_forest"}
+    assert forecast_table(df.union(df), "y", "t").status == "blocked"
+    assert forecast_table(df.limit(1), "y", "t").status == "blocked"
+    assert forecast_table(df.limit(6), "y", "t").status == "blocked"
