@@ -12,10 +12,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tablegauge.llm.common import as_bytes, map_texts, remainder, table
 
+#: Parts into which ids are hashed for drawing.
+UNITS = 1 << 40
 #: Documented bounds of the fitting sample: rows of a language, rows in all, UTF-8 bytes of a row.
 ROWS_PER_LANGUAGE, ROWS, FIT_BYTES = 1000, 8000, 1 << 16
 BITS = 12
@@ -155,24 +157,23 @@ def learn(docs: DataFrame, usable: str = "true", doc_id: str = "doc_id", text: s
           per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS, fit_bytes: int = FIT_BYTES) -> Model | None:
     """Fit a model to documents that meet ``usable`` and name a language.
 
-    Languages are counted over all of them. The sample holds, per language, the ids that come first by a hash: about
-    ``per_language`` texts of up to ``fit_bytes`` bytes, ``rows`` over all languages."""
+    Languages are counted over all of them. The sample holds, of each language by itself, the ids that come first by a hash: at most
+    ``per_language`` texts of up to ``fit_bytes`` bytes, and over all languages about ``rows``. A language with fewer
+    texts gives all of them, however many the others have."""
     some = docs.filter(usable).filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+        F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).filter(F.octet_length("_text") <= fit_bytes)
     counts = {r._lang: r["count"] for r in some.groupBy("_lang").count().collect()}
     if not counts:
         return None
     wanted = max(1, min(per_language, rows // len(counts)))
-    draw = F.pmod(F.xxhash64("_id"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1_000_000, 1_300_000 * wanted / n + 2000)))])
-    found = some.filter((draw < share[F.col("_lang")]) & (F.octet_length("_text") <= fit_bytes)).orderBy(
-        F.xxhash64("_id"), "_id").limit(2 * rows).collect()
-    taken: dict[str, int] = {}
-    sample = []
-    for r in found:
-        taken[r._lang] = taken.get(r._lang, 0) + 1
-        if taken[r._lang] <= wanted:
-            sample.append((r._text.encode(), r._lang))
+    # somewhat more than wanted are drawn, so that enough come whatever the hashes; of those the first ones are taken
+    drawn = wanted + 6 * wanted**0.5 + 10
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(UNITS, int(UNITS * drawn / n) + 1))])
+    draw = F.pmod(F.xxhash64("_id"), F.lit(UNITS))
+    first = Window.partitionBy("_lang").orderBy(draw, "_id", "_text")
+    found = some.filter(draw < share[F.col("_lang")]).withColumn(
+        "_place", F.row_number().over(first)).filter(F.col("_place") <= wanted).collect()
+    sample = [(r._text.encode(), r._lang) for r in sorted(found, key=lambda r: (r._lang, r._place))]
     return fit(sample)
 
 

@@ -32,6 +32,18 @@ def test_rows(spark):
     assert m.identify(docs.limit(0), model).count() == 0
 
 
+def test_rare_languages_keep_their_rows(spark, monkeypatch):
+    docs = spark.range(30_000).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 3000 = 0 THEN 'das haus ' ELSE 'the house ' END || id AS text", "CASE WHEN id % 3000 = 0 THEN 'de' ELSE 'en' END AS lang")
+    seen = []
+    monkeypatch.setattr(m, "fit", lambda sample: seen.extend(sample))
+    m.learn(docs, per_language=40, rows=100)
+    by_lang = {k: {t for t, x in seen if x == k} for k in ("de", "en")}
+    assert len(by_lang["de"]) == 10 and len(by_lang["en"]) == 40
+    order = docs.filter("lang = 'en'").orderBy(m.F.pmod(m.F.xxhash64("doc_id"), m.F.lit(m.UNITS))).limit(40)
+    assert by_lang["en"] == {r.text.encode() for r in order.collect()}
+
+
 def test_query_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
