@@ -32,6 +32,7 @@ class Fitted:
     labels: list[str]
     neighbours: K.NeighbourModel | None = None
     log_target: bool = False
+    max_categories: int = G.MAX_ONE_HOT
 
 
 @dataclass
@@ -68,7 +69,7 @@ def refit(df: DataFrame, target: str, task: str, candidate: K.Candidate, numeric
         SQLTransformer(statement=f"SELECT *, {'EXPM1(prediction)' if log_target else 'prediction'} AS predicted FROM __THIS__")]
     neighbours = model if isinstance(model, K.NeighbourModel) else None
     stages = [*stage.model.stages, *([] if neighbours else [model, *back])]
-    return Fitted(PipelineModel(stages), task, target, [*numeric, *categorical], candidate.name, labels, neighbours, log_target)
+    return Fitted(PipelineModel(stages), task, target, [*numeric, *categorical], candidate.name, labels, neighbours, log_target, stage.max_categories)
 
 
 def save(fitted: Fitted, root: str, name: str, metrics: dict[str, float] | None = None) -> str:
@@ -76,7 +77,8 @@ def save(fitted: Fitted, root: str, name: str, metrics: dict[str, float] | None
     found = fitted.neighbours
     if found is not None:
         found.train.select("row_id", "features", "label").write.parquet(f"{root}/models/{name}-rows")
-    settings = {"candidate": fitted.candidate, "labels": fitted.labels, "log_target": fitted.log_target, "k": found.k if found else None}
+    settings = {"candidate": fitted.candidate, "labels": fitted.labels, "log_target": fitted.log_target, "k": found.k if found else None,
+                "max_categories": fitted.max_categories}
     return artefacts.save_model(fitted.pipeline, root, name, fitted.task, fitted.target, fitted.features, metrics, settings)
 
 
@@ -88,7 +90,7 @@ def load(spark: SparkSession, root: str, name: str) -> tuple[Fitted, dict]:
     if settings.get("k"):
         neighbours = K.NeighbourModel(spark.read.parquet(f"{root}/models/{name}-rows"), settings["k"], bool(settings["labels"]))
     return Fitted(pipeline, about["task"], about["target"], about["features"], settings.get("candidate", ""), settings.get("labels", []),
-                  neighbours, settings.get("log_target", False)), about
+                  neighbours, settings.get("log_target", False), settings.get("max_categories", G.MAX_ONE_HOT)), about
 
 
 def missing_columns(df: DataFrame, features: list[str]) -> DataFrame:

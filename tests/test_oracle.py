@@ -13,8 +13,8 @@ from tablegauge.queries import load_all
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 REGISTRY = load_all()  # the queries of training text have tests of their own
 QUERIES, ORACLE = REGISTRY.QUERIES, REGISTRY.ORACLE
-# fitted sweeps and file checks take long and have no SQL; they are exercised by the model tests
-SLOW = {"random_search", "classifier_sweep_and_vote", "train_classifiers", "rank_battery", "datetime_mutual_information"}
+# fitted sweeps take long and have no SQL; random_search is in test_tuning, the others are exercised by the model tests
+SLOW = {"random_search", "classifier_sweep_and_vote", "train_classifiers", "datetime_mutual_information"}
 
 
 @pytest.fixture(scope="module")

@@ -36,6 +36,7 @@ def test_round_trip_in_a_new_session(spark, prices, folder):
     other = spark.newSession()
     loaded, about = P.load(other, folder, "m")
     assert about["features"] == ["feat.x1", "x2", "region"] and about["target"] == "price" and about["metrics"] == '{"rmse": 1.5}'
+    assert about["settings"]["max_categories"] == 30 and loaded.max_categories == 30
     raw = prices.drop("price")
     here, there = (by(P.predict(f, raw).rows, "row_id") for f in (fitted, loaded))
     assert here.keys() == there.keys() and len(here) == 300
