@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +44,16 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES)
         yield batch.slice(start)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A worker lives on between tasks and has its part of the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def map_texts(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch], schema: str, text: str = "text",
               limit: int = PIECE_BYTES) -> DataFrame:
     """Apply ``step`` to bounded pieces of rows; no shuffle. ``step`` returns the columns of ``schema``."""
@@ -58,6 +69,8 @@ def map_texts(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, list] |
             for piece in pieces(batch, text, limit):
                 out = step(piece)
                 yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
+        batch = piece = out = None
+        give_back()
 
     return df.mapInArrow(run, kind)
 
@@ -69,6 +82,8 @@ def filter_texts(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], te
         for batch in batches:
             for piece in pieces(batch, text, limit):
                 yield piece.filter(pa.array(np.asarray(keep(piece), bool)))
+        batch = piece = None
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
@@ -209,6 +224,8 @@ def map_groups(df: DataFrame, keys: list[str], step: Callable[[pa.Table, list[tu
             if table_.num_rows:
                 starts = _group_starts(table_, keys)
                 yield step(table_, list(zip(starts, [*starts[1:], table_.num_rows], strict=True)))
+        held, batch, table_ = [], None, None
+        give_back()
 
     return ordered.mapInArrow(run, schema)
 

@@ -138,7 +138,7 @@ def _merges(model: Model) -> list[tuple[str, str]]:
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, raw: bytes, cache_entries: int = 400_000):
+    def __init__(self, raw: bytes, cache_entries: int = 100_000):
         from tokenizers import pre_tokenizers
 
         self.model = parse_model(raw)
@@ -285,7 +285,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_p
 
     return map_texts(
         docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")), step,
-        f"_id {kind}, token_ids array<int>, decoded string, parity boolean", "_text", limit=2 << 20,
+        f"_id {kind}, token_ids array<int>, decoded string, parity boolean", "_text", limit=1 << 20,
     ).withColumnRenamed("_id", doc_id)
 
 
