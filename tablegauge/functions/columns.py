@@ -117,6 +117,11 @@ def present(df: DataFrame, name: str) -> Column:
     return value.isNotNull() & ~F.isnan(value) if isinstance(data_type, (T.FloatType, T.DoubleType)) else value.isNotNull()
 
 
+def ln(value: Column) -> Column:
+    """Natural logarithm of doubles, minus infinity for 0; Spark alone has null there."""
+    return F.when(value == 0, F.lit(float("-inf"))).otherwise(F.ln(value))
+
+
 def unpivot_rows(df: DataFrame, keys: list[Column], parts: list[list[Column]]) -> DataFrame:
     """One output row per part: every part is a list of equally named and typed columns."""
     return df.select(*keys, F.inline(F.array(*[F.struct(*p) for p in parts])))

@@ -322,12 +322,13 @@ def standardise_spellings(df: DataFrame, column: str, mapping: dict[str, str] |
     return joined.withColumn(column, F.coalesce(F.col("__to"), C.quote(column))).select(*map(C.quote, df.columns))
 
 
-def log_transform(df: DataFrame, column: str) -> DataFrame:
+def log_transform(df: DataFrame, column: str, zeros: bool = False) -> DataFrame:
+    """Logarithm of all values, or none: zeros are refused like negative values unless ``zeros`` asks for minus infinity."""
     value = C.as_double(df, column)
-    bad = df.agg(F.count_if(value <= 0).alias("bad")).first()["bad"]
+    bad = df.agg(F.count_if(value < 0 if zeros else value <= 0).alias("bad")).first()["bad"]
     if bad:
-        raise CleaningRefused(f"{column!r}: {bad} values are zero or negative, the logarithm is not defined")
-    return df.withColumn(column, F.ln(value))
+        raise CleaningRefused(f"{column!r}: {bad} values are {'' if zeros else 'zero or '}negative, the logarithm is not defined")
+    return df.withColumn(column, C.ln(value))
 
 
 def drop_column(df: DataFrame, column: str, target: str | None = None) -> DataFrame:

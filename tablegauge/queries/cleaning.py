@@ -93,7 +93,7 @@ def clean_standardise(spark, sf):
 
 @query("clean_log", "SELECT event_id, round(ln(value), 6) AS value FROM events")
 def clean_log(spark, sf):
-    return rounded(K.log_transform(table(spark, sf, "events"), "value").select("event_id", "value"))
+    return rounded(K.log_transform(table(spark, sf, "events"), "value", zeros=True).select("event_id", "value"))
 
 
 @query("clean_drop_column", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
