@@ -211,13 +211,15 @@ def transform_choices(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 def apply_transforms(df: DataFrame, choices: list[tuple[str, str]]) -> DataFrame:
-    """Add ``<column>__<operation>`` for every reshaping choice; ``scale`` is left to the fitted scaler."""
+    """Add ``<column>__<operation>`` for every reshaping choice; ``scale`` is left to the fitted scaler. Where a function has a pole
+    the result is infinite, outside its domain it is null."""
     shapes = {
-        "log": F.ln,
-        "log1p": F.log1p,
+        "log": C.ln,
+        "log1p": lambda v: F.when(v == -1, F.lit(float("-inf"))).otherwise(F.log1p(v)),
         "sqrt": F.sqrt,
         "abs": F.abs,
-        "reciprocal": lambda v: F.lit(1.0) / F.nullif(v, F.lit(0.0)),
+        # by IEEE rules: infinite for 0, with its sign
+        "reciprocal": lambda v: F.when(v == 0, F.pow(v, F.lit(-1.0))).otherwise(F.lit(1.0) / F.nullif(v, F.lit(0.0))),
     }
     return df.withColumns(
         {f"{c}__{op}": shapes[op](C.as_double(df, c)) for c, op in choices if op in shapes}

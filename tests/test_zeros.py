@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tablegauge.operators import cleaning as K
+from tablegauge.operators import cleaning as K, features as G
 from tablegauge.queries import load_all
 
 ZERO = "SELECT i AS event_id, [0.0, 0.5, 1.0, 20.25, NULL][i]::DOUBLE AS value FROM range(1, 6) r(i)"
@@ -25,3 +25,10 @@ def test_clean_log(spark, folder, frame):
     assert mine == theirs and mine[0] == (1, float("-inf"))
     with pytest.raises(K.CleaningRefused, match="1 values are negative"):
         K.log_transform(frame("v double", [(-1.0,), (0.0,)]), "v", zeros=True)
+
+
+def test_apply_transforms(spark, folder, frame):
+    mine, theirs = both(spark, folder, "apply_transforms")
+    assert mine == theirs and mine[0] == (1, float("-inf"), 0.0, 0.0, 0.0, float("inf"))
+    poles = G.apply_transforms(frame("v double", [(-0.0,), (-1.0,), (-2.0,)]), [("v", o) for o in ("reciprocal", "log1p", "log")])
+    assert [tuple(r)[1:] for r in poles.collect()] == [(float("-inf"), 0.0, float("-inf")), (-1.0, float("-inf"), None), (-0.5, None, None)]
