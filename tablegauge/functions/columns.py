@@ -122,6 +122,12 @@ def ln(value: Column) -> Column:
     return F.when(value == 0, F.lit(float("-inf"))).otherwise(F.ln(value))
 
 
+def signed_round(value: Column, digits: int) -> Column:
+    """Rounding that keeps the sign of a negative value that becomes zero, as SQL's does; Spark's gives 0.0 there."""
+    near = F.round(value, digits)
+    return F.when((near == 0) & (value < 0), F.lit(-0.0)).otherwise(near)
+
+
 def unpivot_rows(df: DataFrame, keys: list[Column], parts: list[list[Column]]) -> DataFrame:
     """One output row per part: every part is a list of equally named and typed columns."""
     return df.select(*keys, F.inline(F.array(*[F.struct(*p) for p in parts])))

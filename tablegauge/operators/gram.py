@@ -79,11 +79,15 @@ def grams(df: DataFrame, features: str = "features", label: str = "label", fold:
                 part = z[usable & (own == k)]
                 sums[k] = sums.get(k, 0) + part.T @ part
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([g.ravel() for g in sums.values()], pa.list_(pa.float64()))], names=["fold", "gram"])
-
-    parts = rows.mapInArrow(add_up, "fold int, gram array<double>").select("fold", array_to_vector("gram").alias("gram"))
-    found = parts.groupBy("fold").agg(Summarizer.sum(F.col("gram")).alias("gram")).collect()  # one row per fold
-    return Grams({r["fold"]: r["gram"].toArray().reshape(width + 1, width + 1) for r in found}, shift)
+            [pa.array(list(sums), pa.int32()), pa.array([round(g[0, 0]) for g in sums.values()], pa.int64()),
+             pa.array([g.ravel() for g in sums.values()], pa.list_(pa.float64()))], names=["fold", "n", "gram"])
+
+    parts = rows.mapInArrow(add_up, "fold int, n long, gram array<double>").select("fold", "n", array_to_vector("gram").alias("gram"))
+    found = parts.groupBy("fold").agg(F.sum("n").alias("n"), Summarizer.sum(F.col("gram")).alias("gram")).collect()  # one row per fold
+    folds = {r["fold"]: r["gram"].toArray().reshape(width + 1, width + 1) for r in found}
+    for r in found:
+        folds[r["fold"]][0, 0] = r["n"]  # the summarizer adds up by running means, which leaves a count a little beside a whole number
+    return Grams(folds, shift)
 
 
 def _standardised(gram: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray, np.ndarray]:

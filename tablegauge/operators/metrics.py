@@ -31,7 +31,7 @@ def regression_metrics(rows: DataFrame, label: str = "label", prediction: str =
         F.round("mse", digits).alias("mse"),
         F.round(F.sqrt("mse"), digits).alias("rmse"),
         F.round("mae", digits).alias("mae"),
-        F.round(F.when(F.col("var") > 0, 1.0 - F.col("mse") / F.col("var")), digits).alias("r2"),
+        C.signed_round(F.when(F.col("var") > 0, 1.0 - F.col("mse") / F.col("var")), digits).alias("r2"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from tablegauge.functions import columns as C
 from tablegauge.operators import gram, models as K, screens as S, splits as L
 from tablegauge.plans import prediction as P
 from tablegauge.queries.features import UNIT
@@ -81,7 +82,7 @@ def ridge_cv_gram(spark, sf):
     """Least squares and all ridge penalties, each fold, from one scan of the rows."""
     found = gram.grams(_line_rows(spark, sf, ["l_quantity", "l_discount"]))
     rows = gram.cross_validated(spark, found, [c for c in gram.linear_grid() if c.l1 is None])
-    return rows.select("candidate", "fold", "n", F.round("rmse", 3).alias("rmse"), F.round("r2", 6).alias("r2"))
+    return rows.select("candidate", "fold", "n", F.round("rmse", 3).alias("rmse"), C.signed_round(F.col("r2"), 6).alias("r2"))
 
 
 GRID = ", ".join(f"('{c.name}', {c.alpha!r}::DOUBLE, {'NULL' if c.l1 is None else repr(c.l1)}::DOUBLE)" for c in gram.linear_grid())
