@@ -21,9 +21,12 @@ from tablegauge.operators.hypothesis import _status
 from tablegauge.session import staged
 
 MAX_CENTRES = 4096
+CELL = 10_000  # points of a group; more groups would send a query of many dimensions to more tasks
 BLOCK = 20_000
 CHUNK = 20_000
-CELLS_PER_STEP = 4_000_000  # numbers held by one distance matrix
+CELLS_PER_STEP = 1_000_000  # numbers held by one distance matrix
+LEAF = 48  # points of the smallest groups inside a task
+FEW = 8  # dimensions in which boxes tell groups apart
 SLACK = 1e-9
 
 MI_K = 3  # fixed value
@@ -48,30 +51,93 @@ def _steps(rows: int, width: int) -> Iterator[slice]:
         yield slice(start, start + size)
 
 
-def _local_nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, metric: str):
-    """Indices and distances of the k nearest points per query; ties by id."""
-    order = np.argsort(ids, kind="stable")
-    points = points[order]
+def _first_of_each(row: np.ndarray, point: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int):
+    """At most k entries per row, nearest first, ties by id."""
+    order = np.lexsort((ids[point], distance, row))
+    row, point, distance = row[order], point[order], distance[order]
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+    return row[place < k], point[place < k], distance[place < k]
+
+
+def _leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
+    """Point numbers in groups of about ``size`` neighbours: strips of the first dimension, cut along the second."""
+    order = np.argsort(points[:, 0], kind="stable")
+    count = max(1, len(points) // size)
+    if points.shape[1] == 1:
+        return np.array_split(order, count)
+    strips = max(1, math.isqrt(count))
+    out = []
+    for strip in np.array_split(order, strips):
+        out += np.array_split(strip[np.argsort(points[strip, 1], kind="stable")], max(1, count // strips))
+    return out
+
+
+def _box_distance(v: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of every row to every box, never above that to a point in the box."""
+    total = np.zeros((len(v), len(low)))
+    for i in range(v.shape[1]):
+        gap = np.maximum(np.maximum(low[:, i] - v[:, i, None], v[:, i, None] - high[:, i]), 0.0)
+        total = np.maximum(total, gap) if metric == "chebyshev" else total + gap * gap
+    return total if metric == "chebyshev" else np.sqrt(total)
+
+
+def _nearest_in_leaves(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, metric: str, bound: np.ndarray):
+    """Few dimensions: the leaf nearest to a query bounds its k-th distance, then only leaves within that bound are read."""
+    leaves = _leaves(points, max(LEAF, 2 * k))
+    low, high = np.array([points[i].min(0) for i in leaves]), np.array([points[i].max(0) for i in leaves])
+    found = []
+    for part in _steps(len(queries), len(leaves)):
+        q, reach = queries[part], bound[part].copy()
+        away = _box_distance(q, low, high, metric)
+        home = away.argmin(axis=1)
+        order = np.argsort(home, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+            near = points[leaves[home[rows[0]]]]
+            if len(near) < k:
+                continue
+            for some in _steps(len(rows), near.size):
+                kth = np.partition(_distance(q[rows[some]], near, metric), k - 1, axis=1)[:, k - 1]
+                reach[rows[some]] = np.minimum(reach[rows[some]], kth)
+        leaf, row = np.nonzero((away <= (reach * (1 + SLACK))[:, None]).T)
+        for group in np.split(np.arange(len(leaf)), np.flatnonzero(np.diff(leaf)) + 1) if len(leaf) else []:
+            rows, near = row[group], leaves[leaf[group[0]]]
+            for some in _steps(len(rows), points[near].size):
+                d = _distance(q[rows[some]], points[near], metric)
+                r, c = np.nonzero(d <= reach[rows[some]][:, None])
+                found.append((rows[some][r] + part.start, near[c], d[r, c]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return _first_of_each(*(np.concatenate(x) for x in zip(*found, strict=True)), ids, k)
+
+
+def _nearest_by_products(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray):
+    """Many dimensions: squared distances by a matrix product tell, within its rounding error, which points can be among the k
+    nearest; distances of those are computed from the differences."""
+    middle = points.mean(0)
+    p, q = points - middle, queries - middle
+    p2, q2 = (p * p).sum(1), (q * q).sum(1)
     k = min(k, len(points))
-    index = np.empty((len(queries), k), dtype=np.int64)
-    distance = np.empty((len(queries), k))
-    for part in _steps(len(queries), len(points) * points.shape[1]):
-        d = _distance(queries[part], points, metric)
-        if k < d.shape[1]:
-            best = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
-        else:
-            best = np.tile(np.arange(k), (len(d), 1))
-        values = np.take_along_axis(d, best, axis=1)
-        by_distance = np.argsort(values, axis=1, kind="stable")  # points are in id order, so ties go by id
-        best = np.take_along_axis(best, by_distance, axis=1)
-        values = np.take_along_axis(values, by_distance, axis=1)
-        # rows with more candidates at the k-th distance than places: choose among them by id
-        for row in np.flatnonzero((d <= values[:, -1:]).sum(axis=1) > k):
-            near = np.flatnonzero(d[row] <= values[row, -1])
-            best[row] = near[np.argsort(d[row, near], kind="stable")[:k]]
-            values[row] = d[row, best[row]]
-        index[part], distance[part] = best, values
-    return order[index], distance
+    error = 16 * (points.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(q2) + np.sqrt(p2.max())) ** 2
+    found = []
+    for part in _steps(len(q), len(p)):
+        about = q2[part, None] + p2 - 2.0 * (q[part] @ p.T)
+        kth = np.minimum(np.partition(about, k - 1, axis=1)[:, k - 1], bound[part] ** 2)
+        r, c = np.nonzero(about <= (kth + 2 * error[part])[:, None])
+        for some in _steps(len(r), points.shape[1]):
+            gap = queries[part][r[some]] - points[c[some]]
+            found.append((r[some] + part.start, c[some], np.sqrt((gap * gap).sum(axis=1))))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return _first_of_each(*(np.concatenate(x) for x in zip(*found, strict=True)), ids, k)
+
+
+def _local_nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, metric: str, bound: np.ndarray):
+    """(query number, point number, distance) of the k nearest points per query; ties by id. Points that are farther than ``bound``
+    may be left out."""
+    if metric == "euclidean" and points.shape[1] > FEW and np.isfinite(points).all() and np.isfinite(queries).all():
+        return _nearest_by_products(queries, points, ids, k, bound)
+    return _nearest_in_leaves(queries, points, ids, k, metric, bound)
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidean", centres: int | None = None,
@@ -83,7 +149,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
     """
     spark = data.sparkSession
     total = data.count()
-    centres = centres or max(1, min(MAX_CENTRES, math.isqrt(total)))
+    centres = centres or max(1, min(MAX_CENTRES, math.ceil(total / CELL)))
     # a fixed sample: the rows with the smallest hashes of their id
     picked = data.orderBy(F.xxhash64("pid"), "pid").limit(centres).select("v").collect()
     if not picked:
@@ -109,16 +175,19 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
     points = staged(points, "points")
     asked = queries.select("qid", "v").mapInPandas(assign, "qid long, v array<double>, cell int, away double")
     asked = staged(asked.drop("away"), "asked")
-    sizes = {r["cell"]: (r["n"], r["radius"]) for r in points.groupBy("cell").agg(
-        F.count("*").alias("n"), F.max("away").alias("radius")
+    boxed = range(middle.value.shape[1] if middle.value.shape[1] <= FEW else 0)
+    sizes = {r["cell"]: r for r in points.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("away").alias("radius"), *[
+            e(F.get("v", F.lit(i))).alias(f"{name}{i}") for i in boxed for name, e in (("low", F.min), ("high", F.max))],
     ).collect()}  # one row per centre
-    blocks = {c: max(1, math.ceil(n / block)) for c, (n, _) in sizes.items()}
+    blocks = {c: max(1, math.ceil(r["n"] / block)) for c, r in sizes.items()}
     known = np.array(sorted(sizes), dtype=np.int32)
-    reach = spark.sparkContext.broadcast((known, np.array([sizes[c][1] for c in known])))
+    sides = [np.array([[sizes[c][f"{side}{i}"] for i in boxed] for c in known], dtype=float) for side in ("low", "high")]
+    reach = spark.sparkContext.broadcast((known, np.array([sizes[c]["radius"] for c in known]), *sides))
     block_rows = spark.createDataFrame(list(blocks.items()), "cell int, blocks int")  # one row per centre
 
     def search(visits: DataFrame) -> DataFrame:
-        """Answer (qid, v, cell) visits block by block: rows (qid, v, found)."""
+        """Answer (qid, v, cell, bound) visits block by block: rows (qid, found)."""
         asked_per_cell = visits.groupBy("cell").agg(F.count("*").alias("q"))  # one row per centre
         plan = F.broadcast(asked_per_cell.join(F.broadcast(block_rows), "cell").select(
             "cell", F.greatest(F.lit(1), F.ceil(F.col("q") / chunk)).cast("int").alias("chunks"), "blocks"))
@@ -127,7 +196,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
             "cell",
             F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
             F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int").alias("chunk"),
-            F.lit(True).alias("is_query"), F.col("qid").alias("id"), "v", F.lit(0.0).alias("payload"),
+            F.lit(True).alias("is_query"), F.col("qid").alias("id"), "v", F.col("bound").alias("payload"),
         )
         right = points.join(plan, "cell").select(
             "cell",
@@ -139,31 +208,31 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
         def answer(group: pd.DataFrame) -> pd.DataFrame:
             mine, theirs = group[group["is_query"]], group[~group["is_query"]]
             if not len(mine) or not len(theirs):
-                return pd.DataFrame({"qid": [], "v": [], "distance": [], "pid": [], "payload": []})
+                return pd.DataFrame({"qid": [], "distance": [], "pid": [], "payload": []})
             ids, payload = theirs["id"].to_numpy(), theirs["payload"].to_numpy()
-            index, distance = _local_nearest(_matrix(mine["v"]), _matrix(theirs["v"]), ids, k, metric)
-            return pd.DataFrame({
-                "qid": mine["id"].to_numpy(), "v": mine["v"].to_numpy(), "distance": list(distance),
-                "pid": list(ids[index]), "payload": list(payload[index]),
-            })
+            row, point, distance = _local_nearest(
+                _matrix(mine["v"]), _matrix(theirs["v"]), ids, k, metric, mine["payload"].to_numpy(float, na_value=np.inf))
+            ends = np.flatnonzero(np.diff(row)) + 1
+            first = row[np.r_[0, ends]] if len(row) else row
+            lists = [pd.Series(np.split(x, ends) if len(row) else [], dtype=object) for x in (distance, ids[point], payload[point])]
+            return pd.DataFrame({"qid": mine["id"].to_numpy()[first], "distance": lists[0], "pid": lists[1], "payload": lists[2]})
 
         answered = left.unionByName(right).groupBy(*whole).applyInPandas(
-            answer, "qid long, v array<double>, distance array<double>, pid array<long>, payload array<double>"
+            answer, "qid long, distance array<double>, pid array<long>, payload array<double>"
         )
-        return answered.select("qid", "v", F.arrays_zip("distance", "pid", "payload").alias("found"))
+        return answered.select("qid", F.arrays_zip("distance", "pid", "payload").alias("found"))
 
     def best(rows: DataFrame) -> DataFrame:
-        merged = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k)
-        return rows.groupBy("qid").agg(F.first("v").alias("v"), merged.alias("found"))
+        return rows.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
 
-    home = staged(best(search(asked)), "home")
+    home = staged(best(search(asked.withColumn("bound", F.lit(None).cast("double")))), "home")
     bounded = asked.join(home.select("qid", "found"), "qid", "left").select(
         "qid", "v", "cell",
         F.when(F.size("found") >= k, F.try_element_at("found", F.lit(k))["distance"]).alias("bound"),
     )
 
     def other_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, radius = reach.value
+        cells, radius, low, high = reach.value
         for rows in batches:
             if not len(rows):
                 continue
@@ -171,16 +240,21 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
             bound = rows["bound"].fillna(np.inf).to_numpy()
             for part in _steps(len(v), middle.value.size):
                 gap = _distance(v[part], middle.value[cells], metric)
-                need = gap - radius[None, :] <= (bound[part] * (1 + SLACK) + SLACK)[:, None]
+                limit = bound[part] * (1 + SLACK) + SLACK
+                need = gap - radius[None, :] <= limit[:, None]
+                if low.size:
+                    need &= _box_distance(v[part], low, high, metric) <= limit[:, None]
                 need &= cells[None, :] != rows["cell"].to_numpy()[part][:, None]
                 q, c = np.nonzero(need)
+                if not len(q):
+                    continue
                 yield pd.DataFrame(
-                    {"qid": rows["qid"].to_numpy()[part][q], "v": rows["v"].iloc[part].iloc[q].tolist(), "cell": cells[c]}
+                    {"qid": rows["qid"].to_numpy()[part][q], "v": rows["v"].iloc[part].iloc[q].tolist(), "cell": cells[c], "bound": limit[q]}
                 )
 
-    visits = bounded.mapInPandas(other_cells, "qid long, v array<double>, cell int")
-    everything = home.unionByName(search(visits))
-    return best(everything).select("qid", "v", F.col("found").alias("neighbours"))
+    visits = bounded.mapInPandas(other_cells, "qid long, v array<double>, cell int, bound double")
+    everything = best(home.unionByName(search(visits)))
+    return asked.select("qid", "v").join(everything, "qid").select("qid", "v", F.col("found").alias("neighbours"))
 
 
 def knn_predict(neighbours: DataFrame, k: int, classify: bool) -> DataFrame:
