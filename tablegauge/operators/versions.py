@@ -196,21 +196,30 @@ def closure(versions: DataFrame) -> DataFrame:
     return itself.unionByName(known)
 
 
-def _reach(versions: DataFrame, version_id: str, up: bool) -> DataFrame:
-    """(version_id, distance) of all versions above or below one, itself at 0, without the closure of the others.
+def jump_tables(versions: DataFrame, up: bool = True) -> list[DataFrame]:
+    """(a, b): where 2^k steps up or down lead, for k from 0 on; written once, for any number of walks over the same versions.
 
-    Jump tables say where 2^k steps lead; going from the longest jump to the shortest, the set reached doubles each time."""
+    Jumps of all versions are shuffled, never broadcast: each table would pass through the driver."""
     here, there = ("version_id", "parent_id") if up else ("parent_id", "version_id")
     jumps = [staged(_edges(versions).select(F.col(here).alias("a"), F.col(there).alias("b")), "jumps")]
     for _ in range(_rounds(versions)):
         last = jumps[-1]
-        further = staged(last.select("a", F.col("b").alias("m")).join(last.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct(), "jumps")
+        joined = last.select("a", F.col("b").alias("m")).hint("merge").join(last.select(F.col("a").alias("m"), "b").hint("merge"), "m")
+        further = staged(joined.select("a", "b").distinct(), "jumps")
         if further.isEmpty():
             break
         jumps.append(further)
+    return jumps
+
+
+def _reach(versions: DataFrame, version_id: str, up: bool, jumps: list[DataFrame] | None = None) -> DataFrame:
+    """(version_id, distance) of all versions above or below one, itself at 0, without the closure of the others.
+
+    Going from the longest jump to the shortest, the set reached doubles each time."""
+    jumps = jump_tables(versions, up) if jumps is None else jumps
     reached = versions.where(F.col("version_id") == version_id).select("version_id", F.lit(0).alias("distance")).distinct()
     for k in reversed(range(len(jumps))):
-        more = reached.join(jumps[k].withColumnRenamed("a", "version_id"), "version_id").select(
+        more = reached.join(jumps[k].withColumnRenamed("a", "version_id").hint("merge"), "version_id").select(
             F.col("b").alias("version_id"), (F.col("distance") + 2**k).alias("distance"))
         reached = staged(reached.unionByName(more).groupBy("version_id").agg(F.min("distance").alias("distance")), "reached")
     return reached
@@ -253,9 +262,11 @@ def path(versions: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def relationship(versions: DataFrame, a: str, b: str) -> DataFrame:
-    """same, ancestor, descendant, sibling, related (shared root) or unrelated: what a is to b."""
-    over_a, over_b = (_reach(versions, v, up=True) for v in (a, b))
+def relationship(versions: DataFrame, a: str, b: str, jumps: list[DataFrame] | None = None) -> DataFrame:
+    """same, ancestor, descendant, sibling, related (shared root) or unrelated: what a is to b. ``jumps``: the tables of
+    ``jump_tables``, for more than one pair."""
+    jumps = jump_tables(versions) if jumps is None else jumps
+    over_a, over_b = (_reach(versions, v, True, jumps) for v in (a, b))
     parents = versions.select("version_id", "parent_version_id")
     facts = C.attach_row(
         over_b.agg(F.max(F.col("version_id") == a).alias("a_above_b")), over_a.agg(F.max(F.col("version_id") == b).alias("b_above_a")))

@@ -299,9 +299,9 @@ def lineage_path(spark, sf):
 )
 def lineage_relationship(spark, sf):
     versions = staged(_versions(spark, sf), "versions")
-    out = None
+    out, jumps = None, V.jump_tables(versions)
     for a, b in (("v2", "v5"), ("v5", "v2"), ("v5", "v6"), ("v3", "v6")):
-        part = V.relationship(versions, a, b)
+        part = V.relationship(versions, a, b, jumps)
         out = part if out is None else out.unionByName(part)
     return out
 
