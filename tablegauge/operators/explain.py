@@ -43,12 +43,13 @@ def with_donors(df: DataFrame, key: str, repeats: int, seed: int = SEED) -> Data
     n = placed.count()
     rng = random.Random(seed)
     shifts = [rng.randrange(1, n) if n > 1 else 0 for _ in range(repeats)]
-    paired = placed.select(
-        "pos", "label", "v",
-        F.posexplode(F.array(*[F.lit(s).cast("long") for s in shifts])).alias("repeat", "shift"),
-    ).withColumn("partner", (F.col("pos") + F.col("shift")) % F.lit(n))
-    donors = placed.select(F.col("pos").alias("partner"), F.col("v").alias("donor"))
-    return paired.join(donors, "partner").select("pos", "repeat", "label", "v", "donor")
+    # a donor travels to the row that takes it, so that all repeats of a row are in one task from then on
+    sent = placed.select(
+        "pos", "v", F.posexplode(F.array(*[F.lit(s).cast("long") for s in shifts])).alias("repeat", "shift"),
+    ).select(F.pmod(F.col("pos") - F.col("shift"), F.lit(max(n, 1))).alias("pos"), F.struct("repeat", F.col("v").alias("donor")).alias("gift"))
+    given = sent.groupBy("pos").agg(F.collect_list("gift").alias("gifts"))  # one per repeat
+    return placed.select("pos", "label", "v").join(given, "pos").select("pos", "label", "v", F.inline("gifts")).select(
+        "pos", "repeat", "label", "v", "donor")
 
 
 def _scores(rows: DataFrame, keys: list[str], scoring: str) -> DataFrame:
@@ -172,24 +173,12 @@ def sampled_shapley(model, df: DataFrame, features: list[str], key: str, orders:
             )
         ).alias("features"),
     )
-    scored = model.transform(mixed).groupBy("pos", "repeat").agg(
-        F.first("plan").alias("plan"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("taken", "prediction"))), lambda s: s["prediction"]
-        ).alias("p"),  # width + 1 numbers
-    )
-    steps = scored.select(
-        "pos",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(width - 1)),
-                lambda j: F.struct(
-                    F.get("plan", j).alias("feature"), (F.get("p", j + 1) - F.get("p", j)).alias("gain")
-                ),
-            )
-        ).alias("s"),
-    )
-    per_row = steps.groupBy("pos", "s.feature").agg(F.avg("s.gain").alias("value"))
+    # a prediction counts for the feature that came last into its row and against the one that comes next: all rows of a
+    # position meet in one sum per feature, which each task adds up before the shuffle
+    last, following = F.get("plan", F.col("taken") - 1), F.get("plan", F.col("taken"))
+    sign = lambda i: F.when(last == i, 1.0).when(following == i, -1.0)
+    per_pos = model.transform(mixed).groupBy("pos").agg(*[(F.sum(sign(i) * F.col("prediction")) / orders).alias(f"g{i}") for i in range(width)])
+    per_row = C.unpivot_rows(per_pos, [], [[F.lit(i).alias("feature"), F.col(f"g{i}").alias("value")] for i in range(width)])
     named = F.element_at(F.array(*map(F.lit, features)), F.col("feature") + 1)
     mean = per_row.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs_shapley"))
     return _rank_shapley(mean.select(named.alias("feature"), "mean_abs_shapley"))
