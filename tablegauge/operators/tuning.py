@@ -89,7 +89,8 @@ def candidate(estimator: str, task: str, setting: dict, n_rows: int, n_features:
     if estimator == "knn":
         return models.Candidate(name, family, None, setting["k"])
     if estimator == "random_forest":
-        made = (K.RandomForestClassifier if classes else R.RandomForestRegressor)(**setting, **seeded)
+        kept = models.keeps_nodes(n_rows, setting["numTrees"])
+        made = (K.RandomForestClassifier if classes else R.RandomForestRegressor)(**setting, **seeded, **kept)
     elif estimator == "gradient_boosting":
         made = (K.GBTClassifier if classes else R.GBTRegressor)(**setting, **seeded)
     elif estimator == "decision_tree":
