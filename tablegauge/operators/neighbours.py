@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablegauge.functions import columns as C
@@ -26,7 +28,9 @@ BLOCK = 20_000
 CHUNK = 20_000
 CELLS_PER_STEP = 1_000_000  # numbers held by one distance matrix
 LEAF = 48  # points of the smallest groups inside a task
-FEW = 8  # dimensions in which boxes tell groups apart
+FEW = 8  # dimensions in which boxes tell groups apart in any case
+BOXED = 64  # dimensions in which a group keeps its box
+PROBE, READ = 256, 0.25  # queries that tell whether leaves are worth while, and the share of the leaves they may read then
 SLACK = 1e-9
 
 MI_K = 3  # fixed value
@@ -41,8 +45,68 @@ def _distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt((gap * gap).sum(axis=2))
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.array(series.tolist(), dtype=float)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of arrays of one length."""
+    if isinstance(column, pa.ChunkedArray):
+        return np.concatenate([_matrix(c) for c in column.chunks]) if column.num_chunks else np.zeros((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
+def _vectors(v: np.ndarray) -> pa.Array:
+    return _lists(np.ascontiguousarray(v).ravel(), np.arange(len(v) + 1) * v.shape[1])
+
+
+def _numbers(column: pa.Array | pa.ChunkedArray, missing: float) -> np.ndarray:
+    found = (column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)).astype(float)
+    return np.where(np.isnan(found), missing, found)
+
+
+def _about(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances of rows to centres by a matrix product, their rounding error per row)."""
+    middle = centres.mean(0)
+    c, q = centres - middle, v - middle
+    c2, q2 = (c * c).sum(1), (q * q).sum(1)
+    error = 16 * (v.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(q2) + np.sqrt(c2.max())) ** 2
+    out = q @ c.T
+    out *= -2.0
+    out += c2
+    out += q2[:, None]
+    return out, error
+
+
+def _by_products(v: np.ndarray, centres: np.ndarray, metric: str) -> bool:
+    return metric == "euclidean" and v.shape[1] > 2 and bool(np.isfinite(v).all() and np.isfinite(centres).all())
+
+
+def _own_centre(v: np.ndarray, centres: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(a centre near each row, the distance to it). Any centre will do; the distance is exact."""
+    if not _by_products(v, centres, metric):
+        d = _distance(v, centres, metric)
+        return d.argmin(axis=1), d.min(axis=1)
+    cell = _about(v, centres)[0].argmin(axis=1)
+    gap = v - centres[cell]
+    return cell, np.sqrt((gap * gap).sum(axis=1))
+
+
+def _near_balls(v: np.ndarray, centres: np.ndarray, radius: np.ndarray, limit: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, centre) of all balls that reach into a row's limit; by products a few more."""
+    if not _by_products(v, centres, metric):
+        return np.nonzero(_distance(v, centres, metric) - radius <= limit[:, None])
+    about, error = _about(v, centres)
+    reach = np.add.outer(limit, radius)
+    reach *= reach
+    reach += error[:, None]
+    return np.nonzero(about <= reach)
+
+
+def _pair_box_distance(v: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row to its own box."""
+    gap = np.maximum(np.maximum(low - v, v - high), 0.0)
+    return gap.max(axis=1) if metric == "chebyshev" else np.sqrt((gap * gap).sum(axis=1))
 
 
 def _steps(rows: int, width: int) -> Iterator[slice]:
@@ -61,7 +125,10 @@ def _first_of_each(row: np.ndarray, point: np.ndarray, distance: np.ndarray, ids
 
 
 def _leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
-    """Point numbers in groups of about ``size`` neighbours: strips of the first dimension, cut along the second."""
+    """Point numbers in groups of about ``size`` neighbours: strips of the first dimension, cut along the second; in more dimensions
+    cuts across the widest one, between two values where there are several."""
+    if points.shape[1] > 2:
+        return _cuts(points, size)
     order = np.argsort(points[:, 0], kind="stable")
     count = max(1, len(points) // size)
     if points.shape[1] == 1:
@@ -73,6 +140,28 @@ def _leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def _cuts(points: np.ndarray, size: int) -> list[np.ndarray]:
+    out, left = [], [np.arange(len(points))]
+    while left:
+        some = left.pop()
+        if len(some) <= size:
+            out.append(some)
+            continue
+        spread = np.ptp(points[some], axis=0)
+        wide = int(np.argmax(spread))
+        if not spread[wide] > 0:  # copies of one point
+            out += np.array_split(some, math.ceil(len(some) / size))
+            continue
+        some = some[np.argsort(points[some, wide], kind="stable")]
+        steps = np.flatnonzero(np.diff(points[some, wide])) + 1
+        if not len(steps):
+            out.append(some)
+            continue
+        cut = steps[np.abs(steps - len(some) / 2).argmin()]
+        left += [some[:cut], some[cut:]]
+    return out
+
+
 def _box_distance(v: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
     """Distance of every row to every box, never above that to a point in the box."""
     total = np.zeros((len(v), len(low)))
@@ -82,23 +171,36 @@ def _box_distance(v: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str)
     return total if metric == "chebyshev" else np.sqrt(total)
 
 
-def _nearest_in_leaves(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, metric: str, bound: np.ndarray):
-    """Few dimensions: the leaf nearest to a query bounds its k-th distance, then only leaves within that bound are read."""
+def _leaf_reach(q: np.ndarray, points: np.ndarray, leaves: list[np.ndarray], away: np.ndarray, k: int, metric: str, bound: np.ndarray) -> np.ndarray:
+    """A distance within which each query has k points, from the leaf nearest to it; never above ``bound``."""
+    reach, home = bound.copy(), away.argmin(axis=1)
+    order = np.argsort(home, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+        near = points[leaves[home[rows[0]]]]
+        if len(near) < k:
+            continue
+        for some in _steps(len(rows), near.size):
+            kth = np.partition(_distance(q[rows[some]], near, metric), k - 1, axis=1)[:, k - 1]
+            reach[rows[some]] = np.minimum(reach[rows[some]], kth)
+    return reach
+
+
+def _nearest_in_leaves(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, metric: str, bound: np.ndarray,
+                       share: float = 1.0):
+    """The leaf nearest to a query bounds its k-th distance, then only leaves within that bound are read. None where the first
+    queries read more than ``share`` of the leaves."""
     leaves = _leaves(points, max(LEAF, 2 * k))
     low, high = np.array([points[i].min(0) for i in leaves]), np.array([points[i].max(0) for i in leaves])
+    if share < 1.0 and len(queries):
+        q = queries[:PROBE]
+        away = _box_distance(q, low, high, metric)
+        if (away <= (_leaf_reach(q, points, leaves, away, k, metric, bound[:PROBE]) * (1 + SLACK))[:, None]).mean() > share:
+            return None
     found = []
     for part in _steps(len(queries), len(leaves)):
-        q, reach = queries[part], bound[part].copy()
+        q = queries[part]
         away = _box_distance(q, low, high, metric)
-        home = away.argmin(axis=1)
-        order = np.argsort(home, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-            near = points[leaves[home[rows[0]]]]
-            if len(near) < k:
-                continue
-            for some in _steps(len(rows), near.size):
-                kth = np.partition(_distance(q[rows[some]], near, metric), k - 1, axis=1)[:, k - 1]
-                reach[rows[some]] = np.minimum(reach[rows[some]], kth)
+        reach = _leaf_reach(q, points, leaves, away, k, metric, bound[part])
         leaf, row = np.nonzero((away <= (reach * (1 + SLACK))[:, None]).T)
         for group in np.split(np.arange(len(leaf)), np.flatnonzero(np.diff(leaf)) + 1) if len(leaf) else []:
             rows, near = row[group], leaves[leaf[group[0]]]
@@ -136,7 +238,8 @@ def _local_nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k:
     """(query number, point number, distance) of the k nearest points per query; ties by id. Points that are farther than ``bound``
     may be left out."""
     if metric == "euclidean" and points.shape[1] > FEW and np.isfinite(points).all() and np.isfinite(queries).all():
-        return _nearest_by_products(queries, points, ids, k, bound)
+        found = _nearest_in_leaves(queries, points, ids, k, metric, bound, READ)
+        return _nearest_by_products(queries, points, ids, k, bound) if found is None else found
     return _nearest_in_leaves(queries, points, ids, k, metric, bound)
 
 
@@ -157,25 +260,23 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
         return queries.select("qid", "v", empty.alias("neighbours"))
     middle = spark.sparkContext.broadcast(np.unique(np.array([r["v"] for r in picked], dtype=float), axis=0))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            if not len(rows):
+            if not rows.num_rows:
                 continue
-            v = _matrix(rows["v"])
+            v = _matrix(rows.column("v"))
             cell, away = np.empty(len(v), dtype=np.int32), np.empty(len(v))
-            for part in _steps(len(v), middle.value.size):
-                d = _distance(v[part], middle.value, metric)
-                cell[part] = d.argmin(axis=1)
-                away[part] = d.min(axis=1)
-            yield rows.assign(cell=cell, away=away)
+            for part in _steps(len(v), len(middle.value) * (1 if metric == "euclidean" else v.shape[1])):
+                cell[part], away[part] = _own_centre(v[part], middle.value, metric)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell), pa.array(away)], names=[*rows.schema.names, "cell", "away"])
 
-    points = data.select("pid", "v", "payload").mapInPandas(
+    points = data.select("pid", "v", "payload").mapInArrow(
         assign, "pid long, v array<double>, payload double, cell int, away double"
     )
     points = staged(points, "points")
-    asked = queries.select("qid", "v").mapInPandas(assign, "qid long, v array<double>, cell int, away double")
+    asked = queries.select("qid", "v").mapInArrow(assign, "qid long, v array<double>, cell int, away double")
     asked = staged(asked.drop("away"), "asked")
-    boxed = range(middle.value.shape[1] if middle.value.shape[1] <= FEW else 0)
+    boxed = range(middle.value.shape[1] if middle.value.shape[1] <= BOXED else 0)
     sizes = {r["cell"]: r for r in points.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("away").alias("radius"), *[
             e(F.get("v", F.lit(i))).alias(f"{name}{i}") for i in boxed for name, e in (("low", F.min), ("high", F.max))],
@@ -205,19 +306,21 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
             F.lit(False).alias("is_query"), F.col("pid").alias("id"), "v", "payload",
         )
 
-        def answer(group: pd.DataFrame) -> pd.DataFrame:
-            mine, theirs = group[group["is_query"]], group[~group["is_query"]]
-            if not len(mine) or not len(theirs):
-                return pd.DataFrame({"qid": [], "distance": [], "pid": [], "payload": []})
-            ids, payload = theirs["id"].to_numpy(), theirs["payload"].to_numpy()
-            row, point, distance = _local_nearest(
-                _matrix(mine["v"]), _matrix(theirs["v"]), ids, k, metric, mine["payload"].to_numpy(float, na_value=np.inf))
-            ends = np.flatnonzero(np.diff(row)) + 1
-            first = row[np.r_[0, ends]] if len(row) else row
-            lists = [pd.Series(np.split(x, ends) if len(row) else [], dtype=object) for x in (distance, ids[point], payload[point])]
-            return pd.DataFrame({"qid": mine["id"].to_numpy()[first], "distance": lists[0], "pid": lists[1], "payload": lists[2]})
-
-        answered = left.unionByName(right).groupBy(*whole).applyInPandas(
+        def answer(group: pa.Table) -> pa.Table:
+            asking = group.column("is_query")
+            mine, theirs = group.filter(asking), group.filter(pc.invert(asking))
+            row = point = np.zeros(0, dtype=np.int64)
+            distance, ids, payload = np.zeros(0), theirs.column("id").to_numpy(), _numbers(theirs.column("payload"), np.nan)
+            if mine.num_rows and theirs.num_rows:
+                row, point, distance = _local_nearest(
+                    _matrix(mine.column("v")), _matrix(theirs.column("v")), ids, k, metric, _numbers(mine.column("payload"), np.inf))
+            start = np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, dtype=np.int64)
+            ends = np.r_[start, len(row)]
+            return pa.table({
+                "qid": pa.array(mine.column("id").to_numpy()[row[start]], pa.int64()), "distance": _lists(distance, ends),
+                "pid": _lists(ids[point], ends), "payload": _lists(payload[point], ends)})
+
+        answered = left.unionByName(right).groupBy(*whole).applyInArrow(
             answer, "qid long, distance array<double>, pid array<long>, payload array<double>"
         )
         return answered.select("qid", F.arrays_zip("distance", "pid", "payload").alias("found"))
@@ -231,28 +334,26 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
         F.when(F.size("found") >= k, F.try_element_at("found", F.lit(k))["distance"]).alias("bound"),
     )
 
-    def other_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def other_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, radius, low, high = reach.value
         for rows in batches:
-            if not len(rows):
+            if not rows.num_rows:
                 continue
-            v = _matrix(rows["v"])
-            bound = rows["bound"].fillna(np.inf).to_numpy()
-            for part in _steps(len(v), middle.value.size):
-                gap = _distance(v[part], middle.value[cells], metric)
-                limit = bound[part] * (1 + SLACK) + SLACK
-                need = gap - radius[None, :] <= limit[:, None]
-                if low.size:
-                    need &= _box_distance(v[part], low, high, metric) <= limit[:, None]
-                need &= cells[None, :] != rows["cell"].to_numpy()[part][:, None]
-                q, c = np.nonzero(need)
-                if not len(q):
-                    continue
-                yield pd.DataFrame(
-                    {"qid": rows["qid"].to_numpy()[part][q], "v": rows["v"].iloc[part].iloc[q].tolist(), "cell": cells[c], "bound": limit[q]}
-                )
-
-    visits = bounded.mapInPandas(other_cells, "qid long, v array<double>, cell int, bound double")
+            v, qid, own = _matrix(rows.column("v")), rows.column("qid").to_numpy(), rows.column("cell").to_numpy()
+            limit = _numbers(rows.column("bound"), np.inf) * (1 + SLACK) + SLACK
+            for part in _steps(len(v), len(cells) * (1 if metric == "euclidean" else v.shape[1])):
+                near = _near_balls(v[part], middle.value[cells], radius, limit[part], metric)
+                for some in _steps(len(near[0]), v.shape[1]):
+                    q, c = near[0][some] + part.start, near[1][some]
+                    keep = cells[c] != own[q]
+                    if low.size:
+                        keep &= _pair_box_distance(v[q], low[c], high[c], metric) <= limit[q]
+                    q, c = q[keep], c[keep]
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(qid[q]), _vectors(v[q]), pa.array(cells[c]), pa.array(limit[q])], names=["qid", "v", "cell", "bound"])
+
+    visits = bounded.mapInArrow(other_cells, "qid long, v array<double>, cell int, bound double")
     everything = best(home.unionByName(search(visits)))
     return asked.select("qid", "v").join(everything, "qid").select("qid", "v", F.col("found").alias("neighbours"))
 
