@@ -7,6 +7,8 @@ chi-square approximations (``method`` says which).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablegauge.functions import columns as C, tails
@@ -16,6 +18,10 @@ from tablegauge.session import staged
 
 MIN_PAIRS = 3  # fixed value
 MIN_GROUP = 2  # fixed value
+#: Distinct values of a column up to which its ranks go to every task (16 bytes each).
+FEW_VALUES = 10_000
+#: Rows of one part when ranks are joined to them, and parts beyond which map tasks would hold their rows in memory to sort them.
+RANKED_ROWS, RANKED_PARTS = 500_000, 200
 BATTERY_SCHEMA = "test string, column_a string, column_b string, n long, status string, statistic double, p_value double"
 
 
@@ -119,26 +125,35 @@ def _own_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def rank_rows(df: DataFrame, names: list[str]) -> DataFrame:
     """Average ranks ``r0, r1, ...`` of the columns, row by row; the rank of a missing value is null.
 
-    All columns go through one ranking and one join of (column, value), and are brought back to rows by a number that each
-    row gets in a written copy. Rows of hot values, which the sketch tells, take their rank from a small table instead."""
+    All columns go through one ranking. Ranks of a column with few distinct values are attached to the rows where they are; a
+    column with many takes one shuffle of the rows, over as many parts as their number asks for. Rows of hot values, which the sketch
+    tells, take their rank from a small table instead."""
     values = {c: C.as_double(df, c) for c in names}
     copy = staged(df.select(*[values[c].alias(f"v{i}") for i, c in enumerate(names)]), "ranked-values")
     copied = {c: F.col(f"v{i}") for i, c in enumerate(names)}
     edges = ordered.sketch_edges(copy, copied)
-    rows = ordered.long_values(copy, copied, {"__row": F.monotonically_increasing_id()}, edges)
+    rows = ordered.long_values(copy, copied, None, edges)
     number = F.array_position(F.array(*map(F.lit, names)), F.col("column")).cast("int") - 1
-    rows = rows.select("__row", number.alias("i"), "bucket", "x")
-    counts = rows.groupBy("i", "bucket", "x").agg(F.count("*").alias("n"))
+    counts = rows.groupBy(number.alias("i"), "bucket", "x").agg(F.count("*").alias("n"))
     ranks = staged(ordered.average_ranks(counts, ["i"]).select("i", "x", "avg_rank"), "ranks")
-    hot = [(i, x) for i, c in enumerate(names) for x in ordered.hot_values(edges[c])]  # less than a bucket each
-    spark = df.sparkSession
-    usual = ranks.join(F.broadcast(spark.createDataFrame(hot, "i int, x double")), ["i", "x"], "left_semi")
-    marked = rows.join(F.broadcast(usual.withColumnRenamed("avg_rank", "__hot")), ["i", "x"], "left")
-    marked = marked.withColumn("__i", F.when(F.col("__hot").isNull(), F.col("i"))).withColumn(
-        "__salt", F.when(F.col("__hot").isNotNull(), F.col("__row")).otherwise(0))
-    cold = ranks.select(F.col("i").alias("__i"), "x", F.col("avg_rank").alias("__cold"), F.lit(0).cast("bigint").alias("__salt"))
-    found = marked.join(cold, ["__i", "x", "__salt"], "left").select("__row", "i", F.coalesce("__hot", "__cold").alias("rank"))
-    return found.groupBy("__row").agg(*[F.max(F.when(F.col("i") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(names))])
+    distinct = {r["i"]: r["n"] for r in ranks.groupBy("i").agg(F.count("*").alias("n")).collect()}  # one row per column
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(width, min(RANKED_PARTS, math.ceil(copy.count() / RANKED_ROWS)))
+    out = copy.withColumn("__row", F.monotonically_increasing_id())
+    # columns with few values first: they need no shuffle
+    for i in sorted(range(len(names)), key=lambda i: (distinct.get(i, 0) > FEW_VALUES, i)):
+        own = ranks.where(F.col("i") == i).select("x", F.col("avg_rank").alias(f"r{i}"))
+        if distinct.get(i, 0) <= FEW_VALUES:
+            out = out.join(F.broadcast(own.withColumnRenamed("x", f"v{i}")), f"v{i}", "left").drop(f"v{i}")
+            continue
+        hot = own.where(F.col("x").isin(ordered.hot_values(edges[names[i]])))  # less than a bucket each
+        out = out.join(F.broadcast(hot.select(F.col("x").alias(f"v{i}"), F.col(f"r{i}").alias("__hot"))), f"v{i}", "left")
+        spread = F.col("__hot").isNotNull() | F.col(f"v{i}").isNull()
+        out = out.withColumns({"__x": F.when(~spread, F.col(f"v{i}")), "__salt": F.when(spread, F.col("__row")).otherwise(0)})
+        cold = own.select(F.col("x").alias("__x"), F.col(f"r{i}").alias("__cold"), F.lit(0).cast("bigint").alias("__salt"))
+        out = out.drop(f"v{i}").repartition(parts, "__x", "__salt").join(cold.repartition(parts, "__x", "__salt"), ["__x", "__salt"], "left")
+        out = out.withColumn(f"r{i}", F.coalesce("__hot", "__cold")).drop("__x", "__salt", "__hot", "__cold")
+    return out.select(*[f"r{i}" for i in range(len(names))])
 
 
 def _shared_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
