@@ -128,6 +128,16 @@ def signed_round(value: Column, digits: int) -> Column:
     return F.when((near == 0) & (value < 0), F.lit(-0.0)).otherwise(near)
 
 
+def round_scaled(value: Column, digits: int) -> Column:
+    """Rounding as SQL does it: the product with a power of ten, halves away from zero, with the sign of a zero. Spark's rounds the
+    shortest decimal text of a double, which falls on the other side of some halves."""
+    scale = F.lit(10.0**digits)
+    size = F.abs(value) * scale
+    whole = F.floor(size).cast("double")
+    near = F.signum(value) * (whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0)) / scale
+    return F.when(size < 2.0**52, near).when(size < float("inf"), value * scale / scale).otherwise(value)
+
+
 def unpivot_rows(df: DataFrame, keys: list[Column], parts: list[list[Column]]) -> DataFrame:
     """One output row per part: every part is a list of equally named and typed columns."""
     return df.select(*keys, F.inline(F.array(*[F.struct(*p) for p in parts])))

@@ -213,7 +213,7 @@ def transform_choices(spark, sf):
 def apply_transforms(spark, sf):
     operations = ["log", "log1p", "sqrt", "abs", "reciprocal"]
     out = G.apply_transforms(table(spark, sf, "events"), [("value", o) for o in operations])
-    return rounded(out.select("event_id", *[f"value__{o}" for o in operations]))
+    return rounded(out.select("event_id", *[f"value__{o}" for o in operations]), how=C.round_scaled)
 
 
 @query(
