@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablegauge.functions import columns as C
 from tablegauge.operators import cleaning as K, profile as P, quality as Q
 from tablegauge.queries.profiles import REPORT_SQL
 from tablegauge.queries.registry import DIRTY_EVENTS, DIRTY_PART, dirty_events, dirty_part, query, rounded, table
@@ -93,7 +94,7 @@ def clean_standardise(spark, sf):
 
 @query("clean_log", "SELECT event_id, round(ln(value), 6) AS value FROM events")
 def clean_log(spark, sf):
-    return rounded(K.log_transform(table(spark, sf, "events"), "value", zeros=True).select("event_id", "value"))
+    return rounded(K.log_transform(table(spark, sf, "events"), "value", zeros=True).select("event_id", "value"), how=C.round_scaled)
 
 
 @query("clean_drop_column", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")

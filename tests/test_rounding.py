@@ -8,7 +8,7 @@ from tablegauge.queries import load_all
 VALUES = [0.9999999, 1.0000001, 33.4710365, 33.5300495, 114.7066345, 0.2502135, 0.0, 1e-7, 5e-324, 0.5, 12.25, 4e9, 7.3e15, 1e300, 1.7e308]
 
 
-@pytest.mark.parametrize("name", ["apply_transforms"])
+@pytest.mark.parametrize("name", ["clean_log", "apply_transforms"])
 def test_rounded_as_in_sql(spark, folder, name):
     con, registry = duckdb.connect(), load_all()
     con.execute(f"COPY (SELECT unnest(range({len(VALUES)})) AS event_id, unnest(?::DOUBLE[]) AS value) TO '{folder}/events.parquet' (FORMAT parquet)", [VALUES])
