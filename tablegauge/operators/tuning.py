@@ -19,7 +19,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import classification as K, regression as R
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tablegauge.operators import gram, metrics as M, models, screens as S
+from tablegauge.operators import forests as O, gram, metrics as M, models, screens as S
 from tablegauge.operators.splits import UNITS, hash_unit
 from tablegauge.session import staged
 
@@ -200,12 +200,34 @@ def _fitted(df: DataFrame, task: str, estimator: str, settings: list[dict], fold
             spark.sparkContext.removeJobTag(tag)
             spent[i] += time.perf_counter() - started
 
+    def grown(fold: int, share: float) -> dict[int, float | None]:
+        """Scores of all trees or forests of a fold at once, where they grow from counts of cells; with a limit of time fits go one by one."""
+        settings = {i: s for i in alive if made[i].estimator is not None and (s := O.Settings.of(made[i].estimator))}
+        if seconds or not classes or not settings:
+            return {}
+        started = time.perf_counter()
+        part = rows.where(F.col("__unit") < share * UNITS)
+        train, test = part.where(F.col("fold") != fold), part.where(F.col("fold") == fold)
+        cells = O.Cells.of(train, classes)
+        asked = O.Cells.of(test, classes, cells.cuts) if cells else None
+        if not cells or not asked:
+            return {}
+        found = {i: O.f1_macro(c) for i, c in zip(settings, O.confusions(cells, asked, list(settings.values())), strict=True)}
+        for i in found:
+            spent[i] += (time.perf_counter() - started) / len(found)
+        return found
+
+    classes = models.n_classes(rows) if classify else None
     alive = list(made)
     with ThreadPool(parallelism) as pool:
         for rung, share in enumerate([*rungs, 1.0]):
             last = rung == len(rungs)
             found: dict[int, list] = {i: [] for i in alive}
-            for i, value, reason in pool.map(fit_and_score, [(i, f, share) for i in alive for f in (range(folds) if last else [0])]):
+            wanted = list(range(folds)) if last else [0]
+            together = dict(zip(wanted, pool.map(lambda f, share=share: grown(f, share), wanted, 1), strict=True))
+            for i, value in ((i, v) for scores in together.values() for i, v in scores.items()):
+                found[i].append((value, None))
+            for i, value, reason in pool.map(fit_and_score, [(i, f, share) for i in alive for f in wanted if i not in together[f]], 1):
                 found[i].append((value, reason))
             for i, scores in found.items():
                 reason = next((r for v, r in scores if v is None), None)
