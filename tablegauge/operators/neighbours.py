@@ -1,8 +1,8 @@
 """Exact nearest neighbours and the k-NN mutual information estimate, without pairing rows with rows.
 
-Data points are grouped around a bounded set of centres taken from the data, so groups follow its density. A query is
-first answered in its own group, which bounds its k-th distance; by the triangle inequality it then only needs groups
-whose ball reaches into that bound. Large groups are cut into blocks, and query groups into chunks, so no task holds
+Data points are grouped by cuts between points taken from the data or, in many dimensions, around a bounded set of centres, so groups
+follow its density. A query is first answered in its own group, which bounds its k-th distance; it then only needs groups whose box
+or, by the triangle inequality, whose ball reaches into that bound. Large groups are cut into blocks, and query groups into chunks, so no task holds
 an unbounded group. Distances are computed with numpy inside a block; at most k per query and block leave it.
 """
 
@@ -30,6 +30,8 @@ CELLS_PER_STEP = 1_000_000  # numbers held by one distance matrix
 LEAF = 48  # points of the smallest groups inside a task
 FEW = 8  # dimensions in which boxes tell groups apart in any case
 BOXED = 64  # dimensions in which a group keeps its box
+CUT = 16  # dimensions in which groups are made by cuts
+TAKEN, MOST_TAKEN = 16, 1_000_000  # points per group that tell where to cut, and numbers of all of them
 PROBE, READ = 256, 0.25  # queries that tell whether leaves are worth while, and the share of the leaves they may read then
 SLACK = 1e-9
 
@@ -162,6 +164,65 @@ def _cuts(points: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+class _Cuts:
+    """Groups made by cuts across the widest dimension of the points that tell: nodes with a dimension, a value that the right side
+    begins with, and a left child that its right one follows; a leaf has a group."""
+
+    def __init__(self, points: np.ndarray, groups: int):
+        dim, at, left, group = [-1], [0.0], [0], [-1]
+        todo, self.groups = [(0, points, groups)], 0
+        while todo:
+            node, some, wanted = todo.pop()
+            steps = np.zeros(0, dtype=np.int64)
+            if wanted > 1 and len(some) > 1:
+                dim[node] = int(np.argmax(np.ptp(some, axis=0)))
+                some = some[np.argsort(some[:, dim[node]], kind="stable")]
+                steps = np.flatnonzero(np.diff(some[:, dim[node]])) + 1
+            if not len(steps):
+                dim[node], group[node], self.groups = -1, self.groups, self.groups + 1
+                continue
+            cut = int(steps[np.abs(steps - len(some) / 2).argmin()])
+            share = min(wanted - 1, max(1, round(wanted * cut / len(some))))
+            at[node], left[node] = float(some[cut, dim[node]]), len(dim)
+            todo += [(len(dim), some[:cut], share), (len(dim) + 1, some[cut:], wanted - share)]
+            dim, at, left, group = dim + [-1, -1], at + [0.0, 0.0], left + [0, 0], group + [-1, -1]
+        self.dim, self.at, self.left, self.group = np.array(dim), np.array(at), np.array(left), np.array(group, dtype=np.int32)
+
+    def assign(self, v: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(v), dtype=np.int64)
+        live = np.flatnonzero(self.dim[node] >= 0)
+        while len(live):
+            here = node[live]
+            node[live] = self.left[here] + (v[live, self.dim[here]] >= self.at[here])
+            live = live[self.dim[node[live]] >= 0]
+        return self.group[node]
+
+    def boxes(self, known: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Boxes of all nodes from those of the groups that hold points."""
+        self.low, self.high = np.full((len(self.dim), low.shape[1]), np.inf), np.full((len(self.dim), low.shape[1]), -np.inf)
+        place = np.full(self.groups, -1)
+        place[known] = np.arange(len(known))
+        for node in range(len(self.dim) - 1, -1, -1):
+            if self.dim[node] >= 0:
+                pair = slice(self.left[node], self.left[node] + 2)
+                self.low[node], self.high[node] = self.low[pair].min(axis=0), self.high[pair].max(axis=0)
+            elif place[self.group[node]] >= 0:
+                self.low[node], self.high[node] = low[place[self.group[node]]], high[place[self.group[node]]]
+
+    def near(self, v: np.ndarray, limit: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group) of all groups whose box reaches into a row's limit."""
+        row, node, rows, groups = np.arange(len(v)), np.zeros(len(v), dtype=np.int64), [], []
+        while len(row):
+            leaf = self.dim[node] < 0
+            rows.append(row[leaf])
+            groups.append(self.group[node[leaf]])
+            row, below = np.repeat(row[~leaf], 2), np.repeat(self.left[node[~leaf]], 2)
+            below[1::2] += 1
+            keep = _pair_box_distance(v[row], self.low[below], self.high[below], metric) <= limit[row]
+            row, node = row[keep], below[keep]
+        return np.concatenate(rows), np.concatenate(groups)
+
+
 def _box_distance(v: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
     """Distance of every row to every box, never above that to a point in the box."""
     total = np.zeros((len(v), len(low)))
@@ -253,21 +314,34 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
     spark = data.sparkSession
     total = data.count()
     centres = centres or max(1, min(MAX_CENTRES, math.ceil(total / CELL)))
-    # a fixed sample: the rows with the smallest hashes of their id
-    picked = data.orderBy(F.xxhash64("pid"), "pid").limit(centres).select("v").collect()
-    if not picked:
+    first = data.select("v").first()
+    if not first:
         empty = F.array().cast("array<struct<distance:double,pid:long,payload:double>>")
         return queries.select("qid", "v", empty.alias("neighbours"))
-    middle = spark.sparkContext.broadcast(np.unique(np.array([r["v"] for r in picked], dtype=float), axis=0))
+    width = len(first["v"])
+    by_cuts = width <= CUT
+    if by_cuts:
+        # a fixed sample: the rows whose id has a small hash
+        wanted = min(centres * TAKEN, max(2 * centres, MOST_TAKEN // width))
+        least = F.lit(-(2**63) + min(2**64 - 1, 2**64 * wanted // total))
+        picked = [first, *data.where(F.xxhash64("pid") <= least).select("v").collect()]
+        middle = spark.sparkContext.broadcast(_Cuts(np.array([r["v"] for r in picked], dtype=float), centres))
+    else:
+        # a fixed sample: the rows with the smallest hashes of their id
+        picked = data.orderBy(F.xxhash64("pid"), "pid").limit(centres).select("v").collect()
+        middle = spark.sparkContext.broadcast(np.unique(np.array([r["v"] for r in picked], dtype=float), axis=0))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if not rows.num_rows:
                 continue
             v = _matrix(rows.column("v"))
-            cell, away = np.empty(len(v), dtype=np.int32), np.empty(len(v))
-            for part in _steps(len(v), len(middle.value) * (1 if metric == "euclidean" else v.shape[1])):
-                cell[part], away[part] = _own_centre(v[part], middle.value, metric)
+            cell, away = np.empty(len(v), dtype=np.int32), np.zeros(len(v))
+            if by_cuts:
+                cell[:] = middle.value.assign(v)
+            else:
+                for part in _steps(len(v), len(middle.value) * (1 if metric == "euclidean" else v.shape[1])):
+                    cell[part], away[part] = _own_centre(v[part], middle.value, metric)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell), pa.array(away)], names=[*rows.schema.names, "cell", "away"])
 
     points = data.select("pid", "v", "payload").mapInArrow(
@@ -276,7 +350,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
     points = staged(points, "points")
     asked = queries.select("qid", "v").mapInArrow(assign, "qid long, v array<double>, cell int, away double")
     asked = staged(asked.drop("away"), "asked")
-    boxed = range(middle.value.shape[1] if middle.value.shape[1] <= BOXED else 0)
+    boxed = range(width if width <= BOXED else 0)
     sizes = {r["cell"]: r for r in points.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("away").alias("radius"), *[
             e(F.get("v", F.lit(i))).alias(f"{name}{i}") for i in boxed for name, e in (("low", F.min), ("high", F.max))],
@@ -284,7 +358,11 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
     blocks = {c: max(1, math.ceil(r["n"] / block)) for c, r in sizes.items()}
     known = np.array(sorted(sizes), dtype=np.int32)
     sides = [np.array([[sizes[c][f"{side}{i}"] for i in boxed] for c in known], dtype=float) for side in ("low", "high")]
-    reach = spark.sparkContext.broadcast((known, np.array([sizes[c]["radius"] for c in known]), *sides))
+    if by_cuts:
+        middle.value.boxes(known, *sides)
+        reach = spark.sparkContext.broadcast(middle.value)
+    else:
+        reach = spark.sparkContext.broadcast((known, np.array([sizes[c]["radius"] for c in known]), *sides))
     block_rows = spark.createDataFrame(list(blocks.items()), "cell int, blocks int")  # one row per centre
 
     def search(visits: DataFrame) -> DataFrame:
@@ -314,33 +392,43 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
             if mine.num_rows and theirs.num_rows:
                 row, point, distance = _local_nearest(
                     _matrix(mine.column("v")), _matrix(theirs.column("v")), ids, k, metric, _numbers(mine.column("payload"), np.inf))
-            start = np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, dtype=np.int64)
-            ends = np.r_[start, len(row)]
+            ends = np.searchsorted(row, np.arange(mine.num_rows + 1))  # none found: an empty list
             return pa.table({
-                "qid": pa.array(mine.column("id").to_numpy()[row[start]], pa.int64()), "distance": _lists(distance, ends),
-                "pid": _lists(ids[point], ends), "payload": _lists(payload[point], ends)})
+                "qid": mine.column("id"), "v": mine.column("v"), "cell": group.column("cell")[:1].take(pa.array(np.zeros(mine.num_rows, dtype=np.int64))),
+                "distance": _lists(distance, ends), "pid": _lists(ids[point], ends), "payload": _lists(payload[point], ends)})
 
         answered = left.unionByName(right).groupBy(*whole).applyInArrow(
-            answer, "qid long, distance array<double>, pid array<long>, payload array<double>"
+            answer, "qid long, v array<double>, cell int, distance array<double>, pid array<long>, payload array<double>"
         )
-        return answered.select("qid", F.arrays_zip("distance", "pid", "payload").alias("found"))
+        return answered.select("qid", "v", "cell", F.arrays_zip("distance", "pid", "payload").alias("found"))
 
     def best(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+        found = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found")
+        return rows.groupBy("qid").agg(F.first("v").alias("v"), F.first("cell").alias("cell"), found)
 
-    home = staged(best(search(asked.withColumn("bound", F.lit(None).cast("double")))), "home")
-    bounded = asked.join(home.select("qid", "found"), "qid", "left").select(
+    own = search(asked.withColumn("bound", F.lit(None).cast("double")))
+    home = staged(own if max(blocks.values()) == 1 else best(own), "home")  # from one block a query has one answer
+    bounded = home.select(
         "qid", "v", "cell",
         F.when(F.size("found") >= k, F.try_element_at("found", F.lit(k))["distance"]).alias("bound"),
     )
 
+    def visit(qid: np.ndarray, v: np.ndarray, cell: np.ndarray, limit: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(qid), _vectors(v), pa.array(cell), pa.array(limit)], names=["qid", "v", "cell", "bound"])
+
     def other_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, radius, low, high = reach.value
         for rows in batches:
             if not rows.num_rows:
                 continue
             v, qid, own = _matrix(rows.column("v")), rows.column("qid").to_numpy(), rows.column("cell").to_numpy()
             limit = _numbers(rows.column("bound"), np.inf) * (1 + SLACK) + SLACK
+            if by_cuts:
+                q, c = reach.value.near(v, limit, metric)
+                q, c = q[c != own[q]], c[c != own[q]]
+                for some in _steps(len(q), v.shape[1]):
+                    yield visit(qid[q[some]], v[q[some]], c[some], limit[q[some]])
+                continue
+            cells, radius, low, high = reach.value
             for part in _steps(len(v), len(cells) * (1 if metric == "euclidean" else v.shape[1])):
                 near = _near_balls(v[part], middle.value[cells], radius, limit[part], metric)
                 for some in _steps(len(near[0]), v.shape[1]):
@@ -350,12 +438,11 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidea
                         keep &= _pair_box_distance(v[q], low[c], high[c], metric) <= limit[q]
                     q, c = q[keep], c[keep]
                     if len(q):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(qid[q]), _vectors(v[q]), pa.array(cells[c]), pa.array(limit[q])], names=["qid", "v", "cell", "bound"])
+                        yield visit(qid[q], v[q], cells[c], limit[q])
 
     visits = bounded.mapInArrow(other_cells, "qid long, v array<double>, cell int, bound double")
     everything = best(home.unionByName(search(visits)))
-    return asked.select("qid", "v").join(everything, "qid").select("qid", "v", F.col("found").alias("neighbours"))
+    return everything.where(F.size("found") > 0).select("qid", "v", F.col("found").alias("neighbours"))
 
 
 def knn_predict(neighbours: DataFrame, k: int, classify: bool) -> DataFrame:
