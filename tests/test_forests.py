@@ -68,3 +68,15 @@ def test_scores_are_those_of_the_metrics(frame):
     rows = frame("label double, prediction double, n int", [(0.0, 0.0, 7), (0.0, 1.0, 2), (1.0, 0.0, 3), (1.0, 1.0, 5), (2.0, 1.0, 1)])
     theirs = M.classification_metrics(rows.select("label", "prediction", F.explode(F.sequence(F.lit(1), "n")))).first()["f1_macro"]
     assert O.f1_macro(np.array([[7, 2, 0, 0], [3, 5, 0, 0], [0, 1, 0, 0], [0, 0, 0, 0]])) == theirs
+
+
+def test_regressors_of_a_table_are_not_fitted_over_its_rows(monkeypatch, rows):
+    """Tree and forest of the candidate list come from one pass over the rows."""
+    df = rows.withColumn("label", F.col("a") * F.col("b") + 20 * F.col("c") + F.col("noise")).select("row_id", "features", "label")
+    for fitted in (KR.RandomForestRegressor, KR.DecisionTreeRegressor):
+        monkeypatch.setattr(fitted, "_fit", lambda *a: 1 / 0)
+    candidates = [c for c in K.baselines(S.REGRESSION, 3) if c.family in ("tree_based", "ensemble")]
+    runs, models = K.train_candidates(df.where("row_id % 4 > 0"), df.where("row_id % 4 = 0"), S.REGRESSION, candidates)
+    found = {r["candidate"]: r for r in runs.collect()}
+    assert {r["status"] for r in found.values()} == {"completed"} and set(models) == {"decision_tree", "random_forest"}
+    assert found["decision_tree"]["metrics"]["r2"] > 0.98 and found["random_forest"]["metrics"]["r2"] > 0.9
