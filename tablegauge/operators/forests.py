@@ -1,4 +1,4 @@
-"""Trees and forests grown from counts of cells.
+"""Trees, forests and boosted trees grown from counts of cells.
 
 A tree that splits at fixed thresholds sees of a row only its cell: the interval of every feature, and the label. So the rows are counted
 once per cell in a distributed pass, and trees grow from the counts, in tasks of a few trees each. How many cells there are follows
@@ -46,21 +46,24 @@ class Settings:
     seed: int
     bootstrap: bool = True
     weighted: bool = False
+    rate: float | None = None  # of boosting: each tree corrects those before it
 
     @staticmethod
     def of(estimator) -> Settings | None:
         """Those of a Spark ML estimator whose other parameters are at their defaults (weights of classes aside)."""
         forest = isinstance(estimator, K.RandomForestClassifier | R.RandomForestRegressor)
-        if not forest and not isinstance(estimator, K.DecisionTreeClassifier | R.DecisionTreeRegressor):
+        boosted = isinstance(estimator, K.GBTClassifier)
+        if not forest and not boosted and not isinstance(estimator, K.DecisionTreeClassifier | R.DecisionTreeRegressor):
             return None
-        taken = {"numTrees", "maxDepth", "minInstancesPerNode", "seed", "cacheNodeIds", "weightCol"}
+        taken = {"numTrees", "maxIter", "stepSize", "maxDepth", "minInstancesPerNode", "seed", "cacheNodeIds", "weightCol"}
         if any(p.name not in taken and estimator.isSet(p) and estimator.getOrDefault(p) != estimator._defaultParamMap.get(p) for p in estimator.params):
             return None
         weighted = estimator.isSet("weightCol")
         if (weighted and estimator.getWeightCol() != "weight") or estimator.getMaxDepth() > DEEPEST:
             return None
-        trees = estimator.getNumTrees() if forest else 1
-        return Settings(trees, estimator.getMaxDepth(), estimator.getMinInstancesPerNode(), estimator.getSeed(), forest, weighted)
+        trees = estimator.getNumTrees() if forest else estimator.getMaxIter() if boosted else 1
+        rate = estimator.getStepSize() if boosted else None
+        return Settings(trees, estimator.getMaxDepth(), estimator.getMinInstancesPerNode(), estimator.getSeed(), forest, weighted, rate)
 
 
 @dataclass
@@ -265,8 +268,9 @@ def grow(bins: np.ndarray, tree: np.ndarray, cell: np.ndarray, parts: np.ndarray
 def _works(forests: list[Settings], cells: int) -> list[tuple[int, int, int]]:
     """(forest, first tree, trees) of the tasks, the deepest first."""
     size = max(1, ENTRIES // cells)
-    out = [(i, a, min(size, s.trees - a)) for i, s in enumerate(forests) for a in range(0, s.trees, size)]
-    return sorted(out, key=lambda w: -forests[w[0]].depth)
+    out = [(i, a, min(size, s.trees - a)) for i, s in enumerate(forests) if s.rate is None for a in range(0, s.trees, size)]
+    boosts = [(i, 0, s.trees) for i, s in enumerate(forests) if s.rate is not None]  # a tree waits for the one before it
+    return sorted(boosts, key=lambda w: -w[2]) + sorted(out, key=lambda w: -forests[w[0]].depth)
 
 
 def _drawn(counts: np.ndarray, settings: Settings, trees: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,6 +280,27 @@ def _drawn(counts: np.ndarray, settings: Settings, trees: int, rng: np.random.Ge
     return tree, cell, parts[tree, cell].astype(float)
 
 
+def _boosted(bins: np.ndarray, counts: np.ndarray, weights: np.ndarray, settings: Settings) -> list[Trees]:
+    """Boosted trees for two classes by the loss of Spark ML, 2 log(1 + exp(-2 y F)) for y = -1 or 1: the rows of a cell and class share
+    F and so what the next tree corrects. Trees are in order; all but the first count with the rate."""
+    cell, side = np.nonzero(counts)
+    weight, y = counts[cell, side] * weights[side], 2.0 * side - 1.0
+    # weights stand for rows: a row of the lighter class is the least that a node may hold
+    least = Settings(1, settings.depth, settings.leaf * float(weights[np.unique(side)].min()) * (1 - 1e-9), settings.seed, False)
+    out: list[Trees] = []
+    margin, target = np.zeros(len(bins)), y
+    for _ in range(settings.trees):
+        parts = np.column_stack([weight, weight * target])
+        out.append(grow(bins, np.zeros(len(cell), np.int64), cell, parts, None, 1, least, np.random.default_rng(settings.seed)))
+        margin += out[-1].sums(bins)[:, 0] * (1.0 if len(out) == 1 else settings.rate)
+        target = 4.0 * y / (1.0 + np.exp(2.0 * y * margin[cell]))
+    return out
+
+
+def _margin(parts: list[Trees], bins: np.ndarray, rate: float) -> np.ndarray:
+    return sum(t.sums(bins)[:, 0] * (rate if i else 1.0) for i, t in enumerate(parts))
+
+
 def _grown(spark, cells: Cells, forests: list[Settings], done) -> list:
     """What ``done`` makes of the trees of each task: (forest, it), grown from the counts of classes."""
     shared = spark.sparkContext.broadcast((cells.bins, cells.counts, cells.weights, forests))
@@ -284,6 +309,8 @@ def _grown(spark, cells: Cells, forests: list[Settings], done) -> list:
         i, first, trees = item
         bins, counts, weights, settings = shared.value
         rng, scale = np.random.default_rng([settings[i].seed, first]), weights if settings[i].weighted else np.ones(counts.shape[1])
+        if settings[i].rate is not None:
+            return i, done(_boosted(bins, counts, scale, settings[i]))
         return i, done(grow(bins, *_drawn(counts, settings[i], trees, rng), scale, trees, settings[i], rng))
 
     works = _works(forests, len(cells.bins))
@@ -351,12 +378,12 @@ def _grown_numbers(spark, cells: Cells, settings: Settings) -> list[Trees]:
 class ForestModel:
     """Fitted trees: ``prediction`` and, for classes, ``probability``."""
 
-    def __init__(self, cuts: list[np.ndarray], parts: list[Trees], trees: int, classify: bool):
-        self.cuts, self.parts, self.trees, self.classify, self._shared = cuts, parts, trees, classify, None
+    def __init__(self, cuts: list[np.ndarray], parts: list[Trees], trees: int, classify: bool, rate: float | None = None):
+        self.cuts, self.parts, self.trees, self.classify, self.rate, self._shared = cuts, parts, trees, classify, rate, None
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self._shared is None:
-            self._shared = df.sparkSession.sparkContext.broadcast((self.cuts, self.parts, self.trees))
+            self._shared = df.sparkSession.sparkContext.broadcast((self.cuts, self.parts, self.trees, self.rate))
         shared = self._shared
 
         @F.pandas_udf("array<double>")
@@ -365,9 +392,14 @@ class ForestModel:
 
             if not len(vectors):
                 return pd.Series([], dtype=object)
-            cuts, parts, trees = shared.value
+            cuts, parts, trees, rate = shared.value
             bins, place = np.unique(binned(np.stack(vectors.to_numpy()), cuts), axis=0, return_inverse=True)
-            return pd.Series(list((sum(p.sums(bins) for p in parts) / trees)[place.ravel()]))
+            if rate is None:
+                found = sum(p.sums(bins) for p in parts) / trees
+            else:
+                one = 1.0 / (1.0 + np.exp(-2.0 * _margin(parts, bins, rate)))
+                found = np.column_stack([1.0 - one, one])
+            return pd.Series(list(found[place.ravel()]))
 
         out = df.withColumn("__mean", mean(vector_to_array("features")))
         if not self.classify:
@@ -378,13 +410,15 @@ class ForestModel:
 
 def fit_all(cells: Cells, forests: dict[str, Settings]) -> dict[str, ForestModel]:
     """All forests over one table, grown together."""
+    if cells.counts is not None and cells.counts.shape[1] != 2:
+        forests = {n: s for n, s in forests.items() if s.rate is None}
     spark, names, settings = cells.rows.sparkSession, list(forests), list(forests.values())
     if cells.counts is None:
         return {n: ForestModel(cells.cuts, _grown_numbers(spark, cells, s), s.trees, False) for n, s in forests.items()}
     parts: dict[int, list[Trees]] = {}
     for i, made in _grown(spark, cells, settings, lambda trees: trees):
-        parts.setdefault(i, []).append(made)
-    return {n: ForestModel(cells.cuts, parts[i], settings[i].trees, True) for i, n in enumerate(names)}
+        parts.setdefault(i, []).extend(made if isinstance(made, list) else [made])
+    return {n: ForestModel(cells.cuts, parts[i], settings[i].trees, True, settings[i].rate) for i, n in enumerate(names)}
 
 
 def f1_macro(confusion: np.ndarray) -> float | None:

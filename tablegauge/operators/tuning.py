@@ -202,7 +202,7 @@ def _fitted(df: DataFrame, task: str, estimator: str, settings: list[dict], fold
 
     def grown(fold: int, share: float) -> dict[int, float | None]:
         """Scores of all trees or forests of a fold at once, where they grow from counts of cells; with a limit of time fits go one by one."""
-        settings = {i: s for i in alive if made[i].estimator is not None and (s := O.Settings.of(made[i].estimator))}
+        settings = {i: s for i in alive if made[i].estimator is not None and (s := O.Settings.of(made[i].estimator)) and s.rate is None}
         if seconds or not classes or not settings:
             return {}
         started = time.perf_counter()

@@ -80,3 +80,23 @@ def test_regressors_of_a_table_are_not_fitted_over_its_rows(monkeypatch, rows):
     found = {r["candidate"]: r for r in runs.collect()}
     assert {r["status"] for r in found.values()} == {"completed"} and set(models) == {"decision_tree", "random_forest"}
     assert found["decision_tree"]["metrics"]["r2"] > 0.98 and found["random_forest"]["metrics"]["r2"] > 0.9
+
+
+def test_boosted_trees(rows):
+    df = K.class_weights(rows.withColumn("label", ((F.col("a") * F.col("b") + 20 * F.col("c") > 80) != (F.col("noise") == 0)).cast("double")))
+    theirs = KC.GBTClassifier(maxIter=12, stepSize=0.1, maxDepth=3, seed=42, weightCol="weight")
+    mine = K.grown(df, [K.Candidate("boost", "ensemble", theirs)], True)["boost"]
+    both = [m.transform(df).select("row_id", "prediction", vector_to_array("probability")[1].alias("p")).orderBy("row_id").toPandas() for m in (mine, theirs.fit(df))]
+    assert (both[0].prediction == both[1].prediction).all() and np.allclose(both[0].p, both[1].p)
+
+
+def test_neighbours_of_a_sweep_are_searched_once(monkeypatch, rows):
+    df = rows.where("row_id < 900").withColumn("label", (F.col("a") > 5).cast("double")).select("row_id", "features", "label")
+    train, test = df.where("row_id % 4 > 0"), df.where("row_id % 4 = 0")
+    calls, nearest = [], K.N.nearest
+    monkeypatch.setattr(K.N, "nearest", lambda *a, **k: calls.append(a) or nearest(*a, **k))
+    runs, models = K.train_candidates(train, test, S.BINARY, [K.Candidate(f"knn_{k}", "distance_based", None, k) for k in (2, 5, 9)])
+    assert len(calls) == 1
+    for r in runs.collect():
+        alone = K.NeighbourModel(train, int(r["candidate"][4:]), True)
+        assert models[r["candidate"]].found is None and r["metrics"]["f1_macro"] == M.classification_metrics(alone.transform(test)).first()["f1_macro"]
