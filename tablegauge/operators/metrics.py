@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablegauge.functions import columns as C
@@ -128,6 +133,83 @@ def cluster_metrics(rows: DataFrame, features: str = "features", cluster: str =
     return out.withColumn("silhouette", F.round(F.lit(float(value)), digits))
 
 
+def cluster_metrics_together(rows: DataFrame, digits: int = 6) -> dict[int, dict[str, float]]:
+    """``cluster_metrics`` of many clusterings of the same rows, by number, in two passes over ``v array<double>, c array<int>`` (the cluster in
+    each). (Clusterings x clusters) sums of rows reach the driver; a clustering of one cluster is left out."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], np.ndarray] = {}
+        for v, c in map(_arrays, batches):
+            size = (v * v).sum(axis=1)
+            for i in range(c.shape[1]):
+                for j in np.unique(c[:, i]):
+                    mine = c[:, i] == j
+                    part = np.r_[mine.sum(), size[mine].sum(), v[mine].sum(axis=0)]
+                    found[i, j] = found[i, j] + part if (i, j) in found else part
+        yield _sums_batch(found)
+
+    first = _added_up(rows.mapInArrow(sums, "i int, j int, part array<double>"))
+    state: dict[int, tuple] = {}
+    for i in sorted({i for i, _ in first}):
+        names = sorted(j for a, j in first if a == i)
+        parts = np.array([first[i, j] for j in names])
+        if len(names) > 1:
+            state[i] = np.array(names), parts[:, 0], parts[:, 1], parts[:, 2:] / parts[:, :1]
+    shared = rows.sparkSession.sparkContext.broadcast(state)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], np.ndarray] = {}
+        for v, c in map(_arrays, batches):
+            at = np.arange(len(v))
+            for i, (names, n, squares, centres) in shared.value.items():
+                own = np.searchsorted(names, c[:, i])
+                # mean squared distance to the rows of each cluster, and to its centroid
+                mean = (v * v).sum(axis=1)[:, None] + squares / n - 2.0 * (v @ centres.T)
+                away = ((v - centres[own]) ** 2).sum(axis=1)
+                inner = mean[at, own] * n[own] / np.maximum(n[own] - 1, 1)
+                mean[at, own] = np.inf
+                outer = mean.min(axis=1)
+                value = np.where(n[own] > 1, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300), 0.0)
+                for k, j in enumerate(names):
+                    mine = own == k
+                    part = np.array([np.sqrt(away[mine]).sum(), away[mine].sum(), value[mine].sum()])
+                    found[i, int(j)] = found[i, int(j)] + part if (i, int(j)) in found else part
+        yield _sums_batch(found)
+
+    second = _added_up(rows.mapInArrow(spread, "i int, j int, part array<double>"))
+    out = {}
+    for i, (names, n, _, centres) in state.items():
+        apart, within, value = np.array([second[i, j] for j in names]).T
+        k, total = len(names), n.sum()
+        grand = (centres * n[:, None]).sum(axis=0) / total
+        between = (n * ((centres - grand) ** 2).sum(axis=1)).sum()
+        gaps = np.sqrt(((centres[:, None] - centres) ** 2).sum(axis=2))
+        mean = apart / n
+        ratio = np.divide(mean[:, None] + mean, gaps, out=np.full(gaps.shape, -np.inf), where=gaps > 0)
+        worst = [r.max() for r in ratio if np.isfinite(r.max())]
+        found = {"k": k, "n": total, "silhouette": value.sum() / total}
+        if total > k and within.sum() > 0:
+            found["calinski_harabasz"] = between / (k - 1) / (within.sum() / (total - k))
+        if worst:
+            found["davies_bouldin"] = np.mean(worst)
+        out[i] = {name: round(float(x), digits) for name, x in found.items()}
+    return out
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(v, c) of a batch as matrices."""
+    return tuple(batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0)) for i in (0, 1))
+
+
+def _sums_batch(found: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    keys = [pa.array([k[side] for k in found], pa.int32()) for side in (0, 1)]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(list(found.values()), pa.list_(pa.float64()))], names=["i", "j", "part"])
+
+
+def _added_up(parts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    added = parts.groupBy("i", "j").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
+    return {(r["i"], r["j"]): r["part"].toArray() for r in added.collect()}  # a row per cluster
+
+
 def rank_runs(runs: DataFrame, task: str) -> DataFrame:
     """Rank candidates on the task's metric; ties by family order, then name; non-finite or failed runs get no rank.
 
