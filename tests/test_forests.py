@@ -53,7 +53,7 @@ def test_too_many_cells_are_left_to_spark(spark, monkeypatch, rows):
     monkeypatch.setattr(O, "MOST_CELLS", 100)
     df = rows.withColumn("label", (F.col("a") > 5).cast("double"))
     assert K.grown(df, [K.Candidate("f", "ensemble", KC.RandomForestClassifier(numTrees=3, seed=1))], True) == {}
-    assert O.Settings.of(KC.RandomForestClassifier(subsamplingRate=0.5)) is None and O.Settings.of(KC.GBTClassifier()) is None
+    assert O.Settings.of(KC.RandomForestClassifier(subsamplingRate=0.5)) is None and O.Settings.of(KC.GBTClassifier(subsamplingRate=0.5)) is None and O.Settings.of(KR.GBTRegressor()) is None
 
 
 def test_a_search_fits_no_draw_alone(monkeypatch, rows):
